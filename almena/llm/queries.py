@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from almena.llm.leaks import find_leaks
 from almena.llm.packing import count_tokens, pack
+from almena.llm.percentiles import response_times
 from almena.llm.truncation import find_truncated, truncation_report
 from almena.session import table
 
 
+def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median, p90 and p99 of the response time per crawler, per site and per day."""
+    return response_times(table(spark, sf_dir, "log_entry"))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A container of 2,048 tokens for each document or part of a longer one."""
     return pack(count_tokens(table(spark, sf_dir, "documents")))
@@ -36,5 +42,19 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_report(find_truncated(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p8_containers": p8_containers, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
-SQL: dict[str, str] = {}
+QUERIES = {"p7_percentiles": p7_percentiles, "p8_containers": p8_containers, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
+SQL = {
+    "p7_percentiles": """
+WITH entry AS (SELECT DISTINCT log_id, bot_name, site_id, CAST(ts AS DATE) AS day, response_ms FROM log_entry WHERE response_ms IS NOT NULL),
+long AS (
+  SELECT 'bot_name' AS dim, bot_name AS key, response_ms AS v FROM entry
+  UNION ALL SELECT 'site_id', site_id, response_ms FROM entry
+  UNION ALL SELECT 'day', CAST(day AS VARCHAR), response_ms FROM entry),
+placed AS (SELECT dim, key, v, row_number() OVER (PARTITION BY dim, key ORDER BY v) AS rn, count(*) OVER (PARTITION BY dim, key) AS n FROM long)
+SELECT dim, key, n,
+  CAST(max(CASE WHEN rn = greatest(1, ceil(0.5 * n - 1e-9)) THEN v END) AS DOUBLE) AS p50,
+  CAST(max(CASE WHEN rn = greatest(1, ceil(0.9 * n - 1e-9)) THEN v END) AS DOUBLE) AS p90,
+  CAST(max(CASE WHEN rn = greatest(1, ceil(0.99 * n - 1e-9)) THEN v END) AS DOUBLE) AS p99,
+  CAST(0.0 AS DOUBLE) AS max_rel_error
+FROM placed GROUP BY dim, key, n""",
+}
