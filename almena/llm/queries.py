@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from almena.llm.boilerplate import furniture_lines, page_bodies
 from almena.llm.leaks import find_leaks
 from almena.llm.packing import count_tokens, pack
 from almena.llm.percentiles import response_times
@@ -12,6 +13,16 @@ from almena.llm.truncation import find_truncated, truncation_report
 from almena.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of pages that are not part of the body."""
+    return furniture_lines(table(spark, sf_dir, "page_markdown"))
+
+
+def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The body of each page with its word count."""
+    return page_bodies(table(spark, sf_dir, "page_markdown"))
+
+
 def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, p90 and p99 of the response time per crawler, per site and per day."""
     return response_times(table(spark, sf_dir, "log_entry"))
@@ -42,7 +53,7 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_report(find_truncated(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p7_percentiles": p7_percentiles, "p8_containers": p8_containers, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
+QUERIES = {"p2_found": p2_found, "p2_bodies": p2_bodies, "p7_percentiles": p7_percentiles, "p8_containers": p8_containers, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
 SQL = {
     "p7_percentiles": """
 WITH entry AS (SELECT DISTINCT log_id, bot_name, site_id, CAST(ts AS DATE) AS day, response_ms FROM log_entry WHERE response_ms IS NOT NULL),
