@@ -9,6 +9,7 @@ from almena.llm.boilerplate import furniture_lines, page_bodies
 from almena.llm.leaks import find_leaks
 from almena.llm.packing import count_tokens, pack
 from almena.llm.percentiles import response_times
+from almena.llm.residue import find_residue
 from almena.llm.truncation import find_truncated, truncation_report
 from almena.session import table
 
@@ -23,6 +24,16 @@ def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_bodies(table(spark, sf_dir, "page_markdown"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with leftovers of a template, filler, or an error message or script notice instead of content."""
+    return find_residue(table(spark, sf_dir, "generated_page"), table(spark, sf_dir, "content_template")).select("page_id")
+
+
+def p6_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of residue pages by reason."""
+    return find_residue(table(spark, sf_dir, "generated_page"), table(spark, sf_dir, "content_template")).groupBy("reason").agg(F.count("*").alias("pages"))
+
+
 def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, p90 and p99 of the response time per crawler, per site and per day."""
     return response_times(table(spark, sf_dir, "log_entry"))
@@ -53,7 +64,7 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_report(find_truncated(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_bodies": p2_bodies, "p7_percentiles": p7_percentiles, "p8_containers": p8_containers, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
+QUERIES = {"p2_found": p2_found, "p2_bodies": p2_bodies, "p6_found": p6_found, "p6_reasons": p6_reasons, "p7_percentiles": p7_percentiles, "p8_containers": p8_containers, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
 SQL = {
     "p7_percentiles": """
 WITH entry AS (SELECT DISTINCT log_id, bot_name, site_id, CAST(ts AS DATE) AS day, response_ms FROM log_entry WHERE response_ms IS NOT NULL),
