@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from almena.llm.boilerplate import furniture_lines, page_bodies
 from almena.llm.leaks import find_leaks
+from almena.llm.neardup import near_duplicate_groups, similar_pages
 from almena.llm.packing import count_tokens, pack
 from almena.llm.percentiles import response_times
 from almena.llm.residue import find_residue
@@ -24,6 +25,16 @@ def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_bodies(table(spark, sf_dir, "page_markdown"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of pages with a similarity of at least 0.7."""
+    return similar_pages(table(spark, sf_dir, "generated_page"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, group and number of links of each page."""
+    return near_duplicate_groups(table(spark, sf_dir, "generated_page"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with leftovers of a template, filler, or an error message or script notice instead of content."""
     return find_residue(table(spark, sf_dir, "generated_page"), table(spark, sf_dir, "content_template")).select("page_id")
@@ -35,7 +46,7 @@ def p6_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median, p90 and p99 of the response time per crawler, per site and per day."""
+    """Median, p90 and p99 of the response time per crawler, site, day and import."""
     return response_times(table(spark, sf_dir, "log_entry"))
 
 
@@ -64,14 +75,15 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_report(find_truncated(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_bodies": p2_bodies, "p6_found": p6_found, "p6_reasons": p6_reasons, "p7_percentiles": p7_percentiles, "p8_containers": p8_containers, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
+QUERIES = {"p2_found": p2_found, "p2_bodies": p2_bodies, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_reasons": p6_reasons, "p7_percentiles": p7_percentiles, "p8_containers": p8_containers, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
 SQL = {
     "p7_percentiles": """
-WITH entry AS (SELECT DISTINCT log_id, bot_name, site_id, CAST(ts AS DATE) AS day, response_ms FROM log_entry WHERE response_ms IS NOT NULL),
+WITH entry AS (SELECT DISTINCT log_id, bot_name, site_id, import_id, CAST(ts AS DATE) AS day, response_ms FROM log_entry WHERE response_ms IS NOT NULL),
 long AS (
   SELECT 'bot_name' AS dim, bot_name AS key, response_ms AS v FROM entry
   UNION ALL SELECT 'site_id', site_id, response_ms FROM entry
-  UNION ALL SELECT 'day', CAST(day AS VARCHAR), response_ms FROM entry),
+  UNION ALL SELECT 'day', CAST(day AS VARCHAR), response_ms FROM entry
+  UNION ALL SELECT 'import_id', CAST(import_id AS VARCHAR), response_ms FROM entry),
 placed AS (SELECT dim, key, v, row_number() OVER (PARTITION BY dim, key ORDER BY v) AS rn, count(*) OVER (PARTITION BY dim, key) AS n FROM long)
 SELECT dim, key, n,
   CAST(max(CASE WHEN rn = greatest(1, ceil(0.5 * n - 1e-9)) THEN v END) AS DOUBLE) AS p50,
