@@ -11,6 +11,7 @@ from almena.llm.neardup import near_duplicate_groups, similar_pages
 from almena.llm.packing import count_tokens, pack
 from almena.llm.percentiles import response_times
 from almena.llm.residue import find_residue
+from almena.llm.splitting import split_items
 from almena.llm.truncation import find_truncated, truncation_report
 from almena.session import table
 
@@ -25,6 +26,16 @@ def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_bodies(table(spark, sf_dir, "page_markdown"))
 
 
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all items, within their limits and with their overlaps."""
+    return split_items(table(spark, sf_dir, "md_item"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that were cut into several pieces."""
+    return p4_pieces(spark, sf_dir).filter("n_pieces > 1").select("item_id").distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of pages with a similarity of at least 0.7."""
     return similar_pages(table(spark, sf_dir, "generated_page"))
@@ -75,8 +86,9 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_report(find_truncated(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_bodies": p2_bodies, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_reasons": p6_reasons, "p7_percentiles": p7_percentiles, "p8_containers": p8_containers, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
+QUERIES = {"p2_found": p2_found, "p2_bodies": p2_bodies, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_reasons": p6_reasons, "p7_percentiles": p7_percentiles, "p8_containers": p8_containers, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
 SQL = {
+    "p4_found": "SELECT DISTINCT item_id FROM md_item WHERE ceil(length(md) / 4.0) > max_tokens",
     "p7_percentiles": """
 WITH entry AS (SELECT DISTINCT log_id, bot_name, site_id, import_id, CAST(ts AS DATE) AS day, response_ms FROM log_entry WHERE response_ms IS NOT NULL),
 long AS (
