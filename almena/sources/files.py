@@ -1,0 +1,191 @@
+"""Sitemaps, robots files, datasets, link lists, search and speed exports as DataFrames."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from almena.functions.url import domain_of
+
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
+
+
+def _unescape(text: Column) -> Column:
+    text = F.regexp_replace(text, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")
+    for entity, raw in _ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(raw))
+    return F.trim(text)
+
+
+def parse_sitemaps(xml: DataFrame, content: str = "content") -> DataFrame:
+    """Entries of sitemap files: url, lastmod, is_index. Entries without a place are left out."""
+    found = xml.select(
+        F.explode(F.regexp_extract_all(F.col(content), F.lit(r"(?is)<(?:\w+:)?(url|sitemap)\b[^>]*>.*?</(?:\w+:)?(?:url|sitemap)\s*>"), 0)).alias("_block"),
+    )
+    inner = lambda tag: _unescape(F.regexp_extract("_block", rf"(?is)<(?:\w+:)?{tag}\b[^>]*>(.*?)</(?:\w+:)?{tag}\s*>", 1))
+    return found.select(inner("loc").alias("url"), F.to_date(F.substring(F.nullif(inner("lastmod"), F.lit("")), 1, 10).try_cast("date")).alias("lastmod"), F.col("_block").rlike(r"(?i)^<(?:\w+:)?sitemap\b").alias("is_index")).filter("url <> ''")
+
+
+_RULES = "agent string, allow boolean, pattern string, sitemap string, crawl_delay double"
+
+
+def robots_rules(robots: DataFrame, content: str = "content") -> DataFrame:
+    """Rules of robots files: a row per agent and rule, per sitemap line and per crawl delay."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: list[tuple] = []
+            for text in pdf[content].fillna(""):
+                agents, in_rules = [], False
+                for line in text.splitlines():
+                    field, _, value = line.split("#", 1)[0].partition(":")
+                    field, value = field.strip().lower(), value.strip()
+                    if field == "user-agent":
+                        agents = [value.lower()] if in_rules else agents + [value.lower()]
+                        in_rules = False
+                    elif field in ("allow", "disallow"):
+                        in_rules = True
+                        rows += [(a, field == "allow", value, None, None) for a in agents if value]
+                    elif field == "crawl-delay":
+                        in_rules = True
+                        delay = float(value) if re.fullmatch(r"\d+(\.\d+)?", value) else None
+                        rows += [(a, None, None, None, delay) for a in agents]
+                    elif field == "sitemap" and value:
+                        rows.append((None, None, None, value, None))
+            yield pd.DataFrame(rows, columns=["agent", "allow", "pattern", "sitemap", "crawl_delay"])
+
+    return robots.select(content).mapInPandas(read, _RULES)
+
+
+def robots_regex(pattern: Column) -> Column:
+    """A robots pattern as a regular expression: * is anything, $ at the end is the end."""
+    literal = F.regexp_replace(F.regexp_replace(pattern, r"\$$", ""), r"([.\\+?^${}()|\[\]])", r"\\$1")
+    return F.concat(F.lit("^"), F.regexp_replace(literal, r"\*", ".*"), F.when(pattern.endswith("$"), "$").otherwise(""))
+
+
+def robots_allowed(paths: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
+    """Whether an agent may fetch each path: the longest rule wins, a tie allows, no rule allows.
+
+    The group is that of the longest agent name contained in ``agent``, else that of *.
+    Rules are one small file's; they are broadcast.
+    """
+    named = rules.filter("pattern IS NOT NULL").withColumn("_fits", F.when(F.lit(agent.lower()).contains(F.col("agent")) & (F.col("agent") != "*"), F.length("agent")).when(F.col("agent") == "*", 0))
+    best = named.agg(F.max("_fits").alias("_best"))
+    group = named.crossJoin(F.broadcast(best)).filter("_fits = _best").select("allow", "pattern", robots_regex(F.col("pattern")).alias("_regex"))
+    once = paths.select("path").distinct()
+    hits = once.join(F.broadcast(group), F.expr("path RLIKE _regex"), "left")
+    verdict = F.max_by("allow", F.struct(F.length("pattern"), "allow"))
+    return hits.groupBy("path").agg(F.coalesce(verdict, F.lit(True)).alias("allowed"))
+
+
+def sniff_separator(first_line: str) -> str:
+    """The separator that occurs most outside quotes: comma, semicolon or tab."""
+    bare = re.sub(r'"[^"]*"', "", first_line)
+    return max((",", ";", "\t"), key=bare.count)
+
+
+def read_csv(spark: SparkSession, path: str, max_columns: int = 200) -> DataFrame:
+    """A dataset as text columns: separator found from the header, quotes doubled, records over several lines."""
+    head = spark.read.text(path).first()
+    header = (head["value"] if head else "").lstrip("﻿")
+    sep = sniff_separator(header)
+    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, mode="FAILFAST", inferSchema=False)
+    if len(df.columns) > max_columns:
+        raise ValueError(f"{len(df.columns)} columns, at most {max_columns} are read")
+    if len({c.strip().lower() for c in df.columns}) < len(df.columns):
+        raise ValueError("two columns of the header have the same name")
+    return df
+
+
+# Headers that exports of link lists use, by what they hold.
+LINK_HEADERS = {
+    "source": r"^(source ?url|referring page url|linking page|source page|url from|page url|url)$",
+    "target": r"^(target ?url|link url|target page|url to|destination url|target)$",
+    "anchor": r"^(anchor( text)?|link anchor|texto de anclaje)$",
+}
+
+
+def read_backlinks(spark: SparkSession, path: str, own_host: str) -> DataFrame:
+    """A list of links from any exporter: source_url, source_domain, target_url, anchor; own links and repeats left out."""
+    df = read_csv(spark, path)
+    found = {what: next((c for c in df.columns if re.match(pattern, c.strip().lower())), None) for what, pattern in LINK_HEADERS.items()}
+    if not found["source"]:
+        raise ValueError("no column holds the linking page")
+    column = lambda what: F.col(f"`{found[what]}`") if found[what] else F.lit(None).cast("string")
+    links = df.select(F.trim(column("source")).alias("source_url"), domain_of(F.trim(column("source"))).alias("source_domain"), F.trim(column("target")).alias("target_url"), column("anchor").alias("anchor"))
+    return links.filter((F.col("source_domain") != "") & (F.col("source_domain") != own_host)).dropDuplicates(["source_url", "target_url"])
+
+
+def parse_results_pages(rows: DataFrame, own_host: str, json: str = "json") -> DataFrame:
+    """Results pages as columns: position and url of the own page, features, top domains."""
+    schema = "organic array<struct<position:int,link:string,title:string>>, ai_overview struct<references:array<struct<link:string,title:string>>>, people_also_ask array<struct<question:string>>, local_results array<struct<title:string>>, images array<struct<link:string>>"
+    r = F.from_json(json, schema)
+    own = F.filter(r["organic"], lambda o: (domain_of(o["link"]) == own_host) | domain_of(o["link"]).endswith(f".{own_host}"))
+    present = lambda c, name: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, name)
+    sources = r["ai_overview"]["references"]
+    return rows.select(
+        "*", F.get(own, F.lit(0))["position"].alias("position"), F.get(own, F.lit(0))["link"].alias("url"),
+        F.array_compact(F.array(F.when(r["ai_overview"].isNotNull(), "ai_overview"), present(r["people_also_ask"], "people_also_ask"), present(r["local_results"], "local"), present(r["images"], "images"))).alias("features"),
+        F.when(r["ai_overview"].isNotNull(), F.exists(F.coalesce(sources, F.array().cast("array<struct<link:string,title:string>>")), lambda s: domain_of(s["link"]) == own_host)).alias("ai_cites_us"),
+        F.transform(F.slice(r["organic"], 1, 10), lambda o: F.struct(o["position"].alias("position"), domain_of(o["link"]).alias("domain"), o["link"].alias("url"))).alias("top_domains"),
+    )
+
+
+def parse_speed_results(rows: DataFrame, json: str = "json") -> DataFrame:
+    """Lab results of a page-speed run: score (0-100), lcp, cls, tbt."""
+    v = F.try_parse_json(F.col(json))
+    number = lambda path: F.try_variant_get(v, path, "double")
+    return rows.select(
+        "*", F.floor(number("$.categories.performance.score") * 100 + 0.5).cast("int").alias("score"), number("$.audits['largest-contentful-paint'].numericValue").alias("lcp_ms"),
+        number("$.audits['cumulative-layout-shift'].numericValue").alias("cls"), number("$.audits['total-blocking-time'].numericValue").alias("tbt_ms"),
+    )
+
+
+def parse_field_history(rows: DataFrame, json: str = "json") -> DataFrame:
+    """Field history given as parallel arrays: one row per period and metric."""
+    schema = "collectionPeriods array<struct<lastDate:struct<year:int,month:int,day:int>>>, metrics map<string,struct<percentilesTimeseries:struct<p75s:array<double>>>>"
+    r = rows.select("*", F.from_json(json, schema).alias("_r")).select("*", F.explode("_r.metrics").alias("metric", "_m"))
+    return r.select("*", F.explode(F.arrays_zip(F.col("_r.collectionPeriods").alias("period"), F.col("_m.percentilesTimeseries.p75s").alias("p75"))).alias("_z")).select(
+        *rows.columns, "metric", F.make_date("_z.period.lastDate.year", "_z.period.lastDate.month", "_z.period.lastDate.day").alias("date"), F.col("_z.p75").alias("p75")
+    )
+
+
+def json_ld_nodes(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
+    """Nodes of the JSON-LD in pages: key, node_no, type, json; a block that is no JSON gives type null and json null."""
+
+    def walk(value):
+        if isinstance(value, dict):
+            if "@type" in value:
+                yield value
+            for v in value.values():
+                yield from walk(v)
+        elif isinstance(value, list):
+            for v in value:
+                yield from walk(v)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
+
+        script = re.compile(r"<script[^>]*application/ld\+json[^>]*>(.*?)</script\s*>", re.IGNORECASE | re.DOTALL)
+        for pdf in batches:
+            rows = []
+            for k, text in zip(pdf[key], pdf[html].fillna("")):
+                n = 0
+                for block in script.findall(text):
+                    try:
+                        nodes = list(walk(json.loads(block)))
+                    except ValueError:
+                        rows.append((k, n, None, None))
+                        n += 1
+                        continue
+                    for node in nodes:
+                        kind = node["@type"]
+                        rows.append((k, n, kind if isinstance(kind, str) else ",".join(map(str, kind)), json.dumps(node, ensure_ascii=False)))
+                        n += 1
+            yield pd.DataFrame(rows, columns=[key, "node_no", "type", "json"])
+
+    return pages.select(F.col(key).cast("string"), html).mapInPandas(read, f"{key} string, node_no int, type string, json string")
