@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from almena.plans import record_queries
+from almena.plans import log_queries, record_queries
 
-FLAGSHIP = "p3_counts"
-_MODULES = [record_queries]
+FLAGSHIP = "r1_bot_hits_by_day"
+_MODULES = [log_queries, record_queries]
 QUERIES = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
