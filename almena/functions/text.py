@@ -42,9 +42,13 @@ def slug(text: Column, joint: str = "-") -> Column:
 
 def shingles(words: Column, k: int = 3) -> Column:
     """Distinct sequences of ``k`` words; a shorter text is one sequence, an empty one none."""
-    n = F.size(words)
-    several = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(several))
+
+    def of(w: Column) -> Column:
+        several = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(several))
+
+    # bound as a variable, the words are computed once and not once for each sequence
+    return F.get(F.transform(F.array(words), of), F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -55,9 +59,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def multiset_minus(a: Column, b: Column) -> Column:
     """Words of ``a`` beyond their number in ``b``: one (word, n) per word left."""
-    words = F.array_distinct(a)
-    left = F.transform(words, lambda w: F.struct(w.alias("word"), (F.size(F.filter(a, lambda x: x == w)) - F.size(F.filter(b, lambda x: x == w))).alias("n")))
-    return F.filter(left, lambda s: s["n"] > 0)
+
+    def of(both: Column) -> Column:
+        count = lambda side, w: F.size(F.filter(both[side], lambda x: x == w))
+        left = F.transform(F.array_distinct(both["a"]), lambda w: F.struct(w.alias("word"), (count("a", w) - count("b", w)).alias("n")))
+        return F.filter(left, lambda s: s["n"] > 0)
+
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), of), F.lit(0))
 
 
 def token_estimate(text: Column) -> Column:
