@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterator
 
@@ -96,7 +97,8 @@ def read_csv(spark: SparkSession, path: str, max_columns: int = 200) -> DataFram
     df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, mode="FAILFAST", inferSchema=False)
     if len(df.columns) > max_columns:
         raise ValueError(f"{len(df.columns)} columns, at most {max_columns} are read")
-    if len({c.strip().lower() for c in df.columns}) < len(df.columns):
+    names = [c.strip().lower() for c in next(csv.reader([header], delimiter=sep), [])]
+    if len(set(names)) < len(names):
         raise ValueError("two columns of the header have the same name")
     return df
 
