@@ -12,7 +12,8 @@ of a presentation node is the mean importance of the content below it. A line fa
 if its content or its presentation is too unimportant; prose falls by its content
 only and must be far more common than other lines, structure never falls, and a
 heading falls with the links it leads to. Hosts with few pages are judged by the
-tree of all hosts, in which a host's own name is masked. The title line of a page
+tree of all hosts, in which a host's own name is masked; a handful of pages in all
+is judged by nothing and stays whole. The title line of a page
 always stays.
 """
 
@@ -193,7 +194,7 @@ def fallen_nodes(pages: DataFrame, site: str = "site_id") -> tuple[DataFrame, se
         low = shares.filter(falls).select(*by, "node").unionByName(leads.filter(F.col("to_links") >= LEADS * F.col("all")).filter("to_links > 2").select(*by, "node"))
         kinds = (
             shares.filter("kind NOT IN ('prose', 'heading', 'leads')").groupBy(*by, "kind")
-            .agg((F.sum(-F.log("share") * F.col("n")) / F.sum("n")).alias("mean")).filter(F.col("mean") < LEAST_MEAN).select(*by, "kind")
+            .agg((F.sum(-F.log("share") * F.col("n")) / F.sum("n")).alias("mean"), F.max("m").alias("m")).filter((F.col("mean") < LEAST_MEAN) & (F.col("m") >= SMALL_HOST)).select(*by, "kind")
         )
         return low, kinds
 
@@ -205,7 +206,7 @@ def fallen_nodes(pages: DataFrame, site: str = "site_id") -> tuple[DataFrame, se
         .join(nodes.filter(f"kind = '' AND n >= {SMALL_HOST}").select("site"), "site", "left_semi")
     )
     everywhere = nodes.groupBy("kind", "node").agg(F.sum("n").alias("n"))
-    low_all, kinds_all = judged(everywhere, [], f"share >= {ALL_SHARE['prose']}", f"share >= {ALL_SHARE['other']}")
+    low_all, kinds_all = judged(everywhere, [], *(f"share >= {ALL_SHARE[k]} AND n >= {HOST_SHARE[k][1]} AND m >= {SMALL_HOST}" for k in ("prose", "other")))
     return cut_lineage(per_host), {r[0] for r in low_all.collect()}, {r[0] for r in kinds_all.collect()}
 
 

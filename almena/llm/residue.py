@@ -32,6 +32,8 @@ from almena.llm.words import fold
 #: Distinct unlabelled, and as many trusted, passages the model is fitted on.
 FIT_PASSAGES = 20_000
 ROUNDS = 8
+#: Share of the common distribution by which each class is smoothed.
+COMMON = 0.03
 #: Share of unlabelled passages taken as residue before the first round, and at most after any.
 FIRST_SHARE, MOST_SHARE = 0.005, 0.05
 FILLER, NOTICE, ORDINARY = 0, 1, 2
@@ -169,15 +171,15 @@ def trusted_kind(p: Passage) -> int | None:
 
 
 class Model:
-    """Log-probabilities of features by class."""
+    """Log-probabilities of features by class; what the fit has not seen says nothing."""
 
-    def __init__(self, weights: dict[str, tuple[float, float, float]], unseen: tuple[float, ...], prior: tuple[float, ...]):
-        self.weights, self.unseen, self.prior = weights, unseen, prior
+    def __init__(self, weights: dict[str, tuple[float, float, float]], prior: tuple[float, ...]):
+        self.weights, self.prior = weights, prior
 
     def posterior(self, found: list[str]) -> tuple[float, float, float]:
         total = list(self.prior)
         for f in found:
-            for k, w in enumerate(self.weights.get(f, self.unseen)):
+            for k, w in enumerate(self.weights.get(f, ())):
                 total[k] += w
         top = max(total)
         each = [math.exp(t - top) for t in total]
@@ -200,6 +202,8 @@ def fit(trusted: list[tuple[int, list[str]]], unlabelled: list[list[str]]) -> Mo
         for f in found:
             if f in vocabulary:
                 known[kind, vocabulary[f]] += 1
+    common = known.sum(axis=0) + np.bincount(at_col, minlength=v) + 0.5
+    common = common / common.sum()
     n = len(unlabelled)
     belief = np.tile([FIRST_SHARE / 2, FIRST_SHARE / 2, 1 - FIRST_SHARE], (n, 1))
     held = np.array([sum(k == c for k, _ in trusted) for c in range(3)], dtype=float)
@@ -207,12 +211,12 @@ def fit(trusted: list[tuple[int, list[str]]], unlabelled: list[list[str]]) -> Mo
         share = belief.sum(axis=0) if n else np.zeros(3)
         counts = known.copy()
         for c in range(3):
-            # before the first round the unlabelled say nothing about residue
-            if step or c == ORDINARY:
-                counts[c] += np.bincount(at_col, weights=belief[at_row, c], minlength=v)
-        logs = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * (v + 1)))
-        prior = (share + held + 1) / (share + held + 1).sum()
-        prior[:2] = np.minimum(prior[:2], MOST_SHARE)
+            # before the first round the unlabelled say nothing about residue, and later never more than the trusted
+            weight = 1.0 if c == ORDINARY else min(1.0, held[c] / max(share[c], 1e-9)) * (step > 0)
+            counts[c] += weight * np.bincount(at_col, weights=belief[at_row, c], minlength=v)
+        # smoothed by how common a feature is in all passages: what a class has not seen speaks against it, rare features for none
+        logs = np.log((1 - COMMON) * counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9) + COMMON * common)
+        prior = np.minimum((np.minimum(share, held) + held + 1) / (n + held.sum() + 3), MOST_SHARE)
         prior[ORDINARY] = 1 - prior[:2].sum()
         score = np.tile(np.log(prior), (n, 1))
         for c in range(3):
@@ -220,8 +224,7 @@ def fit(trusted: list[tuple[int, list[str]]], unlabelled: list[list[str]]) -> Mo
         score -= score.max(axis=1, keepdims=True) if n else 0
         belief = np.exp(score)
         belief /= belief.sum(axis=1, keepdims=True) if n else 1
-    unseen = tuple(np.log(0.1 / (counts.sum(axis=1) + 0.1 * (v + 1))))
-    return Model({f: tuple(logs[:, i]) for f, i in vocabulary.items()}, unseen, tuple(np.log(prior)))
+    return Model({f: tuple(logs[:, i]) for f, i in vocabulary.items()}, tuple(np.log(prior)))
 
 
 def _sample(pages: DataFrame, trust: bool, bound: int) -> list[Passage]:
@@ -284,7 +287,8 @@ def page_reason(found: list[Passage], model: Model, names: frozenset[str], slots
     for p in found:
         if p.place in ("title", "description") or (p.place == "heading" and not p.sole):
             continue
-        filler, notice, _ = model.posterior(features(p))
+        kind = trusted_kind(p)
+        filler, notice, _ = model.posterior(features(p)) if kind is None else (kind == FILLER, kind == NOTICE, 0)
         if filler >= LEAST:
             return "filler"
         if p.sole and notice >= LEAST and len(p.text.split()) <= NOTICE_WORDS:

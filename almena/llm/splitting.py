@@ -111,11 +111,11 @@ class Cutter:
         if room >= self.total:
             return self.total
         for rank in range(5):
-            least = max(cut, begin + self.limit // (2 if rank < SENTENCE else 4))
+            least = max(cut, begin + self.overlap, begin + self.limit // (2 if rank < SENTENCE else 4))  # the next piece begins after this one
             i = bisect.bisect_right(self.by_rank[rank], room) - 1
             if i >= 0 and self.by_rank[rank][i] > least:
                 return self.by_rank[rank][i]
-        return max(cut + 1, self._whole(room))
+        return max(cut + 1, begin + self.overlap + 1, self._whole(room))
 
     def _whole(self, place: int) -> int:
         """A hard cut is moved back from between a character and its marks or a line end's two halves."""
@@ -206,7 +206,7 @@ _PIECES = "item_id long, begin long, finish long, md string, headings array<stri
 
 def oversized_ranges(items: DataFrame, size: int = RANGE) -> DataFrame:
     """Ranges of the items above their limit: item_id, first, last, base, text with halos, length, limit, overlap, headings."""
-    limit = F.greatest(F.col("max_tokens"), F.lit(1)) * CHARS_PER_TOKEN
+    limit = F.when(F.col("max_tokens").isNotNull(), F.greatest(F.col("max_tokens"), F.lit(1)) * CHARS_PER_TOKEN)
     clean = items.select(
         F.col("item_id").cast("long"), F.coalesce("md", F.lit("")).alias("md"), limit.cast("int").alias("limit"),
         (F.greatest(F.coalesce("overlap_tokens", F.lit(0)), F.lit(0)) * CHARS_PER_TOKEN).cast("int").alias("overlap"), F.coalesce(F.expr("filter(headings, h -> h IS NOT NULL)"), F.array().cast("array<string>")).alias("headings"),
@@ -293,8 +293,8 @@ def split_items(items: DataFrame, size: int = RANGE) -> DataFrame:
     entry = tables.groupBy("item_id").applyInPandas(_stitch, "item_id long, first long, fenced boolean, cut long, open_levels array<int>, open_words array<string>")
     stitched = several.join(entry, ["item_id", "first"]).select(*several.columns, "fenced", "cut", "open_levels", "open_words").mapInArrow(emit, _PIECES)
     pieces = cut_lineage(whole.unionByName(single).unionByName(stitched))
-    counts = pieces.groupBy("item_id").agg(F.count("*").alias("n_pieces"), F.sort_array(F.collect_list("begin")).alias("_begins"))
-    numbered = pieces.join(counts, "item_id").withColumn("piece_no", F.array_position("_begins", F.col("begin")).cast("int"))
+    counts = pieces.groupBy("item_id").agg(F.count("*").alias("n_pieces"), F.sort_array(F.collect_list("finish")).alias("_ends"))
+    numbered = pieces.join(counts, "item_id").withColumn("piece_no", F.array_position("_ends", F.col("finish")).cast("int"))
     return numbered.select("item_id", "piece_no", "begin", "finish", "md", F.ceil(F.length("md") / CHARS_PER_TOKEN).cast("int").alias("tokens"), "headings", "n_pieces")
 
 
