@@ -24,10 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almena.llm.words import fold
+from almena.session import cut_lineage
 
 #: Distinct unlabelled, and as many trusted, passages the model is fitted on.
 FIT_PASSAGES = 20_000
@@ -76,10 +78,12 @@ _WORD = re.compile(r"[a-z]+(?:'[a-z]+)?|[0-9]+|[#%{}\[\]<>$_]+")
 class Passage:
     """A passage: its place (title, description, heading, block), text, whether it is a page's only text."""
 
-    __slots__ = ("place", "text", "sole", "bare")
+    __slots__ = ("place", "text", "sole", "bare", "folded", "words")
 
     def __init__(self, place: str, text: str, sole: bool = False, bare: str = ""):
         self.place, self.text, self.sole, self.bare = place, text, sole, bare
+        self.folded = fold(bare or text)
+        self.words = _WORD.findall(self.folded)
 
 
 def _plain(fragment: str) -> str:
@@ -108,7 +112,7 @@ def passages(title: str | None, description: str | None, content: str | None) ->
 
 def features(p: Passage) -> list[str]:
     """Words, pairs of words and what is known of the passage's form."""
-    words = ["0" if w.isdigit() else w for w in _WORD.findall(fold(p.bare or p.text))]
+    words = ["0" if w.isdigit() else w for w in p.words]
     out = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
     if p.sole:
         out += ["<sole>"] * 2
@@ -157,12 +161,11 @@ def template_slots(templates: DataFrame) -> tuple[frozenset[str], frozenset[tupl
 
 def trusted_kind(p: Passage) -> int | None:
     """The class a fixed cue proves, if any."""
-    words = _WORD.findall(fold(p.bare or p.text))
+    words, text = p.words, p.folded
     if p.place != "block" and not p.sole:
         return None
-    if "<same>" in features(p) or (len(words) >= 3 and sum(w in LATIN for w in words) >= 0.5 * len(words)):
+    if len(words) >= 3 and (len(set(words)) == 1 or sum(w in LATIN for w in words) >= 0.5 * len(words)):
         return FILLER
-    text = fold(p.bare or p.text)
     if len(words) <= 16 and FILLER_CUES.search(text):
         return FILLER
     if p.sole and len(words) <= NOTICE_WORDS and NOTICE_CUES.search(text):
@@ -227,33 +230,36 @@ def fit(trusted: list[tuple[int, list[str]]], unlabelled: list[list[str]]) -> Mo
     return Model({f: tuple(logs[:, i]) for f, i in vocabulary.items()}, tuple(np.log(prior)))
 
 
-def _sample(pages: DataFrame, trust: bool, bound: int) -> list[Passage]:
-    """At most ``bound`` distinct passages with the smallest hashes, trusted or not."""
+def _sample(pages: DataFrame, bound: int) -> tuple[list[Passage], list[Passage]]:
+    """At most ``bound`` distinct passages each, trusted and not, with the smallest hashes."""
+    # a fixed share of the others first, so that the order below has little to do: about four times what is wanted
+    keep = int(min(1.0, 4 * bound / max(1, pages.count() * 8)) * (1 << 20)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = set()
             for title, description, content in zip(*(c.to_pylist() for c in batch.columns)):
                 for p in passages(title, description, content):
-                    if p.text and (trusted_kind(p) is not None) == trust and not PLACEHOLDER.search(p.text):
-                        out.add((p.place, p.text, p.sole, p.bare))
-            place, text, sole, bare = zip(*sorted(out)) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.string()), pa.array(text, pa.string()), pa.array(sole, pa.bool_()), pa.array(bare, pa.string())], names=["place", "text", "sole", "bare"])
-
-    drawn = pages.select("title", "meta_description", "content").mapInArrow(run, "place string, text string, sole boolean, bare string")
-    if not trust:
-        # a fixed share first, so that the order below has little to do: twice what is wanted, by hash
-        total = max(1, pages.count() * 8)
-        keep = min(1.0, 4 * bound / total)
-        drawn = drawn.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1)
-    rows = drawn.distinct().orderBy(F.xxhash64("text", "place"), "text", "place", "sole", "bare").limit(bound).collect()
-    return [Passage(r["place"], r["text"], r["sole"], r["bare"]) for r in rows]
+                    if p.text and not PLACEHOLDER.search(p.text):
+                        trusted = trusted_kind(p) is not None
+                        if trusted or xxhash.xxh3_64_intdigest(p.text) % (1 << 20) < keep:
+                            out.add((p.place, p.text, p.sole, p.bare, trusted))
+            columns = zip(*sorted(out)) if out else [()] * 5
+            kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["place", "text", "sole", "bare", "trusted"])
+
+    drawn = cut_lineage(pages.select("title", "meta_description", "content").mapInArrow(run, "place string, text string, sole boolean, bare string, trusted boolean").distinct())
+    out = []
+    for which in ("trusted", "NOT trusted"):
+        rows = drawn.filter(which).orderBy(F.xxhash64("text", "place"), "text", "place", "sole", "bare").limit(bound).collect()
+        out.append([Passage(r["place"], r["text"], r["sole"], r["bare"]) for r in rows])
+    return out[0], out[1]
 
 
 def learn(pages: DataFrame, bound: int = FIT_PASSAGES) -> Model:
     """Fit the model on a bounded number of distinct passages of the pages."""
-    trusted = [(trusted_kind(p), features(p)) for p in _sample(pages, True, bound)]
-    return fit(trusted, [features(p) for p in _sample(pages, False, bound)])
+    trusted, others = _sample(pages, bound)
+    return fit([(trusted_kind(p), features(p)) for p in trusted], [features(p) for p in others])
 
 
 def find_residue(pages: DataFrame, templates: DataFrame, bound: int = FIT_PASSAGES) -> DataFrame:
