@@ -13,7 +13,7 @@ def clean_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFra
     return edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 40, cut_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 40) -> DataFrame:
     """PageRank of each node: id, rank (ranks sum to 1), score (0 to 100 on a logarithmic scale).
 
     ``nodes`` holds id, ``edges`` src and dst among them. What nodes without links hold is
@@ -28,15 +28,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     if not n:
         return ids.select("id", F.lit(0.0).alias("rank"), F.lit(0.0).alias("score"))
     state = cut_lineage(ids.join(degree, ids["id"] == degree["src"], "left").select("id", F.col("_out").isNull().alias("_sink"), F.lit(1.0 / n).alias("rank")))
-    for i in range(iterations):
+    for _ in range(iterations):  # a round uses the ranks three times, so they are written once each round
         held = state.agg(F.coalesce(F.sum(F.when(F.col("_sink"), F.col("rank"))), F.lit(0.0)).alias("_held"))
         flow = weighted.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("_share")).alias("_in"))
-        state = (
+        state = cut_lineage(
             state.join(flow, state["id"] == flow["dst"], "left").crossJoin(F.broadcast(held))
             .select("id", "_sink", ((1 - damping) / n + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_held") / n)).alias("rank"))
         )
-        if (i + 1) % cut_every == 0 or i + 1 == iterations:
-            state = cut_lineage(state)
     most = state.agg(F.max("rank").alias("_max"))
     score = F.floor(F.log(1 + F.col("rank") * n) / F.log(1 + F.col("_max") * n) * 100 + 0.5)
     return state.crossJoin(F.broadcast(most)).select("id", "rank", score.cast("int").alias("score"))
