@@ -10,6 +10,7 @@ from almena.operators import graph
 from almena.operators.relational import profile_columns, top_per
 from almena.operators.similarity import STOP_WORDS, banded, cosine_to_queries, minhash, simhash, tfidf
 from almena.session import table
+from almena.sources.html import head_fields
 from almena.streaming.log_stream import hits_per_window, run_to_table, stream_entries
 
 RANK_ROUNDS = 10
@@ -78,6 +79,12 @@ def j17_similar_titles(spark, sf_dir):
     return found.groupBy("query").agg(F.count("*").alias("similar"), F.round(F.max("cosine"), 5).alias("best"))
 
 
+def x14_page_fields(spark, sf_dir):
+    """First heading, headings, links and words of each generated page."""
+    g = table(spark, sf_dir, "generated_page").dropDuplicates(["page_id"]).select("page_id", F.col("content").alias("html"))
+    return head_fields(g).select("page_id", "h1", "h1_count", F.size("h2").alias("h2_count"), "links")
+
+
 def f18_tokens(spark, sf_dir):
     """Estimated tokens of Markdown items per kind, and how many stored estimates are stale."""
     i = table(spark, sf_dir, "md_item").dropDuplicates(["item_id"]).withColumn("estimate", token_estimate(F.col("md")))
@@ -178,7 +185,7 @@ _RANK = (
 )
 
 QUERIES = {f.__name__: f for f in (
-    r15_exact_duplicates, r15_thin, x1_shingles, x3_specific_words, x4_simhash, x5_minhash, x6_bands, x8_top_terms, j17_similar_titles, f18_tokens, f3_slugs, f5_escaped, k4_guarded, r36_profile, r36_datasets, r38_sections, g1_pagerank, g2_components, g3_depths, g8_redirects, st_daily_hits,
+    r15_exact_duplicates, r15_thin, x1_shingles, x3_specific_words, x4_simhash, x5_minhash, x6_bands, x8_top_terms, j17_similar_titles, x14_page_fields, f18_tokens, f3_slugs, f5_escaped, k4_guarded, r36_profile, r36_datasets, r38_sections, g1_pagerank, g2_components, g3_depths, g8_redirects, st_daily_hits,
 )}
 SQL = {
     "r15_exact_duplicates": "SELECT min(doc_id) AS keeper, count(*) AS documents FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL) GROUP BY md5(text) HAVING count(*) > 1",
@@ -187,6 +194,7 @@ SQL = {
     "x3_specific_words": _G + f", t AS (SELECT template_id, list_distinct({_WORDS.format(chr(39).join(['regexp_replace(body_template, ', '\\{\\{[^}]*\\}\\}', ', ', ' ', ', ', 'g', ')']))}) AS fixed FROM content_template), w AS (SELECT page_id, template_id, list_distinct({_WORDS.format('content')}) AS w FROM g) SELECT page_id, CAST(len(list_filter(w, lambda y: NOT list_contains(fixed, y))) AS INTEGER) AS specific FROM w JOIN t USING (template_id)",
     "x8_top_terms": _TERMS + "SELECT page_id, term, weight FROM (SELECT page_id, term, round(weight, 6) AS weight, row_number() OVER (PARTITION BY page_id ORDER BY round(weight, 6) DESC, term) AS rn FROM v) WHERE rn <= 3",
     "j17_similar_titles": _TERMS + f", q AS (SELECT a.page_id AS query, b.page_id, sum(a.weight * b.weight) AS cosine FROM v a JOIN v b ON a.term = b.term AND a.page_id <> b.page_id WHERE a.page_id % {QUERY_SHARE} = 0 GROUP BY 1, 2 HAVING sum(a.weight * b.weight) >= 0.2) SELECT query, count(*) AS similar, round(max(cosine), 5) AS best FROM q GROUP BY 1",
+    "x14_page_fields": _G + ", h AS (SELECT page_id, regexp_extract_all(content, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1) AS h1s, len(regexp_extract_all(content, '(?is)<h2\\b[^>]*>(.*?)</h2\\s*>')) AS h2s, len(regexp_extract_all(content, '(?is)<a\\b[^>]*\\shref\\s*=')) AS links FROM g) SELECT page_id, nullif(trim(regexp_replace(regexp_replace(h1s[1], '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS h1, CAST(len(h1s) AS INTEGER) AS h1_count, CAST(h2s AS INTEGER) AS h2_count, CAST(links AS INTEGER) AS links FROM h",
     "f18_tokens": "WITH i AS (SELECT DISTINCT item_id, kind, tokens, greatest(1, CAST(ceil(length(md) / 4.0) AS INTEGER)) AS estimate FROM md_item) SELECT kind, count(*) AS items, CAST(sum(estimate) AS BIGINT) AS tokens, count(*) FILTER (WHERE tokens <> estimate) AS stale FROM i GROUP BY 1",
     "f3_slugs": _P + "SELECT DISTINCT strip_accents(lower(title)) AS folded, trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM p WHERE title IS NOT NULL",
     "f5_escaped": _G + "SELECT template_id, CAST(sum(length(replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;'))) AS BIGINT) AS characters FROM g GROUP BY 1",
