@@ -9,7 +9,7 @@ from almena.functions.text import csv_guard, fold_text, html_escape, shingles, s
 from almena.operators import graph
 from almena.operators.relational import profile_columns, top_per
 from almena.operators.similarity import STOP_WORDS, banded, cosine_to_queries, minhash, simhash, tfidf
-from almena.session import table
+from almena.session import cut_lineage, table
 from almena.sources.html import head_fields
 from almena.streaming.log_stream import hits_per_window, run_to_table, stream_entries
 
@@ -125,20 +125,28 @@ def r38_sections(spark, sf_dir):
     return lines.filter(F.col("line").rlike(r"^#{1,6}\s")).groupBy(level.alias("level")).agg(F.count("*").alias("headings"), F.countDistinct("page_id").alias("pages"))
 
 
-def _links(spark, sf_dir):
-    """Suppliers link to groups of parts; groups link back through first lines."""
+def _links(spark, sf_dir, part=None):
+    """Suppliers link to groups of parts, or to what ``part`` says; these link back through first lines."""
     line = table(spark, sf_dir, "lineitem")
-    s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), (F.col("l_partkey") % 500).cast("string"))
+    part = F.col("l_partkey") % 500 if part is None else part
+    s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), part.cast("string"))
     return line.select(s.alias("src"), p.alias("dst")).unionByName(line.filter("l_linenumber = 1").select(p.alias("src"), s.alias("dst"))).distinct()
 
 
 def g1_pagerank(spark, sf_dir):
-    """PageRank of suppliers and groups of parts."""
+    """Rank of suppliers and groups of parts after the ten rounds that its SQL unrolls; not yet the converged PageRank."""
     e = _links(spark, sf_dir)
     nodes = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
     return graph.pagerank(nodes, e, iterations=RANK_ROUNDS).select("id", F.round("rank", 8).alias("rank"), "score")
 
 
+def g1_pagerank_parts(spark, sf_dir):
+    """PageRank of suppliers and of every single part, with the operator's 40 rounds."""
+    e = cut_lineage(_links(spark, sf_dir, F.col("l_partkey")))
+    nodes = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
+    return graph.pagerank(nodes, e).select("id", F.round("rank", 10).alias("rank"), "score")
+
+
 def g2_components(spark, sf_dir):
     """Crawls linked by comparison: the first of each group and how many."""
     e = table(spark, sf_dir, "crawl_run").filter("base_run_id IS NOT NULL").select(F.col("crawl_run_id").alias("src"), F.col("base_run_id").alias("dst"))
@@ -185,7 +193,7 @@ _RANK = (
 )
 
 QUERIES = {f.__name__: f for f in (
-    r15_exact_duplicates, r15_thin, x1_shingles, x3_specific_words, x4_simhash, x5_minhash, x6_bands, x8_top_terms, j17_similar_titles, x14_page_fields, f18_tokens, f3_slugs, f5_escaped, k4_guarded, r36_profile, r36_datasets, r38_sections, g1_pagerank, g2_components, g3_depths, g8_redirects, st_daily_hits,
+    r15_exact_duplicates, r15_thin, x1_shingles, x3_specific_words, x4_simhash, x5_minhash, x6_bands, x8_top_terms, j17_similar_titles, x14_page_fields, f18_tokens, f3_slugs, f5_escaped, k4_guarded, r36_profile, r36_datasets, r38_sections, g1_pagerank, g1_pagerank_parts, g2_components, g3_depths, g8_redirects, st_daily_hits,
 )}
 SQL = {
     "r15_exact_duplicates": "SELECT min(doc_id) AS keeper, count(*) AS documents FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL) GROUP BY md5(text) HAVING count(*) > 1",
