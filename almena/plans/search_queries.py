@@ -8,7 +8,7 @@ observations of prompts and measurements of URLs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almena.functions.stats import ratio_effect, relative_change, welch_p
@@ -17,9 +17,9 @@ from almena.operators.relational import every_day, falling_streak, within_interv
 from almena.session import table
 
 
-def search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def search_rows(spark: SparkSession, sf_dir: str, query: Column | None = None) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
-        (F.col("l_partkey") % 500).alias("query"), F.col("l_suppkey").alias("page"), F.col("l_quantity").cast("long").alias("clicks"),
+        (F.col("l_partkey") % 500 if query is None else query).alias("query"), F.col("l_suppkey").alias("page"), F.col("l_quantity").cast("long").alias("clicks"),
         F.floor(F.col("l_extendedprice") / 10).cast("long").alias("impressions"), (1 + F.col("l_discount") * 100).alias("position"),
     )
 
@@ -69,10 +69,10 @@ def r13_low_ctr(spark, sf_dir):
     return p.filter((F.col("impressions") >= 100) & (F.col("position") <= 10) & (ratio(F.col("clicks"), F.col("impressions")) < floor))
 
 
-def r14_conflicts(spark, sf_dir):
-    """Queries for which several pages hold a tenth of the impressions or more: share, winner, runner-up."""
-    pages = search_rows(spark, sf_dir).groupBy(norm_query(F.col("query").cast("string")).alias("query"), "page").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
-    shared = pages.withColumn("total", F.sum("impressions").over(Window.partitionBy("query"))).filter((F.col("total") >= 30) & (F.col("impressions") >= 0.02 * F.col("total")) & (F.col("impressions") >= 5))
+def _conflicts(rows: DataFrame, least_share: float) -> DataFrame:
+    """Queries for which several pages hold ``least_share`` of the impressions or more: pages, winner, runner-up, share."""
+    pages = rows.groupBy(norm_query(F.col("query").cast("string")).alias("query"), "page").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
+    shared = pages.withColumn("total", F.sum("impressions").over(Window.partitionBy("query"))).filter((F.col("total") >= 30) & (F.col("impressions") >= least_share * F.col("total")) & (F.col("impressions") >= 5))
     order = Window.partitionBy("query").orderBy(F.desc("clicks"), F.desc("impressions"), "page")
     placed = shared.withColumn("n", F.row_number().over(order))
     return placed.groupBy("query").agg(
@@ -80,12 +80,31 @@ def r14_conflicts(spark, sf_dir):
     ).filter("pages > 1")
 
 
-def r14_pairs(spark, sf_dir):
-    """Pairs of pages that are first and second for two queries or more."""
-    c = r14_conflicts(spark, sf_dir).select(F.least("winner", "runner_up").alias("page_a"), F.greatest("winner", "runner_up").alias("page_b"))
+def _conflict_pairs(conflicts: DataFrame) -> DataFrame:
+    c = conflicts.select(F.least("winner", "runner_up").alias("page_a"), F.greatest("winner", "runner_up").alias("page_b"))
     return c.groupBy("page_a", "page_b").agg(F.count("*").alias("queries")).filter("queries > 1")
 
 
+def r14_conflicts(spark, sf_dir):
+    """Queries (parts modulo 500) for which several pages hold a fiftieth of the impressions or more, as its SQL states: share, winner, runner-up."""
+    return _conflicts(search_rows(spark, sf_dir), 0.02)
+
+
+def r14_pairs(spark, sf_dir):
+    """Pairs of pages that are first and second for two queries or more of r14_conflicts."""
+    return _conflict_pairs(r14_conflicts(spark, sf_dir))
+
+
+def r14_conflicts_monthly(spark, sf_dir, least_share=0.1):
+    """Queries (part and month) for which several pages hold a tenth of the impressions or more: share, winner, runner-up."""
+    return _conflicts(search_rows(spark, sf_dir, F.concat_ws(" ", "l_partkey", F.date_format("l_shipdate", "yyyy-MM"))), least_share)
+
+
+def r14_pairs_monthly(spark, sf_dir, least_share=0.1):
+    """Pairs of pages that are first and second for two queries or more of r14_conflicts_monthly."""
+    return _conflict_pairs(r14_conflicts_monthly(spark, sf_dir, least_share))
+
+
 def r16_declining(spark, sf_dir):
     """Pages whose last three months lost a fifth or more against the three before."""
     m = months(spark, sf_dir)
@@ -210,7 +229,7 @@ _M = "WITH m AS (SELECT o_custkey % 200 AS page, strftime(o_orderdate, '%Y-%m')
 _O = "WITH o AS (SELECT user_id AS prompt, event_type AS engine, CAST(ts AS DATE) AS date, arg_max(CASE WHEN value > 100 THEN 5 WHEN value > 50 THEN 2 ELSE 0 END, event_id) AS score FROM events GROUP BY 1, 2, 3)\n"
 
 QUERIES = {f.__name__: f for f in (
-    r13_totals, r13_top_queries, r13_opportunities, r13_low_ctr, r14_conflicts, r14_pairs, r16_declining, w7_streaks, a20_monthly, r22_channels, r22_days, w3_trends, a31_weekly, a28_medians, a29_noise, w4_deltas, w5_rolling, w6_weekly_noise, a30_last_28, j13_in_intervals, r29_experiment,
+    r13_totals, r13_top_queries, r13_opportunities, r13_low_ctr, r14_conflicts, r14_pairs, r14_conflicts_monthly, r14_pairs_monthly, r16_declining, w7_streaks, a20_monthly, r22_channels, r22_days, w3_trends, a31_weekly, a28_medians, a29_noise, w4_deltas, w5_rolling, w6_weekly_noise, a30_last_28, j13_in_intervals, r29_experiment,
 )}
 SQL = {
     "r13_totals": _R + f"SELECT CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, {_up('sum(clicks) / sum(impressions)', 6)} AS ctr, {_W} AS position, count(DISTINCT query) AS queries, count(DISTINCT page) AS pages FROM r",

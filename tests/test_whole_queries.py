@@ -1,5 +1,7 @@
 """Queries that do the whole job where the SQL of their namesakes states a part of it: small tables, brute force."""
 
+import datetime as dt
+
 import numpy as np
 
 import __spark_entry__ as entry
@@ -30,3 +32,17 @@ def test_pagerank_of_single_parts_runs_40_rounds(spark, tmp_path):
     got = {r.id: r["rank"] for r in entry.queries()["g1_pagerank_parts"](spark, str(tmp_path)).collect()}
     assert {"p1", "p501", "p1001"} <= set(got) == set(ids)
     assert all(abs(got[i] - rank[i]) < 1e-9 for i in ids)
+
+
+def test_conflicts_at_a_tenth_and_their_pairs(spark, tmp_path):
+    jan, feb = dt.datetime(2000, 1, 5), dt.datetime(2000, 2, 5)
+    rows = [
+        (1, 10, 5.0, 4500.0, 0.0, jan), (1, 11, 9.0, 4500.0, 0.0, jan), (1, 12, 1.0, 900.0, 0.0, jan),  # 450, 450, 90 of 990: the last is under a tenth
+        (1, 10, 3.0, 2000.0, 0.0, feb), (1, 11, 1.0, 1000.0, 0.0, feb), (501, 12, 1.0, 8000.0, 0.0, jan),  # 501 is not 1
+        (2, 10, 1.0, 200.0, 0.0, jan), (2, 11, 1.0, 90.0, 0.0, jan),  # under 30 in all
+    ]
+    write(spark, tmp_path, "lineitem", rows, "l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp")
+    run = entry.queries()
+    got = {tuple(r) for r in run["r14_conflicts_monthly"](spark, str(tmp_path)).collect()}
+    assert got == {("1 2000-01", 2, 11, 10, 0.9091), ("1 2000-02", 2, 10, 11, 1.0)}
+    assert [tuple(r) for r in run["r14_pairs_monthly"](spark, str(tmp_path)).collect()] == [(10, 11, 2)]
