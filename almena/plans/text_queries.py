@@ -79,6 +79,25 @@ def j17_similar_titles(spark, sf_dir):
     return found.groupBy("query").agg(F.count("*").alias("similar"), F.round(F.max("cosine"), 5).alias("best"))
 
 
+def _page_vectors(spark, sf_dir):
+    """TF-IDF vectors of title and Markdown of every page, with a title or without."""
+    whole = pages(spark, sf_dir).select("page_id", F.concat_ws(" ", "title", "markdown").alias("text"))
+    return cut_lineage(tfidf(whole, "page_id", "text"))
+
+
+def x8_page_terms(spark, sf_dir):
+    """The three weightiest terms of each page, title and whole text."""
+    t = _page_vectors(spark, sf_dir).withColumn("weight", F.round("weight", 6))
+    return top_per(t, ["page_id"], 3, F.desc("weight"), F.col("term"))
+
+
+def j17_similar_pages(spark, sf_dir):
+    """Pages with whole texts like those of the query pages: how many, and the best cosine."""
+    v = _page_vectors(spark, sf_dir)
+    found = cosine_to_queries(v, v.filter(F.col("page_id") % QUERY_SHARE == 0), "page_id", 0.2)
+    return found.groupBy("query").agg(F.count("*").alias("similar"), F.round(F.max("cosine"), 5).alias("best"))
+
+
 def x14_page_fields(spark, sf_dir):
     """First heading, headings, links and words of each generated page."""
     g = table(spark, sf_dir, "generated_page").dropDuplicates(["page_id"]).select("page_id", F.col("content").alias("html"))
@@ -193,7 +212,7 @@ _RANK = (
 )
 
 QUERIES = {f.__name__: f for f in (
-    r15_exact_duplicates, r15_thin, x1_shingles, x3_specific_words, x4_simhash, x5_minhash, x6_bands, x8_top_terms, j17_similar_titles, x14_page_fields, f18_tokens, f3_slugs, f5_escaped, k4_guarded, r36_profile, r36_datasets, r38_sections, g1_pagerank, g1_pagerank_parts, g2_components, g3_depths, g8_redirects, st_daily_hits,
+    r15_exact_duplicates, r15_thin, x1_shingles, x3_specific_words, x4_simhash, x5_minhash, x6_bands, x8_top_terms, j17_similar_titles, x8_page_terms, j17_similar_pages, x14_page_fields, f18_tokens, f3_slugs, f5_escaped, k4_guarded, r36_profile, r36_datasets, r38_sections, g1_pagerank, g1_pagerank_parts, g2_components, g3_depths, g8_redirects, st_daily_hits,
 )}
 SQL = {
     "r15_exact_duplicates": "SELECT min(doc_id) AS keeper, count(*) AS documents FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL) GROUP BY md5(text) HAVING count(*) > 1",

@@ -46,3 +46,23 @@ def test_conflicts_at_a_tenth_and_their_pairs(spark, tmp_path):
     got = {tuple(r) for r in run["r14_conflicts_monthly"](spark, str(tmp_path)).collect()}
     assert got == {("1 2000-01", 2, 11, 10, 0.9091), ("1 2000-02", 2, 10, 11, 1.0)}
     assert [tuple(r) for r in run["r14_pairs_monthly"](spark, str(tmp_path)).collect()] == [(10, 11, 2)]
+
+
+def test_page_vectors_hold_the_whole_text(spark, tmp_path):
+    body = "granite quarry blasting permit"
+    rows = [(20, "Alpha", body), (21, None, body + " review"), (22, "Alpha", "velvet curtain"), (23, "Omega", None), (24, "Other", "copper kettle")]
+    write(spark, tmp_path, "page_markdown", rows, "page_id long, title string, markdown string")
+    vectors, n = {}, len(rows)
+    words = {i: [w[:-1] if len(w) > 4 and w.endswith("s") else w for w in f"{t or ''} {m or ''}".lower().split()] for i, t, m in rows}
+    df = {w: sum(w in x for x in words.values()) for x in words.values() for w in x}
+    for i, x in words.items():
+        raw = {w: (1 + np.log(x.count(w))) * np.log((n + 1) / (df[w] + 1)) for w in x}
+        norm = np.sqrt(sum(v * v for v in raw.values()))
+        vectors[i] = {w: v / norm for w, v in raw.items()}
+    cosine = {i: sum(v * vectors[i].get(w, 0) for w, v in vectors[20].items()) for i in vectors if i != 20}
+    near = [c for c in cosine.values() if c >= 0.2]
+    run = entry.queries()
+    assert [(r["query"], r.similar, r.best) for r in run["j17_similar_pages"](spark, str(tmp_path)).collect()] == [(20, len(near), round(float(max(near)), 5))]
+    assert max(cosine, key=cosine.get) == 21  # the page without a title
+    top = {(r.page_id, r.term) for r in run["x8_page_terms"](spark, str(tmp_path)).collect()}
+    assert {i for i, _ in top} == {20, 21, 22, 23, 24} and (22, "velvet") in top and (21, "review") in top
