@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from almena.functions.text import csv_guard, fold_text, html_escape, shingles, slug, to_words, token_estimate
 from almena.operators import graph
 from almena.operators.relational import profile_columns, top_per
-from almena.operators.similarity import STOP_WORDS, banded, cosine_to_queries, minhash, simhash, tfidf
+from almena.operators.similarity import STOP_WORDS, cosine_to_queries, minhash, near_duplicates, simhash, tfidf
 from almena.session import cut_lineage, table
 from almena.sources.html import head_fields
 from almena.streaming.log_stream import hits_per_window, run_to_table, stream_entries
@@ -60,10 +60,14 @@ def x5_minhash(spark, sf_dir):
 
 
 def x6_bands(spark, sf_dir):
-    """Documents that share a band of their signature with another: how many bands, and the largest bucket."""
-    b = banded(x5_minhash(spark, sf_dir), "doc_id")
-    sizes = b.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    return b.join(sizes, ["band", "bucket"]).groupBy("doc_id").agg(F.count("*").alias("bands"), F.max("n").alias("largest"))
+    """Class, group and links of each document: Jaccard 0.8 or more over sequences of five words, all pairs verified."""
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", to_words(F.col("text")).alias("words")), "doc_id", "words")
+
+
+def r15_near_duplicates(spark, sf_dir):
+    """Documents of 50 words or more in groups of near duplicates (0.85): smallest of the group and how many."""
+    d = documents(spark, sf_dir).select("doc_id", to_words(F.col("text")).alias("words")).filter("size(words) >= 50")
+    return near_duplicates(d, "doc_id", "words", 0.85).groupBy(F.col("group").alias("keeper")).agg(F.count("*").alias("documents")).filter("documents > 1")
 
 
 def x8_top_terms(spark, sf_dir):
@@ -212,7 +216,7 @@ _RANK = (
 )
 
 QUERIES = {f.__name__: f for f in (
-    r15_exact_duplicates, r15_thin, x1_shingles, x3_specific_words, x4_simhash, x5_minhash, x6_bands, x8_top_terms, j17_similar_titles, x8_page_terms, j17_similar_pages, x14_page_fields, f18_tokens, f3_slugs, f5_escaped, k4_guarded, r36_profile, r36_datasets, r38_sections, g1_pagerank, g1_pagerank_parts, g2_components, g3_depths, g8_redirects, st_daily_hits,
+    r15_exact_duplicates, r15_thin, x1_shingles, x3_specific_words, x4_simhash, x5_minhash, x6_bands, r15_near_duplicates, x8_top_terms, j17_similar_titles, x8_page_terms, j17_similar_pages, x14_page_fields, f18_tokens, f3_slugs, f5_escaped, k4_guarded, r36_profile, r36_datasets, r38_sections, g1_pagerank, g1_pagerank_parts, g2_components, g3_depths, g8_redirects, st_daily_hits,
 )}
 SQL = {
     "r15_exact_duplicates": "SELECT min(doc_id) AS keeper, count(*) AS documents FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL) GROUP BY md5(text) HAVING count(*) > 1",

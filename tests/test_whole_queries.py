@@ -1,6 +1,8 @@
 """Queries that do the whole job where the SQL of their namesakes states a part of it: small tables, brute force."""
 
 import datetime as dt
+import itertools
+import random
 
 import numpy as np
 
@@ -66,3 +68,36 @@ def test_page_vectors_hold_the_whole_text(spark, tmp_path):
     assert max(cosine, key=cosine.get) == 21  # the page without a title
     top = {(r.page_id, r.term) for r in run["x8_page_terms"](spark, str(tmp_path)).collect()}
     assert {i for i, _ in top} == {20, 21, 22, 23, 24} and (22, "velvet") in top and (21, "review") in top
+
+
+def test_near_duplicates_against_all_pairs(spark, tmp_path):
+    rng = random.Random(3)
+    fixed = [f"f{i}" for i in range(30)]
+    texts = {}
+    for base in range(6):
+        words = [f"w{rng.randrange(400)}" for _ in range(70)] + fixed
+        for _ in range(7):
+            w = list(words)
+            for _ in range(rng.randrange(6)):
+                w[rng.randrange(100)] = f"x{rng.randrange(1000)}"
+            texts[len(texts) + 1] = " ".join(w)
+    texts |= {50: texts[1], 51: "two words", 52: "Two, words!", 53: "words two", 54: "", 55: None}
+    write(spark, tmp_path, "documents", list(texts.items()), "doc_id long, text string")
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").lower().replace(",", "").replace("!", "").split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 0
+    near = {i: {i} for i in texts}
+    for a, b in itertools.combinations(texts, 2):
+        if jaccard(a, b) >= 0.8:
+            near[a].add(b)
+            near[b].add(a)
+    group = {i: i for i in texts}
+    for _ in texts:
+        group = {i: min(group[j] for j in near[i]) for i in texts}
+    want = {i: (min(j for j in texts if j == i or sets[i] and sets[j] == sets[i]), group[i], len(near[i]) - 1) for i in texts}
+    run = entry.queries()
+    got = {r.doc_id: (r["class"], r.group, r.links) for r in run["x6_bands"](spark, str(tmp_path)).collect()}
+    assert got == want and any(n > 1 for _, _, n in want.values()) and got[50][0] == 1 and got[52][0] == 51 and got[53] == (53, 53, 0)
+    assert all(r.documents > 1 for r in run["r15_near_duplicates"](spark, str(tmp_path)).collect())
