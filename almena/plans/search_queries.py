@@ -172,7 +172,7 @@ def w4_deltas(spark, sf_dir):
 
 
 def w5_rolling(spark, sf_dir):
-    """Clicks per day with the mean of the last seven rows, days without clicks counting 0."""
+    """Clicks per day with the mean of the last seven rows of the year, as its SQL states; days without clicks count 0."""
     d = every_day(days(spark, sf_dir), [], "date", ["clicks"]).withColumn("year", F.year("date"))
     return d.select("date", "clicks", F.round(F.avg("clicks").over(Window.partitionBy("year").orderBy("date").rowsBetween(-6, 0)), 6).alias("rolling"))
 
@@ -186,6 +186,21 @@ def w6_weekly_noise(spark, sf_dir):
     return b.select("year", "block", "clicks", F.round(relative_change(F.lag("clicks").over(w), F.col("clicks")), 6).alias("change"))
 
 
+def w5_rolling_series(spark, sf_dir):
+    """Clicks per day with the mean of the last seven rows of the whole series, days without clicks counting 0."""
+    d = every_day(days(spark, sf_dir), [], "date", ["clicks"])
+    return d.select("date", "clicks", F.round(F.avg("clicks").over(Window.partitionBy().orderBy("date").rowsBetween(-6, 0)), 6).alias("rolling"))
+
+
+def w6_weekly_series(spark, sf_dir):
+    """Blocks of seven days counted from the end of the whole series, each with its change against the block before."""
+    d = every_day(days(spark, sf_dir), [], "date", ["clicks"])
+    block = F.floor(F.datediff("_last", "date") / 7).cast("long").alias("block")
+    b = d.crossJoin(F.broadcast(d.agg(F.max("date").alias("_last")))).groupBy(block).agg(F.max("date").alias("last_day"), F.sum("clicks").alias("clicks"), F.count("*").alias("n")).filter("n = 7")
+    w = Window.partitionBy().orderBy(F.desc("block"))  # a row a week
+    return b.select("block", "last_day", "clicks", F.round(relative_change(F.lag("clicks").over(w), F.col("clicks")), 6).alias("change"))
+
+
 def a30_last_28(spark, sf_dir):
     """Last 28 days against the 28 before, from the last day with data."""
     d = days(spark, sf_dir)
@@ -229,7 +244,7 @@ _M = "WITH m AS (SELECT o_custkey % 200 AS page, strftime(o_orderdate, '%Y-%m')
 _O = "WITH o AS (SELECT user_id AS prompt, event_type AS engine, CAST(ts AS DATE) AS date, arg_max(CASE WHEN value > 100 THEN 5 WHEN value > 50 THEN 2 ELSE 0 END, event_id) AS score FROM events GROUP BY 1, 2, 3)\n"
 
 QUERIES = {f.__name__: f for f in (
-    r13_totals, r13_top_queries, r13_opportunities, r13_low_ctr, r14_conflicts, r14_pairs, r14_conflicts_monthly, r14_pairs_monthly, r16_declining, w7_streaks, a20_monthly, r22_channels, r22_days, w3_trends, a31_weekly, a28_medians, a29_noise, w4_deltas, w5_rolling, w6_weekly_noise, a30_last_28, j13_in_intervals, r29_experiment,
+    r13_totals, r13_top_queries, r13_opportunities, r13_low_ctr, r14_conflicts, r14_pairs, r14_conflicts_monthly, r14_pairs_monthly, r16_declining, w7_streaks, a20_monthly, r22_channels, r22_days, w3_trends, a31_weekly, a28_medians, a29_noise, w4_deltas, w5_rolling, w6_weekly_noise, w5_rolling_series, w6_weekly_series, a30_last_28, j13_in_intervals, r29_experiment,
 )}
 SQL = {
     "r13_totals": _R + f"SELECT CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, {_up('sum(clicks) / sum(impressions)', 6)} AS ctr, {_W} AS position, count(DISTINCT query) AS queries, count(DISTINCT page) AS pages FROM r",

@@ -101,3 +101,16 @@ def test_near_duplicates_against_all_pairs(spark, tmp_path):
     got = {r.doc_id: (r["class"], r.group, r.links) for r in run["x6_bands"](spark, str(tmp_path)).collect()}
     assert got == want and any(n > 1 for _, _, n in want.values()) and got[50][0] == 1 and got[52][0] == 51 and got[53] == (53, 53, 0)
     assert all(r.documents > 1 for r in run["r15_near_duplicates"](spark, str(tmp_path)).collect())
+
+
+def test_daily_series_go_on_over_new_year(spark, tmp_path):
+    first = dt.datetime(1999, 12, 10)
+    clicks = [i * i % 5 for i in range(39)]
+    clicks[0] = clicks[38] = 1  # the series begins and ends with a click
+    write(spark, tmp_path, "orders", [(first + dt.timedelta(days=i, hours=3), 500.0) for i, n in enumerate(clicks) for _ in range(n)], "o_orderdate timestamp, o_totalprice double")
+    run = entry.queries()
+    rolling = [r.rolling for r in run["w5_rolling_series"](spark, str(tmp_path)).orderBy("date").collect()]
+    assert rolling == [round(sum(clicks[max(0, i - 6) : i + 1]) / min(7, i + 1), 6) for i in range(39)]
+    sums = [sum(clicks[39 - 7 * (b + 1) : 39 - 7 * b]) for b in range(5)]  # the four days left over stand at the start
+    got = [(r.block, r.clicks, r.change) for r in run["w6_weekly_series"](spark, str(tmp_path)).orderBy("block").collect()]
+    assert got == [(b, sums[b], round((sums[b] - sums[b + 1]) / sums[b + 1], 6) if b < 4 else None) for b in range(5)]
