@@ -56,28 +56,37 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def depths(edges: DataFrame, starts: DataFrame, deepest: int = 50) -> DataFrame:
-    """Fewest links from the starts to each node that can be reached: id, depth."""
+def depths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Fewest links from the starts to each node that can be reached, however far: id, depth."""
     links = cut_lineage(clean_edges(edges))
     known = cut_lineage(starts.select("id").distinct().withColumn("depth", F.lit(0)))
-    edge = known
-    for depth in range(1, deepest + 1):
+    edge, depth = known, 0
+    while True:
+        depth += 1
         found = edge.join(links, edge["id"] == links["src"]).select(F.col("dst").alias("id")).distinct().join(known, "id", "left_anti").withColumn("depth", F.lit(depth))
         edge = cut_lineage(found)
         if edge.isEmpty():
-            break
+            return known
         known = known.unionByName(edge)
-    return known
+        if depth % 20 == 0:  # else the plan grows with the depth
+            known = cut_lineage(known)
+
 
+def redirect_ends(redirects: DataFrame) -> DataFrame:
+    """Where chains of redirects (src, dst) end: src, target, hops, loop. Followed by doubling.
 
-def redirect_ends(redirects: DataFrame, most: int = 20) -> DataFrame:
-    """Where chains of redirects (src, dst) end: src, target, hops, loop. Followed by doubling."""
-    base = redirects.filter("src IS NOT NULL AND dst IS NOT NULL").groupBy("src").agg(F.min("dst").alias("target"))
-    state = cut_lineage(base.withColumn("hops", F.lit(1)))
-    reach = 1
-    while reach < most:
+    A chain that ends has no more hops than there are sources; one that goes on beyond
+    them runs into a loop: loop is true, hops null and target some page on the way.
+    """
+    base = cut_lineage(redirects.filter("src IS NOT NULL AND dst IS NOT NULL").groupBy("src").agg(F.min("dst").alias("target")))
+    state = base.withColumn("hops", F.lit(1).cast("long"))
+    reach, sources = 1, base.count()
+    while reach <= sources:
         further = state.select(F.col("src").alias("_s"), F.col("target").alias("_t"), F.col("hops").alias("_h"))
-        state = cut_lineage(state.join(further, state["target"] == further["_s"], "left").select("src", F.coalesce("_t", "target").alias("target"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops")))
+        step = cut_lineage(state.join(further, state["target"] == further["_s"], "left").select("src", F.coalesce("_t", "target").alias("target"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), F.col("_t").isNotNull().alias("_moved")))
+        state = step.drop("_moved")
         reach *= 2
-    still = base.select(F.col("src").alias("_n")).distinct()
+        if step.filter("_moved").isEmpty():
+            break
+    still = base.select(F.col("src").alias("_n"))
     return state.join(still, state["target"] == still["_n"], "left").select("src", "target", F.when(F.col("_n").isNotNull(), F.lit(None)).otherwise(F.col("hops")).cast("int").alias("hops"), F.col("_n").isNotNull().alias("loop"))

@@ -7,6 +7,7 @@ import random
 import numpy as np
 
 import __spark_entry__ as entry
+from almena.operators import graph
 
 
 def write(spark, folder, name, rows, kinds):
@@ -114,3 +115,14 @@ def test_daily_series_go_on_over_new_year(spark, tmp_path):
     sums = [sum(clicks[39 - 7 * (b + 1) : 39 - 7 * b]) for b in range(5)]  # the four days left over stand at the start
     got = [(r.block, r.clicks, r.change) for r in run["w6_weekly_series"](spark, str(tmp_path)).orderBy("block").collect()]
     assert got == [(b, sums[b], round((sums[b] - sums[b + 1]) / sums[b + 1], 6) if b < 4 else None) for b in range(5)]
+
+
+def test_deep_nodes_and_long_chains(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(54)]
+    e = spark.createDataFrame(chain, "src string, dst string")
+    assert {r.id: r.depth for r in graph.depths(e, spark.createDataFrame([("n0",)], "id string")).collect()} == {f"n{i}": i for i in range(55)}
+    loops = [("tail", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("own", "own")]
+    got = {r.src: (r.target, r.hops, r.loop) for r in graph.redirect_ends(spark.createDataFrame(chain + loops, "src string, dst string")).collect()}
+    assert all(got[f"n{i}"] == ("n54", 54 - i, False) for i in range(54))
+    assert all(got[s][1:] == (None, True) for s in ("tail", "x", "y", "z", "own")) and len(got) == 59
+    assert graph.redirect_ends(spark.createDataFrame([], "src string, dst string")).count() == 0
