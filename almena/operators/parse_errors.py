@@ -1,14 +1,16 @@
 """Rows that fail to parse: minimum-cost error parse of raw CSV records.
 
-A record is parsed by dynamic programming over its delimiters. Quotes and
-delimiters may be inserted or deleted at cost 1 each, a cell that is too long or
-does not suit its type costs 1 more. The only zero-cost path is the strict
-grammar (a cell that begins with a quote ends at the next undoubled quote, which
-the delimiter or the end must follow), so a record loads when its minimum cost
-is 0; otherwise the edits of a cheapest path say why it does not.
-
-The zero-cost path is deterministic and is walked first in one scan; the cost
-table is only filled for the records that leave it.
+A record is parsed by dynamic programming over its quotes and delimiters, each of
+which may be inserted or deleted at cost 1. The states are those of the strict
+grammar (at the start of a cell, in a plain cell, in a quoted cell, after a quote in a
+quoted cell) with the number of the cell; text between quotes and delimiters is one
+step, for an edit inside it is never cheaper than one at its end. A path of cost 0 is
+the strict grammar: it loads if every cell suits its type and length. Otherwise the
+edits of a cheapest path state the reason, or, at cost 0, the cells that do not suit.
+
+The path of cost 0 is deterministic and is walked first in one scan; the cost
+table is only filled for the records that leave it. There is no bound on the number
+of quotes, delimiters or cells.
 """
 
 from __future__ import annotations
@@ -22,9 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Records with more delimiters than this get a reason by counting; the detection itself has no bound.
-MAX_REPAIR_DELIMITERS = 256
-
 # What each column type accepts (cells are trimmed first).
 NUMBER = re.compile(r"-?[0-9]+(?:[.,][0-9]+)?\Z")
 BOOLEAN = frozenset({"true", "false", "sí", "si", "no", "yes"})
@@ -111,89 +110,116 @@ def _cell_problems(cell: str, kind: str | None, longest: float) -> list[str]:
     return out
 
 
-def _readings(text: str, merged: int) -> list[tuple[int, str, list[str]]]:
-    """Ways to read the text between two delimiters as one cell: cost, value, edits.
+REASONS = ("broken_quoting", "cell_count", "cell_too_long", "invalid_value", "unknown_dataset")
+# States of the grammar: at the start of a cell, in a plain cell, in a quoted cell, after a quote in a quoted cell.
+START, PLAIN, QUOTED, CLOSED = range(4)
+_FAR = 1 << 60
+# Cost of an edit of each kind: of as many edits, those with fewer quotes are cheaper.
+_EDIT = 1 << 30
+
+
+def _tokens(raw: str, sep: str) -> list[str]:
+    """Quotes, delimiters and the texts between them."""
+    return [t for t in re.split(f"({re.escape(sep)}|\")", raw) if t]
+
+
+def _next(state: int, token: str, sep: str) -> tuple[int, int] | None:
+    """State after a token and by how many cells it moves on; None where the grammar has no way."""
+    if token == sep:
+        return (QUOTED, 0) if state == QUOTED else (START, 1)
+    if token == '"':
+        return (QUOTED if state in (START, CLOSED) else CLOSED if state == QUOTED else PLAIN), 0
+    return None if state == CLOSED else (PLAIN if state == START else state, 0)
 
-    ``merged`` delimiters lie inside: they are deleted one by one, or the cell is quoted.
+
+def repair(raw: str, sep: str, width: int) -> tuple[int, list[str], list[str]]:
+    """Minimum-cost parse into ``width`` cells: cost, cells, edits (as operation@cell).
+
+    Of paths with as few edits, those with fewer edits of quotes are preferred, then one
+    that takes a token to a deletion, a deletion to an insertion, and the first found.
     """
-    plain = [(merged, ["delete_delimiter"] * merged)] if merged <= 2 else [(2, ["insert_quote"] * 2)]
-    if not text.startswith('"'):
-        return [(c, text, e) for c, e in plain]
-    out = [(1 + c, text[1:], ["delete_quote", *e]) for c, e in plain]
-    close = _close_of(text, 0)
-    if close == len(text) - 1 and close > 0:
-        return [(0, text[1:-1].replace('""', '"'), []), *out]
-    if close < 0:
-        return [(1, text[1:].replace('""', '"'), ["insert_quote"]), *out]
-    closed = text.endswith('"')
-    inner = text[1 : -1 if closed else None]
-    stray = len(re.findall(r'(?<!")"(?:"")*(?!")', inner))
-    edits = ["delete_quote"] * stray + [] if closed else ["delete_quote"] * max(0, stray - 1) + ["insert_quote"]
-    if not edits:
-        edits = ["delete_quote"]
-    return [(len(edits), inner.replace('"', ""), edits), *out]
-
-
-def repair(raw: str, sep: str, kinds: list[str | None], longest: float) -> tuple[int, list[str], list[str]]:
-    """Minimum-cost parse into ``len(kinds)`` cells: cost, cells, edits (as operation@cell)."""
-    marks, at = [-len(sep)], raw.find(sep)
-    while at >= 0:
-        marks.append(at)
-        at = raw.find(sep, at + len(sep))
-    marks.append(len(raw))
-    m, k_all = len(marks) - 1, len(kinds)
-    if m > MAX_REPAIR_DELIMITERS:
-        extra = m - k_all
-        return abs(extra) or 1, [], ["delete_delimiter" if extra > 0 else "insert_delimiter" if extra < 0 else "delete_quote"]
-    best: list[dict[int, tuple[int, tuple | None]]] = [{} for _ in range(k_all + 1)]
-    best[0][0] = (0, None)
-
-    def offer(k: int, j: int, cost: int, back: tuple) -> None:
-        if j not in best[k] or cost < best[k][j][0]:
-            best[k][j] = (cost, back)
-
-    for k in range(k_all):
-        for i in sorted(best[k]):
-            cost = best[k][i][0]
-            if k:
-                offer(k + 1, i, cost + 1, (i, "", ["insert_delimiter"]))
-            for j in range(i + 1, m + 1):
-                for c, value, edits in _readings(raw[marks[i] + len(sep) : marks[j]], j - i - 1):
-                    wrong = _cell_problems(value, kinds[k], longest)
-                    offer(k + 1, j, cost + c + len(wrong), (i, value, edits + wrong))
-    if m not in best[k_all]:
-        return 1, [], ["insert_delimiter" if m < k_all else "delete_delimiter"]
-    cost, back = best[k_all][m]
-    cells, edits, k = [], [], k_all
-    while back is not None:
-        i, value, made = back
-        cells.append(value)
-        edits[:0] = [f"{x}@{k}" for x in made]
-        k -= 1
-        back = best[k][i][1]
-    return cost, cells[::-1], edits
+    tokens = _tokens(raw, sep)
+    price = {sep: _EDIT, '"': _EDIT + 1}
+    inserts = [(a, t, *step) for a in range(4) for t in ('"', sep) if (step := _next(a, t, sep)) and step != (a, 0)]
+    cost = [_FAR] * (4 * width)  # by cell and state
+    cost[START] = 0
+    back: list[dict[int, tuple[int, str]]] = [{}]  # per token: how each state was entered before it, by insertion
+
+    def insert(ways: dict[int, tuple[int, str]]) -> None:
+        """What insertions at this place add: cell by cell, for a delimiter leads only onwards and quotes pass through at most two states."""
+        for cell in range(width):
+            for _ in range(2):
+                for a, t, b, on in inserts:
+                    source, target = 4 * cell + a, 4 * (cell + on) + b
+                    if cell + on < width and cost[source] + price[t] < cost[target]:
+                        cost[target] = cost[source] + price[t]
+                        ways[target] = source, t
+
+    insert(back[0])
+    taken: list[list[tuple[int, bool] | None]] = []
+    for token in tokens:
+        new: list[int] = [_FAR] * (4 * width)
+        came: list[tuple[int, bool] | None] = [None] * (4 * width)
+        for source, c in enumerate(cost):
+            if c < _FAR:
+                step = _next(source & 3, token, sep)
+                if step and (source >> 2) + step[1] < width:
+                    target = source + step[0] - (source & 3) + 4 * step[1]
+                    if c < new[target]:
+                        new[target], came[target] = c, (source, True)
+        if token in price:
+            for source, c in enumerate(cost):
+                if c + price[token] < new[source]:
+                    new[source], came[source] = c + price[token], (source, False)
+        cost = new
+        taken.append(came)
+        back.append({})
+        insert(back[-1])
+    at = min((4 * (width - 1) + state for state in (START, PLAIN, CLOSED)), key=cost.__getitem__)
+    total = cost[at] // _EDIT
+    made: list[tuple[str, str, int]] = []  # what was done to each token, last first: take, delete or insert; the token; the cell
+    for i in range(len(tokens), -1, -1):
+        while at in back[i]:
+            source, t = back[i][at]
+            made.append(("insert", t, source >> 2))
+            at = source
+        if i:
+            source, whole = taken[i - 1][at]
+            made.append(("take" if whole else "delete", tokens[i - 1], source >> 2))
+            at = source
+    made.reverse()
+    name = {sep: "delimiter", '"': "quote"}
+    edits = [f"{what}_{name[t]}@{cell + 1}" for what, t, cell in made if what != "take"]
+    return total, strict_cells("".join(t for what, t, _ in made if what != "delete"), sep), edits
 
 
 def parse_record(raw: str | None, sep: str | None, kinds: list[str | None] | None, longest: float | None) -> tuple[bool | None, int, list[str] | None, list[str], str | None]:
     """One record: ok (None: blank, no record), cost, cells, edits, reason.
 
-    ok True has cost 0 and no reason. Reasons: unknown_dataset, broken_quoting,
-    cell_count, cell_too_long, invalid_value.
+    ok True has cost 0, no edits and no reason. The cost is the smallest number of quotes
+    and delimiters to insert or delete; cells that do not suit follow the edits. Reasons:
+    unknown_dataset; broken_quoting (the edits mend a quote), cell_count (they mend
+    delimiters only); without edits cell_too_long or invalid_value, by the first such cell.
     """
     if raw is None or not raw.strip(" "):
         return None, 0, None, [], None
     if kinds is None:
-        return False, 1, None, [], "unknown_dataset"
+        return False, 0, None, [], "unknown_dataset"
     sep = sep or ","
     limit = float("inf") if longest is None else longest
-    cells = strict_cells(raw, sep)
-    if cells is not None and len(cells) == len(kinds):
-        wrong = [f"{p}@{i + 1}" for i, (c, k) in enumerate(zip(cells, kinds)) for p in _cell_problems(c, k, limit)]
-        if not wrong:
-            return True, 0, cells, [], None
-        return False, len(wrong), cells, wrong, "cell_too_long" if wrong[0].startswith("too_long") else "invalid_value"
-    cost, mended, edits = repair(raw, sep, kinds, limit)
-    return False, max(1, cost), mended, edits, "broken_quoting" if cells is None else "cell_count"
+    cost, cells, edits = 0, strict_cells(raw, sep), []
+    if cells is None or len(cells) != len(kinds):
+        cost, cells, edits = repair(raw, sep, len(kinds))
+    wrong = [f"{p}@{i + 1}" for i, (c, k) in enumerate(zip(cells, kinds)) for p in _cell_problems(c, k, limit)]
+    if not edits and not wrong:
+        return True, 0, cells, [], None
+    if any("quote" in e for e in edits):
+        reason = "broken_quoting"
+    elif edits:
+        reason = "cell_count"
+    else:
+        reason = "cell_too_long" if wrong[0].startswith("too_long") else "invalid_value"
+    return False, cost, cells, edits + wrong, reason
 
 
 _PARSED = T.StructType(
@@ -281,12 +307,17 @@ def typed_dataset(parsed: DataFrame, dataset_id: int, names: list[str], kinds: l
 
 
 def profile(parsed: DataFrame) -> DataFrame:
-    """Per dataset: records, records that load, and a count of each reason."""
+    """Per dataset: records, records that load, and those that do not: structure (quotes or delimiters to mend), cell_too_long, invalid_value, unknown_dataset."""
+    structure = F.col("reason").isin("broken_quoting", "cell_count")
     return (
         parsed.filter(F.col("ok").isNotNull()).select("record_id", "dataset_id", "ok", "reason").distinct()
         .groupBy("dataset_id")
-        .agg(
-            F.count("*").alias("records"), F.count_if("ok").alias("loaded"),
-            *(F.count_if(F.col("reason") == r).alias(r) for r in ("broken_quoting", "cell_count", "cell_too_long", "invalid_value", "unknown_dataset")),
-        )
+        .agg(F.count("*").alias("records"), F.count_if("ok").alias("loaded"), F.count_if(structure).alias("structure"), *(F.count_if(F.col("reason") == r).alias(r) for r in REASONS[2:]))
     )
+
+
+def edit_counts(parsed: DataFrame) -> DataFrame:
+    """Per dataset, reason and operation (insert or delete, quote or delimiter; the cell aside): records that need it and how often."""
+    once = rejected(parsed).select("record_id", "dataset_id", "reason", F.explode("edits").alias("_e"))
+    each = once.select("record_id", "dataset_id", "reason", F.substring_index("_e", "@", 1).alias("operation"))
+    return each.groupBy("dataset_id", "reason", "operation").agg(F.countDistinct("record_id").alias("records"), F.count("*").alias("times"))

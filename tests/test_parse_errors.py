@@ -1,8 +1,10 @@
 """Minimum-cost record parsing: the strict grammar, reasons, edits, typed loading."""
 
 import datetime as dt
+import itertools
 import string
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -48,13 +50,30 @@ def test_types():
 
 
 def test_edits_say_what_is_wrong():
-    cost, cells, edits = repair('"a,1,2026-01-02', ",", KINDS, 20)
-    assert cost == 1 and cells == ["a", "1", "2026-01-02"] and edits == ["insert_quote@1"]
-    cost, cells, edits = repair("a,b,1,2026-01-02", ",", KINDS, 20)
-    assert cost == 1 and cells == ["a,b", "1", "2026-01-02"] and edits == ["delete_delimiter@1"]
-    cost, cells, edits = repair("a,2026-01-02", ",", KINDS, 20)
-    assert cost == 1 and cells == ["a", "", "2026-01-02"] and edits == ["insert_delimiter@2"]
-    assert repair("," * 1000, ",", KINDS, 20)[0] == 998
+    cost, cells, edits, why = parse_record('"a,1,2026-01-02', ",", KINDS, 20)[1:]
+    assert cost == 1 and why == "broken_quoting" and edits[0].split("@")[0] in ("insert_quote", "delete_quote") and len(cells) == 3
+    assert repair("a,b,1,2026-01-02", ",", 3)[0::2] == (1, ["delete_delimiter@1"]) and reason("a,b,1,2026-01-02") == "cell_count"
+    assert repair("a,2026-01-02", ",", 3)[0] == 1 and repair('"a"b', ",", 2) == (1, ["a", "b"], ["insert_delimiter@1"])
+    assert repair("," * 1000, ",", 3)[0] == 2 and repair("a" + ",a" * 600 + "\"", ",", 700)[0] == 99  # no bound on the number of delimiters
+    assert reason('x,"' + "a,b" * 400 + ",1") == "broken_quoting"
+
+
+def cheapest(raw, width):
+    """Fewest insertions and deletions of quotes and delimiters, by breadth-first search over texts."""
+    seen, level, cost = {raw}, [raw], 0
+    while not any((c := strict_cells(r, ",")) is not None and len(c) == width for r in level):
+        near = {r[:i] + t + r[i:] for r in level for i in range(len(r) + 1) for t in '",'} | {r[:i] + r[i + 1 :] for r in level for i in range(len(r)) if r[i] in '",'}
+        level, cost = list(near - seen), cost + 1
+        seen |= near
+    return cost
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_cost_is_the_smallest_of_all(width):
+    for n in range(6):
+        for raw in map("".join, itertools.product('",a', repeat=n)):
+            cost, cells, edits = repair(raw, ",", width)
+            assert cost == cheapest(raw, width) == len(edits) and len(cells) == width, raw
 
 
 @settings(max_examples=200, deadline=None)
@@ -69,7 +88,7 @@ def test_round_trip(cells):
 def test_cost_is_zero_exactly_for_the_strict_grammar(raw):
     cells = strict_cells(raw, ",")
     strict = cells is not None and len(cells) == 2
-    assert (repair(raw, ",", ["text", "text"], 99)[0] == 0) == strict
+    assert (repair(raw, ",", 2)[0] == 0) == strict
 
 
 def test_tables(spark):
