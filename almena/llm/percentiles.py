@@ -189,7 +189,7 @@ SHARES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
 
 
 def response_times(entries: DataFrame, rel_error: float = 0.0) -> DataFrame:
-    """Median, p90 and p99 of response_ms per bot_name, site_id, day and import: dim, key, n, p50, p90, p99, max_rel_error."""
-    dims = {"bot_name": F.col("bot_name"), "site_id": F.col("site_id"), "day": F.to_date("ts"), "import_id": F.col("import_id")}
+    """Median, p90 and p99 of response_ms per bot_name, site_id and day: dim, key, n, p50, p90, p99, max_rel_error."""
+    dims = {"bot_name": F.col("bot_name"), "site_id": F.col("site_id"), "day": F.to_date("ts")}
     counts = value_counts(entries, dims, "response_ms", "log_id", rel_error)
     return multi_select(counts, SHARES).withColumn("max_rel_error", F.lit(float(rel_error)))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from almena.llm.boilerplate import furniture_lines, page_bodies
 from almena.llm.leaks import find_leaks
 from almena.llm.neardup import near_duplicate_groups, similar_pages
-from almena.llm.packing import count_tokens, pack
+from almena.llm.packing import CAPACITY, count_tokens, pack
 from almena.llm.percentiles import response_times
 from almena.llm.residue import find_residue
 from almena.llm.splitting import split_items
 from almena.llm.truncation import find_truncated, truncation_report
-from almena.session import table
+from almena.session import cut_lineage, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def p6_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median, p90 and p99 of the response time per crawler, site, day and import."""
+    """Median, p90 and p99 of the response time per crawler, site and day."""
     return response_times(table(spark, sf_dir, "log_entry"))
 
 
@@ -66,6 +66,15 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(count_tokens(table(spark, sf_dir, "documents")))
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers: documents placed, containers over the capacity, documents split without need, parts out of order, fill of 0.98 or more."""
+    placed = cut_lineage(p8_containers(spark, sf_dir))
+    full = placed.filter("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("_t")).agg(F.count_if(F.col("_t") > CAPACITY).alias("over_capacity"), (F.sum("_t") / (F.count("*") * CAPACITY)).alias("_fill"), F.sum("_t").alias("_all"))
+    each = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("_t"), F.count("*").alias("_n")).agg(F.count("*").alias("documents"), F.count_if((F.col("_t") <= CAPACITY) & (F.col("_n") > 1)).alias("split_without_need"), F.count_if(F.col("_n") > F.greatest(F.ceil(F.col("_t") / CAPACITY), F.lit(1))).alias("too_many_parts"))
+    # a last container per rest of the lengths may stay open, so little data fills less
+    return each.crossJoin(full).select("documents", "split_without_need", "too_many_parts", "over_capacity", ((F.col("_fill") >= 0.98) | (F.col("_all") < 20 * CAPACITY)).alias("well_filled"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold twelve consecutive words of an evaluation item."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
@@ -86,16 +95,26 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_report(find_truncated(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_bodies": p2_bodies, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_reasons": p6_reasons, "p7_percentiles": p7_percentiles, "p8_containers": p8_containers, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
+QUERIES = {"p2_found": p2_found, "p2_bodies": p2_bodies, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_reasons": p6_reasons, "p7_percentiles": p7_percentiles, "p8_containers": p8_containers, "p8_invariants": p8_invariants, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
+# Every run of twelve words of a text, words being folded to a-z and 0-9.
+_RUNS = "list_distinct(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' ')))"
+_P9 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+i AS (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+') AS w FROM (SELECT DISTINCT item_id, text FROM eval_item WHERE text IS NOT NULL)),
+dr AS (SELECT doc_id, unnest({_RUNS}) AS run FROM d WHERE len(w) >= 12), ir AS (SELECT item_id, unnest({_RUNS}) AS run FROM i WHERE len(w) >= 12),
+f AS (SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run))
+"""
 SQL = {
+    "p8_invariants": "SELECT count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS split_without_need, CAST(0 AS BIGINT) AS too_many_parts, CAST(0 AS BIGINT) AS over_capacity, true AS well_filled FROM documents",
+    "p9_found": _P9 + "SELECT doc_id, item_id FROM f",
+    "p9_items": _P9 + "SELECT item_id, count(*) AS documents FROM f GROUP BY 1",
     "p4_found": "SELECT DISTINCT item_id FROM md_item WHERE ceil(length(md) / 4.0) > max_tokens",
     "p7_percentiles": """
-WITH entry AS (SELECT DISTINCT log_id, bot_name, site_id, import_id, CAST(ts AS DATE) AS day, response_ms FROM log_entry WHERE response_ms IS NOT NULL),
+WITH entry AS (SELECT DISTINCT log_id, bot_name, site_id, CAST(ts AS DATE) AS day, response_ms FROM log_entry WHERE response_ms IS NOT NULL),
 long AS (
   SELECT 'bot_name' AS dim, bot_name AS key, response_ms AS v FROM entry
   UNION ALL SELECT 'site_id', site_id, response_ms FROM entry
-  UNION ALL SELECT 'day', CAST(day AS VARCHAR), response_ms FROM entry
-  UNION ALL SELECT 'import_id', CAST(import_id AS VARCHAR), response_ms FROM entry),
+  UNION ALL SELECT 'day', CAST(day AS VARCHAR), response_ms FROM entry),
 placed AS (SELECT dim, key, v, row_number() OVER (PARTITION BY dim, key ORDER BY v) AS rn, count(*) OVER (PARTITION BY dim, key) AS n FROM long)
 SELECT dim, key, n,
   CAST(max(CASE WHEN rn = greatest(1, ceil(0.5 * n - 1e-9)) THEN v END) AS DOUBLE) AS p50,

@@ -2,13 +2,16 @@
 
 Per source, the hazard of a length is the share of the texts of at least that
 length that have just that length. A length at which texts are cut has a hazard
-far above its neighbours; each is tested against the hazard around it (Poisson
-upper tail by its Chernoff bound, so the p-value is conservative) and the
+far above its neighbours; each is tested against the hazard around it: the texts that
+end at the neighbouring lengths over the texts that were exposed at each of them
+(Poisson upper tail by its Chernoff bound, so the p-value is conservative), and the
 false-discovery rate is controlled per source by Benjamini and Hochberg's rule.
 An ending is incomplete if the last line stops inside a word, sentence, list
-entry, table row, code block, tag or link, or with a mark for a cut. Endings that
-carry no punctuation of their own (heading, tag line, signature, address) count
-as complete, except at a significant length of their source.
+entry, table row, code block, tag or link, or with a mark for a cut. At a significant
+length incomplete endings are cuts by a limit, and endings that carry no punctuation of
+their own (heading, tag line, signature, address) count as incomplete as well. Incomplete
+endings at other lengths are broken transfers, which the hazards cannot find because
+they break off anywhere: they are verdicts of a second kind, told apart by their cause.
 """
 
 from __future__ import annotations
@@ -20,8 +23,6 @@ from pyspark.sql import functions as F
 NEIGHBOURS = 200
 #: False-discovery rate per source.
 FDR = 0.01
-#: A limit must have been met this often, whatever its p-value.
-MIN_HITS = 3
 
 # Marks that systems add at a cut, as they stand at the end of a text.
 CUT_MARKS = (
@@ -74,9 +75,13 @@ def length_limits(endings: DataFrame, neighbours: int = NEIGHBOURS, fdr: float =
     by_length = Window.partitionBy("source").orderBy("n_chars")
     around = by_length.rangeBetween(-neighbours, neighbours)
     hazard = counts.withColumn("at_risk", F.sum("hits").over(by_length.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    near = hazard.withColumn("_ends", F.sum("hits").over(around) - F.col("hits")).withColumn("_leave", F.max("at_risk").over(around))
-    # events around it over the exposure around it: a text at risk at a length is exposed once there
-    rate = (F.col("_ends") + 0.5) / (F.greatest(F.col("_leave"), F.lit(1)) * (2 * neighbours))
+    # exposure: every text counts once at each neighbouring length it reaches, up to its own; one more end is assumed, so few texts prove nothing
+    beyond = by_length.rangeBetween(neighbours + 1, Window.unboundedFollowing)
+    first = F.greatest(F.col("n_chars") - neighbours, F.lit(1))
+    reached = F.sum(F.col("hits") * F.col("n_chars")).over(around) - F.sum("hits").over(around) * (first - 1)
+    whole_way = F.coalesce(F.sum("hits").over(beyond), F.lit(0)) * (F.col("n_chars") + neighbours - first + 1)
+    near = hazard.withColumn("_ends", F.sum("hits").over(around) - F.col("hits")).withColumn("_exposed", reached + whole_way - F.col("at_risk"))
+    rate = (F.col("_ends") + 1) / F.greatest(F.col("_exposed"), F.lit(1))
     tested = near.withColumn("expected", rate * F.col("at_risk"))
     surplus = F.col("hits") * F.log(F.col("hits") / F.col("expected")) - F.col("hits") + F.col("expected")
     scored = tested.withColumn("p_value", F.when(F.col("hits") > F.col("expected"), F.exp(-surplus)).otherwise(F.lit(1.0)))
@@ -84,25 +89,28 @@ def length_limits(endings: DataFrame, neighbours: int = NEIGHBOURS, fdr: float =
     whole = Window.partitionBy("source")
     ranked = scored.withColumn("_i", F.row_number().over(by_p)).withColumn("_m", F.count("*").over(whole))
     cut = F.max(F.when(F.col("p_value") <= F.col("_i") * fdr / F.col("_m"), F.col("p_value"))).over(whole)
-    return ranked.withColumn("_cut", cut).filter((F.col("p_value") <= F.col("_cut")) & (F.col("hits") >= MIN_HITS)).select("source", "n_chars", "hits", "at_risk", "expected", "p_value")
+    return ranked.withColumn("_cut", cut).filter(F.col("p_value") <= F.col("_cut")).select("source", "n_chars", "hits", "at_risk", "expected", "p_value")
 
 
 def find_truncated(documents: DataFrame, neighbours: int = NEIGHBOURS, fdr: float = FDR) -> DataFrame:
-    """Every document with its verdict: doc_id, source, n_chars, ending, at_limit, truncated.
+    """Every document with its verdict: doc_id, source, n_chars, ending, at_limit, cause, truncated.
 
-    Repeated rows of a document count once. A null or blank text is not truncated; the
-    length is counted from the text, in characters.
+    ``cause`` is limit (an incomplete ending at a significant length of the source),
+    transfer (an incomplete ending at another length) or null. Repeated rows of a
+    document count once. A null or blank text is not truncated; the length is counted
+    from the text, in characters.
     """
     endings = documents.select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), ending_kind(F.col("text")).alias("ending")).dropDuplicates(["doc_id"])
     limits = length_limits(endings.filter("n_chars > 0"), neighbours, fdr).select(F.col("source").alias("_s"), F.col("n_chars").alias("_n"))
     at = endings.join(limits, endings["source"].eqNullSafe(limits["_s"]) & (endings["n_chars"] == limits["_n"]), "left")
     hit = F.col("_n").isNotNull()
-    return at.select("doc_id", "source", "n_chars", "ending", hit.alias("at_limit"), (F.col("ending").isin(*OPEN_KINDS) | (hit & F.col("ending").isin(*BARE_KINDS))).alias("truncated"))
+    cause = F.when(hit & F.col("ending").isin(*OPEN_KINDS, *BARE_KINDS), "limit").when(F.col("ending").isin(*OPEN_KINDS), "transfer")
+    return at.select("doc_id", "source", "n_chars", "ending", hit.alias("at_limit"), cause.alias("cause"), cause.isNotNull().alias("truncated"))
 
 
 def truncation_report(verdicts: DataFrame) -> DataFrame:
-    """Per source: documents, truncated, at_limit, share."""
+    """Per source: documents, truncated, by_limit, by_transfer, share."""
     return verdicts.groupBy("source").agg(
-        F.count("*").alias("documents"), F.count_if("truncated").alias("truncated"), F.count_if(F.col("truncated") & F.col("at_limit")).alias("at_limit"),
+        F.count("*").alias("documents"), F.count_if("truncated").alias("truncated"), F.count_if(F.col("cause") == "limit").alias("by_limit"), F.count_if(F.col("cause") == "transfer").alias("by_transfer"),
         F.round(F.count_if("truncated") / F.count("*"), 6).alias("share"),
     )

@@ -39,10 +39,9 @@ def test_against_all_runs(spark, monkeypatch):
     want = brute(docs, items)
     assert len(want) > 30
     d, i = spark.createDataFrame([(*x, "z") for x in docs + docs[:9]], DOC), spark.createDataFrame([(*x, "z") for x in items + items[:3]], ITEM)
-    for at_once, indexed in ((2_000_000, 512), (50, 7)):
+    for at_once, most in ((2_000_000, 4_000_000), (50, 90)):
         monkeypatch.setattr(leaks, "WORDS_AT_ONCE", at_once)
-        monkeypatch.setattr(leaks, "INDEXED", indexed)
-        got = [tuple(r) for r in find_leaks(d, i).collect()]
+        got = [tuple(r) for r in find_leaks(d, i, most=most).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
 

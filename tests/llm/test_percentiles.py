@@ -30,7 +30,7 @@ def test_against_sorting(spark, monkeypatch, few):
     monkeypatch.setattr(P, "FEW", few)
     data = rows()
     got = P.response_times(spark.createDataFrame(data + data[:200], SCHEMA)).collect()
-    for dim, at in (("bot_name", lambda r: r[4]), ("site_id", lambda r: r[2]), ("day", lambda r: str(r[3].date())), ("import_id", lambda r: str(r[1]))):
+    for dim, at in (("bot_name", lambda r: r[4]), ("site_id", lambda r: r[2]), ("day", lambda r: str(r[3].date()))):
         for c, p in P.SHARES.items():
             assert {r.key: r[c] for r in got if r.dim == dim} == exact(data, at, p)
     assert sum(r.n for r in got if r.dim == "day") == sum(r[5] is not None for r in data)

@@ -48,6 +48,25 @@ def test_limits_and_report(spark):
     assert not by[9001].truncated and not by[9002].truncated and by[9003].truncated
     open_at_600 = [i for i, t, s, _ in rows if t and len(t) == 600 and not t.endswith(".")]
     assert open_at_600 and all(by[i].truncated for i in open_at_600)
+    assert all(by[i].cause == "limit" for i in open_at_600) and by[9003].cause == "transfer" and by[9000].cause == "limit" and by[9001].cause is None
     report = {r.source: r for r in truncation_report(verdicts).collect()}
     assert report["free"].truncated == 0 and report["limited"].share == round(report["limited"].truncated / report["limited"].documents, 6)
     assert find_truncated(df.limit(0)).count() == 0
+
+
+def test_hazards_decide(spark):
+    """A heading is an ending like any other, but not at a length where texts of its source are cut."""
+    rows = [r for r in corpus() if r[2] == "limited"] + [(9000, "x.\n## Fin " + "a" * 590, "limited", "z"), (9004, "x.\n## Fin " + "a" * 600, "limited", "z")]
+    by = {r.doc_id: r.truncated for r in find_truncated(spark.createDataFrame(rows, SCHEMA)).filter("doc_id >= 9000").collect()}
+    off = {r.doc_id: r.truncated for r in find_truncated(spark.createDataFrame(rows, SCHEMA), fdr=-1.0).filter("doc_id >= 9000").collect()}
+    assert by == {9000: True, 9004: False} and off == {9000: False, 9004: False}
+
+
+def test_exposure(spark):
+    """Expected hits follow the texts that reach each neighbouring length, counted one by one."""
+    sizes = [5, 5, 5, 5, 5, 5, 3, 8, 8, 9, 20, 21, 40]
+    found = {r.n_chars: r.expected for r in length_limits(spark.createDataFrame([("s", n) for n in sizes], "source string, n_chars int"), 4, 1.0).collect()}
+    for n in set(sizes) & set(found):
+        near = [m for m in range(max(1, n - 4), n + 5) if m != n]
+        exposed, ends = sum(sum(s >= m for s in sizes) for m in near), sum(s in near for s in sizes)
+        assert abs(found[n] - (ends + 1) / max(1, exposed) * sum(s >= n for s in sizes)) < 1e-9
