@@ -2,7 +2,7 @@
 
 import random
 
-from almena.llm.residue import fit, features, find_residue, has_placeholder, passages, template_slots, trusted_kind
+from almena.llm.residue import NOTICE, NOTICE_CUES, PASSAGE, PLACEHOLDER_MARK, find_residue, fit, forms, marks, passages, read_units, template_slots, trusted_kind
 
 SCHEMA = "page_id long, title string, meta_description string, content string, reason string"
 TEMPLATE = "template_id long, title_template string, body_template string"
@@ -25,21 +25,45 @@ def test_pages(spark):
     assert find_residue(spark.createDataFrame([], SCHEMA), templates).count() == 0
 
 
-def test_placeholders(spark):
+def labels(text, names, slots):
+    return [label for label, _ in marks(text, "block", names, slots)]
+
+
+def test_cues_label_marks(spark):
     names, slots = template_slots(spark.createDataFrame([(1, None, "<p>Desde {{precio}} pesos</p>")], TEMPLATE))
     assert names == {"precio"} and slots == {("desde", "pesos")}
     for text in ("{{x}}", "{{ X }}", "{{{x}}}", "{{SERVICIO | M", "${x}", "<%= x %>", "{% x %}", "[[x]]", "%ciudad%", "__ciudad__", "#ciudad#", "[precio]", "{x}", "de #N/A", "NaN", "Desde null pesos", "[object Object]"):
-        assert has_placeholder(text, names, slots), text
+        assert PLACEHOLDER_MARK in labels(text, names, slots), text
     for text in ("37% de 12%", "[IVA incluido]", "{A, B}", "was undefined at first", "# uno # dos", "a __ b", "C# y F#", "5 % y 6 %"):
-        assert not has_placeholder(text, names, slots), text
+        assert PLACEHOLDER_MARK not in labels(text, names, slots), text
 
 
-def test_model_learns_words_beyond_the_cues():
+def test_scores_find_what_no_cue_knows(spark):
+    """A message and a notice of any length that hold no cue are found by words learned from others; without the fit they are not."""
     rng = random.Random(2)
-    plain = [features(p) for _ in range(400) for p in passages(None, None, ordinary(rng, 1) + ordinary(rng, 1))]
-    cue = [(trusted_kind(p), features(p)) for i in range(40) for p in passages(None, None, f"<p>Error interno, vuelva a intentarlo luego {i}</p>")]
-    model = fit(cue, plain)
-    near = [p for p in passages(None, None, "<p>Fallo, vuelva a intentarlo luego</p>")]
-    assert trusted_kind(near[0]) is None and model.posterior(features(near[0]))[1] > 0.5
-    assert model.posterior(plain[0])[2] > 0.9
-    assert fit([], []).posterior(["a"])[2] > 0.5
+    good = [(i, f"t {i}", "d", f"<h1>t</h1>{ordinary(rng, 5)}", "x") for i in range(400)]
+    cued = [(1000 + i, "t", "d", f"<p>Error interno, vuelva a intentarlo luego o avise a soporte, folio {i}</p>", "x") for i in range(40)]
+    near = (2000, "t", "d", "<p>Fallo: vuelva a intentarlo luego o avise a soporte</p>", "x")
+    long = (2001, "t", "d", "<p>" + "Error interno, vuelva a intentarlo luego o avise a soporte. " * 6 + "</p>", "x")
+    templates = spark.createDataFrame([(1, "{{servicio}}", "<p>{{precio}}</p>")], TEMPLATE)
+    for page in (near, long):
+        assert trusted_kind(passages(*page[1:4])[-1]) == -1
+    assert not NOTICE_CUES.search(near[3])
+    pages = spark.createDataFrame(good + cued + [near, long], SCHEMA)
+    assert {r.page_id for r in find_residue(pages, templates).collect()} == {p[0] for p in cued} | {2000, 2001}
+    assert {r.page_id for r in find_residue(spark.createDataFrame(good + [near], SCHEMA), templates).collect()} == set()
+
+
+def test_fit_is_the_same_however_units_are_spread(spark):
+    rng = random.Random(4)
+    pages = [(i, "t", "d", ordinary(rng, 3), "x") for i in range(60)] + [(100 + i, "t", "d", f"<p>404 Not Found {i}</p>", "x") for i in range(9)]
+    templates = spark.createDataFrame([(1, "{{a}}", "{{b}}")], TEMPLATE)
+    df = spark.createDataFrame(pages, SCHEMA)
+    one, other = (fit(read_units(df.repartition(n), templates)) for n in (1, 5))
+    assert abs(one.logs - other.logs).max() < 1e-4 and abs(one.prior - other.prior).max() < 1e-9
+    assert one.prior[PASSAGE].argmax() == 2 and one.prior[PASSAGE, NOTICE] > fit(read_units(df.limit(0), templates)).prior[PASSAGE, NOTICE] - 9
+
+
+def test_forms():
+    same, plain = passages(None, None, "<p>xxxx xxxx xxxx</p>")[0], passages(None, None, "<p>uno</p><p>dos</p>")[0]
+    assert forms(same).count("<same>") == 4 and "<sole>" in forms(same) and "<sole>" not in forms(plain)
