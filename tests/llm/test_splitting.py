@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from almena.llm.splitting import split_items
+from almena.llm.splitting import split_files, split_items
 
 SCHEMA = "item_id long, headings array<string>, md string, tokens int, max_tokens int, overlap_tokens int, piece_no string"
 
@@ -68,3 +68,27 @@ def test_characters_are_not_torn(spark):
 
 def test_empty(spark):
     assert split_items(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("size", [300, 5000])
+def test_files_are_read_by_byte_ranges(spark, tmp_path, size):
+    """Files split by byte ranges give the pieces that their text gives as an item."""
+    texts = {f"f{r[0]}.md": r[2] for r in items()[:6]} | {"long.md": "日本語の文。é" * 900, "one.md": "x" * 9000, "empty.md": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    rows = [(i, [], text, None, 64, 10, "x") for i, text in enumerate(texts.values())]
+    want = {(list(texts)[r.item_id], r.piece_no, r.begin, r.finish, r.md, tuple(r.headings), r.n_pieces) for r in split_items(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = [(r.path.rsplit("/", 1)[-1], r.piece_no, r.begin, r.finish, r.md, tuple(r.headings), r.n_pieces) for r in split_files(spark, str(tmp_path), 64, 10, size).collect()]
+    short = {x[0] for x in want if x[6] == 1}
+    assert len(got) == len(set(got)) and {x for x in got if x[0] not in short} == {x for x in want if x[0] not in short}
+    assert {x[0]: x[4] for x in got if x[0] in short} == {n: texts[n] for n in short if texts[n]}
+
+
+def test_same_pieces_for_odd_texts(spark):
+    """Long lines without any boundary, code blocks without an end and blanks of all kinds, whatever the ranges."""
+    rng = random.Random(8)
+    parts = ["x" * 700, "```\n", "\n\n", "a b. ", "文。文", "\t", "# h\n", "~~~\n", " " * 90, "- i\n", "é", "\r\n", "word " * 40]
+    rows = [(i, [], "".join(rng.choice(parts) for _ in range(120)), None, rng.choice([16, 33, 100]), rng.choice([0, 5, 60]), "x") for i in range(25)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    runs = [sorted(map(tuple, split_items(df, size).select("item_id", "piece_no", "begin", "finish", "n_pieces").collect())) for size in (400, 3000, 1 << 20)]
+    assert runs[0] == runs[1] == runs[2]
