@@ -78,6 +78,30 @@ _TAG = re.compile(r"<[/!?A-Za-z][^<>]*>")
 _LINKS = re.compile(r"<a\b[^<>]*>.*?</a\s*>", re.IGNORECASE | re.DOTALL)
 #: What looks like a mark: any bracketed name, and the fixed values above.
 _BRACKETED = re.compile(r"[\[{]\s*([\w.-]+)\s*[\]}]")
+_SIGNS = ("{", "[", "}}", "<%", "__", "@@", "NaN", "XXX", "#N/", "#REF", "#VAL", "null", "undefined", "nil", "None", "N/A", "n/a", "NULL")
+_SIGNED = re.compile("[%#][A-Za-zÀ-ÿ]")
+_WORD = re.compile(r"(?<![\w.])(?:undefined|null|nil|None|N/A|n/a|NULL)(?!\w)")
+# Words of the usual filler text, and cues that prove a passage of either kind.
+LATIN = frozenset(
+    "lorem ipsum dolor amet consectetur adipiscing elit nulla magna aliqua tempor tellus lectus risus arcu mauris velit semper felis porta lacinia congue vitae ligula urna massa nisi justo orci vestibulum".split()
+)
+FILLER_CUES = re.compile(
+    r"^(todo|fixme)\s*:|\b(coming soon|proximamente|under construction|en construccion|goes here|text here|copy here|content here|to be added|to be defined|to follow|will be written|your own copy|sample (text|description|copy|paragraph)|placeholder text|dummy text|tbd"
+    r"|insert\b.{0,40}\bhere|add\b.{0,60}\bhere|write\b.{0,40}\bhere|texto de (relleno|ejemplo|muestra|prueba)|parrafo de (muestra|ejemplo|relleno)|escriba aqui|inserte aqui|aqui va|por definir"
+    r"|pendiente de (redactar|revisar|definir|escribir)|antes de publicar|no publicar|contenido de ejemplo|descripcion provisional|(texto|contenido|descripcion) pendiente)\b"
+)
+NOTICE_CUES = re.compile(
+    r"\b(not found|no encontrad[ao]|no encontramos|no existe|could not be found|page is missing|bad gateway|gateway time-?out|service unavailable|servicio no disponible|internal server error|error interno"
+    r"|too many requests|demasiadas solicitudes|access denied|acceso denegado|forbidden|do not have permission|no tiene permiso|has been blocked|session (has )?expired|sesion (ha )?(caduc|expir)\w*|log in again|inicie sesion"
+    r"|maintenance|mantenimiento|database connection|sqlstate|fatal error|traceback|uncaught|stack trace|undefined array key|upstream|javascript|noscript|scripts?|browser|navegador|captcha|not a robot|no es un robot|algo salio mal|something went wrong)\b"
+)
+_BLOCK = re.compile(r"<\s*(/?)\s*(p|div|h[1-6]|ul|ol|li|table|tr|td|th|section|article|noscript|br|pre|blockquote|main|header|footer|body|html)\b[^<>]*>", re.IGNORECASE)
+_CODE = re.compile(r"<\s*(code|pre|script|style|kbd|samp|blockquote|q)\b[^<>]*>.*?<\s*/\s*\1\s*>|`[^`]*`", re.IGNORECASE | re.DOTALL)
+_QUOTED = re.compile(r"«[^«»]{0,200}»|“[^“”]{0,200}”")
+_TAG = re.compile(r"<[/!?A-Za-z][^<>]*>")
+_LINKS = re.compile(r"<a\b[^<>]*>.*?</a\s*>", re.IGNORECASE | re.DOTALL)
+#: What looks like a mark: any bracketed name, and the fixed values above.
+_BRACKETED = re.compile(r"[\[{]\s*([\w.-]+)\s*[\]}]")
 _MAYBE = re.compile(r"[\[\]{}$%_#@<(/]|NaN|XXX|undefined|null|nil|None|NULL")
 _WORD = re.compile(r"[a-z]+(?:'[a-z]+)?|[0-9]+|[#%{}\[\]<>$_]+")
 
@@ -85,28 +109,42 @@ _WORD = re.compile(r"[a-z]+(?:'[a-z]+)?|[0-9]+|[#%{}\[\]<>$_]+")
 class Passage:
     """A passage: its place (title, description, heading, block), text, whether it is body, and a page's only body."""
 
-    __slots__ = ("place", "text", "body", "sole", "bare", "folded", "words")
+    __slots__ = ("place", "text", "body", "sole", "bare", "folded", "words", "latin")
 
     def __init__(self, place: str, text: str, body: bool = False, sole: bool = False, bare: str = ""):
         self.place, self.text, self.body, self.sole, self.bare = place, text, body, sole, bare
         self.folded = fold(bare or text)
         self.words = _WORD.findall(self.folded)
+        self.latin = sum(map(LATIN.__contains__, self.words)) >= 0.5 * len(self.words) > 1
 
 
 def _plain(fragment: str) -> str:
-    return re.sub(r"\s+", " ", html.unescape(_TAG.sub(" ", fragment))).strip()
+    if "<" in fragment:
+        fragment = _TAG.sub(" ", fragment)
+    if "&" in fragment:
+        fragment = html.unescape(fragment)
+    return " ".join(fragment.split())
+
+
+def _unquoted(text: str) -> str:
+    return _QUOTED.sub(" ", text) if "«" in text or "“" in text else text
+
+
+def _without_code(text: str) -> str:
+    return _CODE.sub(" ", text) if "<" in text or "`" in text else text
 
 
 def passages(title: str | None, description: str | None, content: str | None) -> list[Passage]:
     """The passages of a page, code and quotations left out; null and empty parts have none."""
-    out = [Passage(place, _QUOTED.sub(" ", _plain(_CODE.sub(" ", text)))) for place, text in (("title", title), ("description", description)) if text]
+    out = [Passage(place, _unquoted(_plain(_without_code(text)))) for place, text in (("title", title), ("description", description)) if text]
     blocks: list[tuple[bool, str, str]] = []
     at, heading = 0, False
-    text = _CODE.sub(" ", content or "")
+    text = _without_code(content or "")
     for m in [*_BLOCK.finditer(text), None]:
         piece = text[at : m.start() if m else len(text)]
         if piece.strip():
-            blocks.append((heading, _QUOTED.sub(" ", _plain(piece)), _QUOTED.sub(" ", _plain(_LINKS.sub(" ", piece)))))
+            whole = _unquoted(_plain(piece))
+            blocks.append((heading, whole, _unquoted(_plain(_LINKS.sub(" ", piece))) if "<" in piece else whole))
         if m:
             at = m.end()
             heading = not m[1] and m[2][0] in "hH" and m[2][1:].isdigit()
@@ -119,12 +157,12 @@ def passages(title: str | None, description: str | None, content: str | None) ->
 
 
 class _Numbers(dict):
-    """Number of a word or feature, above 0."""
+    """Number of a word or feature, above 0; all numbers written in digits have the same."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= 400_000:
             self.clear()
-        self[word] = n = (zlib.crc32(word.encode()) >> 1) + 1
+        self[word] = n = self["0"] if word.isdigit() and word != "0" else (zlib.crc32(word.encode()) >> 1) + 1
         return n
 
 
@@ -134,7 +172,7 @@ def forms(p: Passage) -> list[str]:
     out = ["<sole>"] * 2 * p.sole + ["<empty>" if not n else "<short>" if n <= 12 else "<long>"]
     if n >= 3 and len(set(p.words)) == 1:
         out += ["<same>"] * 4
-    if sum(w in LATIN for w in p.words) >= 0.5 * n > 1:
+    if p.latin:
         out += ["<latin>"] * 4
     return out
 
@@ -142,7 +180,7 @@ def forms(p: Passage) -> list[str]:
 def trusted_kind(p: Passage) -> int:
     """The class for which a fixed cue labels a passage, or -1."""
     words, text = p.words, p.folded
-    if len(words) >= 3 and (len(set(words)) == 1 or sum(w in LATIN for w in words) >= 0.5 * len(words)):
+    if len(words) >= 3 and (p.latin or len(set(words)) == 1):
         return FILLER
     if len(words) <= LABEL_FILLER and FILLER_CUES.search(text):
         return FILLER
@@ -162,7 +200,7 @@ def marks(text: str, place: str, names: frozenset[str], slots: frozenset[tuple[s
     ``names`` are the variables of the templates, ``slots`` the words before and after
     their places.
     """
-    if not _MAYBE.search(text):
+    if not any(sign in text for sign in _SIGNS) and not (("%" in text or "#" in text) and _SIGNED.search(text)):
         return
     for pattern, syntax in ((PLACEHOLDER, True), (MISSING, True), (_BRACKETED, False), (MISSING_WORD, False)):
         for m in pattern.finditer(text):
@@ -206,7 +244,7 @@ def read_units(pages: DataFrame, templates: DataFrame) -> DataFrame:
                     for label, found in marks(p.text, p.place, names, slots):
                         out.append((page, MARK, label, False, [x for f in found for x in (0, number[f])]))
                     if p.place == "block" or p.sole:
-                        words = [number["0" if w.isdigit() else w] for w in p.words]
+                        words = [number[w] for w in p.words]
                         out.append((page, PASSAGE, trusted_kind(p), p.body, words + [x for f in forms(p) for x in (0, number[f])]))
             columns = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _UNIT_KINDS)], names=["page_id", "family", "label", "body", "numbers"])
