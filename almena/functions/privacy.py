@@ -37,8 +37,16 @@ def hash_ip(ip: Column, salt: str) -> Column:
     return F.when(F.coalesce(ip, F.lit("")) == "", "0.0.0.0").otherwise(F.substring(F.sha2(F.concat(F.unhex(F.lit(outer)), F.unhex(digest)), 256), 1, 16))
 
 
+#: Characters of a sample that are kept.
+SAMPLE = 300
+# What a sample must not show: dotted quads, groups of hexadecimal digits between colons, values after a name that may be secret.
+_QUAD = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])"
+_COLONS = r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}(?![0-9a-f:])"
+_NAMED = "(?i)([?&](?:" + "|".join(SECRET) + ")=)[^&#\\s\"]+"
+
+
 def redact_line(line: Column) -> Column:
-    """A sample of a line that failed to parse: addresses and secrets masked, at most 300 characters."""
-    line = F.regexp_replace(line, r"\b\d{1,3}(\.\d{1,3}){3}\b", "[ip]")
-    line = F.regexp_replace(line, r"(?i)\b([0-9a-f]{1,4}:){2,7}[0-9a-f]{1,4}\b", "[ip]")
-    return F.substring(F.regexp_replace(line, r'(?i)([?&](token|password|email|key|session)[^=\s"]*=)[^&\s"]*', "$1[REDACTED]"), 1, 300)
+    """A sample of a line that failed to parse, cut to ``SAMPLE`` characters once addresses and the values of secret parameters are masked."""
+    for pattern, mask in ((_NAMED, "$1[REDACTED]"), (_QUAD, "[ip]"), (_COLONS, "[ip]")):
+        line = F.regexp_replace(line, pattern, mask)
+    return F.left(line, F.lit(SAMPLE))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import csv
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almena.functions.url import domain_of
+from almena.functions.url import domain_of, owns
 
 _ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
 
@@ -31,16 +33,19 @@ def parse_sitemaps(xml: DataFrame, content: str = "content") -> DataFrame:
     return found.select(inner("loc").alias("url"), F.to_date(F.substring(F.nullif(inner("lastmod"), F.lit("")), 1, 10).try_cast("date")).alias("lastmod"), F.col("_block").rlike(r"(?i)^<(?:\w+:)?sitemap\b").alias("is_index")).filter("url <> ''")
 
 
-_RULES = "agent string, allow boolean, pattern string, sitemap string, crawl_delay double"
+_RULES = "site string, agent string, allow boolean, pattern string, sitemap string, crawl_delay double"
 
 
-def robots_rules(robots: DataFrame, content: str = "content") -> DataFrame:
-    """Rules of robots files: a row per agent and rule, per sitemap line and per crawl delay."""
+def robots_rules(robots: DataFrame, content: str = "content", site: str | None = None) -> DataFrame:
+    """Rules of robots files: a row per agent and rule, per sitemap line and per crawl delay, with the site of the file.
+
+    ``site`` names the column that says whose file it is (null without one).
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows: list[tuple] = []
-            for text in pdf[content].fillna(""):
+            for own, text in zip(pdf["site"], pdf["content"].fillna("")):
                 agents, in_rules = [], False
                 for line in text.splitlines():
                     field, _, value = line.split("#", 1)[0].partition(":")
@@ -50,16 +55,17 @@ def robots_rules(robots: DataFrame, content: str = "content") -> DataFrame:
                         in_rules = False
                     elif field in ("allow", "disallow"):
                         in_rules = True
-                        rows += [(a, field == "allow", value, None, None) for a in agents if value]
+                        rows += [(own, a, field == "allow", value, None, None) for a in agents if value]
                     elif field == "crawl-delay":
                         in_rules = True
                         delay = float(value) if re.fullmatch(r"\d+(\.\d+)?", value) else None
-                        rows += [(a, None, None, None, delay) for a in agents]
+                        rows += [(own, a, None, None, None, delay) for a in agents]
                     elif field == "sitemap" and value:
-                        rows.append((None, None, None, value, None))
-            yield pd.DataFrame(rows, columns=["agent", "allow", "pattern", "sitemap", "crawl_delay"])
+                        rows.append((own, None, None, None, value, None))
+            yield pd.DataFrame(rows, columns=["site", "agent", "allow", "pattern", "sitemap", "crawl_delay"])
 
-    return robots.select(content).mapInPandas(read, _RULES)
+    whose = F.col(site).cast("string") if site else F.lit(None).cast("string")
+    return robots.select(whose.alias("site"), F.col(content).alias("content")).mapInPandas(read, _RULES)
 
 
 def robots_regex(pattern: Column) -> Column:
@@ -68,19 +74,39 @@ def robots_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(literal, r"\*", ".*"), F.when(pattern.endswith("$"), "$").otherwise(""))
 
 
+def _group_of(rules: DataFrame, agent: Column, by: list[str]) -> DataFrame:
+    """The rules of the group that holds for an agent: that of the longest name contained in it, else that of *."""
+    fits = F.when(F.col("agent") == "*", 0).when(F.lower(agent).contains(F.col("agent")), F.length("agent"))
+    named = rules.filter("pattern IS NOT NULL").withColumn("_fits", fits).filter("_fits IS NOT NULL")
+    best = named.groupBy(*by).agg(F.max("_fits").alias("_best"))
+    same = [named[c].eqNullSafe(best[c]) for c in by]
+    return named.join(best, [*same, named["_fits"] == best["_best"]], "left_semi").drop("_fits")
+
+
 def robots_allowed(paths: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """Whether an agent may fetch each path: the longest rule wins, a tie allows, no rule allows.
+    """Whether an agent may fetch each path of each site: the longest rule wins, a tie allows, no rule allows.
 
-    The group is that of the longest agent name contained in ``agent``, else that of *.
-    Rules are one small file's; they are broadcast.
+    ``paths`` holds path and, if the rules are of several sites, site. The rules of a site
+    are gathered into one row (a robots file is small) and matched there, so paths and
+    rules meet by an equal key.
     """
-    named = rules.filter("pattern IS NOT NULL").withColumn("_fits", F.when(F.lit(agent.lower()).contains(F.col("agent")) & (F.col("agent") != "*"), F.length("agent")).when(F.col("agent") == "*", 0))
-    best = named.agg(F.max("_fits").alias("_best"))
-    group = named.crossJoin(F.broadcast(best)).filter("_fits = _best").select("allow", "pattern", robots_regex(F.col("pattern")).alias("_regex"))
-    once = paths.select("path").distinct()
-    hits = once.join(F.broadcast(group), F.expr("path RLIKE _regex"), "left")
-    verdict = F.max_by("allow", F.struct(F.length("pattern"), "allow"))
-    return hits.groupBy("path").agg(F.coalesce(verdict, F.lit(True)).alias("allowed"))
+    own = "site" in paths.columns
+    once = paths.select(*(["site"] if own else []), "path").distinct()
+    group = _group_of(rules, F.lit(agent), ["site"]).groupBy("site").agg(F.collect_list(F.struct(F.length("pattern").alias("n"), "allow", robots_regex(F.col("pattern")).alias("regex"))).alias("_rules"))
+    joined = once.join(group.withColumnRenamed("site", "_site"), F.col("site").eqNullSafe(F.col("_site")), "left").drop("_site") if own else once.crossJoin(F.broadcast(group.drop("site").agg(F.flatten(F.collect_list("_rules")).alias("_rules"))))
+    hit = F.array_max(F.transform(F.filter("_rules", lambda r: F.regexp(F.col("path"), r["regex"])), lambda r: F.struct(r["n"].alias("n"), r["allow"].alias("allow"))))
+    return joined.select(*once.columns, F.coalesce(hit["allow"], F.lit(True)).alias("allowed"))
+
+
+# Crawlers of answer engines and search engines whose access is reported.
+AI_AGENTS = ["OAI-SearchBot", "ChatGPT-User", "GPTBot", "ClaudeBot", "Claude-User", "Claude-SearchBot", "PerplexityBot", "Google-Extended", "Googlebot", "Bingbot", "CCBot"]
+
+
+def agent_access(rules: DataFrame, agents: list[str] = AI_AGENTS) -> DataFrame:
+    """Access of each agent to the start page of each site that has rules: site, agent, allowed."""
+    sites = rules.select("site").distinct().withColumn("path", F.lit("/"))
+    parts = [robots_allowed(sites, rules, a).select("site", F.lit(a).alias("agent"), "allowed") for a in agents]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sniff_separator(first_line: str) -> str:
@@ -89,37 +115,62 @@ def sniff_separator(first_line: str) -> str:
     return max((",", ";", "\t"), key=bare.count)
 
 
-def read_csv(spark: SparkSession, path: str, max_columns: int = 200) -> DataFrame:
-    """A dataset as text columns: separator found from the header, quotes doubled, records over several lines."""
+def read_csv(spark: SparkSession, path: str, max_columns: int = 200, max_cell: int = 100_000, max_rows: int | None = None, lenient: bool = False) -> DataFrame:
+    """A dataset as text columns: separator found from the header, quotes doubled, records over several lines.
+
+    ``lenient`` trims cells, fills short records with nulls and leaves blank ones out;
+    otherwise a record of another width is an error. A cell or a table beyond its limit is
+    an error as well.
+    """
     head = spark.read.text(path).first()
-    header = (head["value"] if head else "").lstrip("﻿")
+    header = (head["value"] if head else "").lstrip("\ufeff")
     sep = sniff_separator(header)
-    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, mode="FAILFAST", inferSchema=False)
+    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, mode="PERMISSIVE" if lenient else "FAILFAST", inferSchema=False, ignoreLeadingWhiteSpace=lenient, ignoreTrailingWhiteSpace=lenient)
     if len(df.columns) > max_columns:
         raise ValueError(f"{len(df.columns)} columns, at most {max_columns} are read")
     names = [c.strip().lower() for c in next(csv.reader([header], delimiter=sep), [])]
     if len(set(names)) < len(names):
         raise ValueError("two columns of the header have the same name")
-    return df
+    if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} rows")
+    if lenient:
+        df = df.filter(F.coalesce(F.array_max(F.array(*(F.length(F.trim(F.col(f"`{c}`"))) for c in df.columns))), F.lit(0)) > 0)
+    within = lambda c: F.when(F.length(c) > max_cell, F.raise_error(F.lit(f"a cell has more than {max_cell} characters"))).otherwise(c)
+    return df.select(*(within(F.col(f"`{c}`")).alias(c) for c in df.columns))
 
 
-# Headers that exports of link lists use, by what they hold.
+# Headers (folded, other signs as blanks) that exports of link lists use, by what they hold, exact names before contained words.
 LINK_HEADERS = {
-    "source": r"^(source ?url|referring page url|linking page|source page|url from|page url|url)$",
-    "target": r"^(target ?url|link url|target page|url to|destination url|target)$",
-    "anchor": r"^(anchor( text)?|link anchor|texto de anclaje)$",
+    "source": (["referring page url", "source url", "source page", "linking page", "pagina de enlace", "pagina que enlaza", "url de origen", "sourceurl", "from url", "url"], "referring|source|linking|origen|enlaza"),
+    "target": (["target url", "target page", "targeturl", "url de destino", "to url", "pagina de destino"], "target|destino"),
+    "anchor": (["anchor", "anchor text", "anchortext", "texto del enlace", "texto de anclaje"], "anchor|ancla"),
 }
+# Headers that tell the tool an export comes from, in order.
+LINK_TOOLS = [("ahrefs", "referring page url"), ("semrush", "source url"), ("majestic", "sourceurl|targeturl"), ("gsc", "linking page|pagina de enlace|pagina que enlaza"), ("moz", "url")]
+
+
+def link_columns(header: list[str]) -> dict[str, str | None]:
+    """Which columns of an export hold the linking page, its target and the anchor, and the tool it comes from (generic if unknown)."""
+    folded = {c: re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFD", c).encode("ascii", "ignore").decode().lower()).strip() for c in header}
+    found: dict[str, str | None] = {}
+    for what, (names, words) in LINK_HEADERS.items():
+        exact = (c for n in names for c, f in folded.items() if f == n)
+        found[what] = next(exact, None) or next((c for c, f in folded.items() if re.search(words, f)), None)
+    if found["target"] == found["source"]:
+        found["target"] = None
+    found["tool"] = next((tool for tool, pattern in LINK_TOOLS if any(re.fullmatch(pattern, f) for f in folded.values())), "generic")
+    return found
 
 
 def read_backlinks(spark: SparkSession, path: str, own_host: str) -> DataFrame:
-    """A list of links from any exporter: source_url, source_domain, target_url, anchor; own links and repeats left out."""
+    """A list of links from any exporter: source_url, source_domain, target_url, anchor, tool; own links and repeats left out."""
     df = read_csv(spark, path)
-    found = {what: next((c for c in df.columns if re.match(pattern, c.strip().lower())), None) for what, pattern in LINK_HEADERS.items()}
+    found = link_columns(df.columns)
     if not found["source"]:
         raise ValueError("no column holds the linking page")
     column = lambda what: F.col(f"`{found[what]}`") if found[what] else F.lit(None).cast("string")
-    links = df.select(F.trim(column("source")).alias("source_url"), domain_of(F.trim(column("source"))).alias("source_domain"), F.trim(column("target")).alias("target_url"), column("anchor").alias("anchor"))
-    return links.filter((F.col("source_domain") != "") & (F.col("source_domain") != own_host)).dropDuplicates(["source_url", "target_url"])
+    links = df.select(F.trim(column("source")).alias("source_url"), domain_of(F.trim(column("source"))).alias("source_domain"), F.trim(column("target")).alias("target_url"), column("anchor").alias("anchor"), F.lit(found["tool"]).alias("tool"))
+    return links.filter((F.col("source_domain") != "") & ~owns(F.col("source_domain"), F.lit(own_host))).dropDuplicates(["source_url", "target_url"])
 
 
 def parse_results_pages(rows: DataFrame, own_host: str, json: str = "json") -> DataFrame:

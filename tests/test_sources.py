@@ -2,30 +2,43 @@
 
 import datetime as dt
 import gzip
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from almena.sources import files, logs, sinks
 
-GOOGLE = '203.0.113.7 - - [05/Oct/2026:14:32:10 +0000] "GET /blog/post?utm_source=x&token=abc HTTP/1.1" 200 4520 "-" "Mozilla/5.0 (compatible; Googlebot/2.1)" 0.120'
-APACHE = '203.0.113.8 - frank [10/Oct/2026:13:55:36 -0700] "GET /a HTTP/1.0" 304 - "https://chatgpt.com/" "Mozilla/5.0 Firefox"'
+DESKTOP = '198.51.100.40 - - [29/Feb/2028:23:59:07 -0330] "GET /tienda/botas?talla=41&apikey=k9&pagina=2 HTTP/2.0" 206 731 "https://www.perplexity.ai/" "Mozilla/5.0 (compatible; Googlebot/2.1)" 1.5'
+PERSON = '2001:db8::9 ident maria [01/Jul/2027:06:00:00 +0545] "POST /buscar HTTP/1.1" 503 - "-" "curl/8.6"'
 
 
 def test_log_lines(spark):
-    rows = logs.parse_lines(spark.createDataFrame([(x,) for x in (GOOGLE, APACHE, "10.0.0.1 garbage", "", GOOGLE.replace("Oct", "Foo"))], "value string"), "s").collect()
+    broken = "from 192.0.2.77 and fe80:1:2::3 asked ?user=eva&x=1"
+    rows = logs.parse_lines(spark.createDataFrame([(x,) for x in (DESKTOP, PERSON, broken, "  ", PERSON.replace("Jul", "Xul"))], "value string"), "s").collect()
     a, b, c, d, e = rows
-    assert a.ok and a.path == "/blog/post" and a.url == "/blog/post?utm_source=x&token=%5BREDACTED%5D" and a.response_ms == 120 and a.bot_name == "Googlebot Desktop" and a.size_bytes == 4520
-    assert b.ok and b.ts == dt.datetime(2026, 10, 10, 20, 55, 36) and b.status_code == 304 and b.size_bytes == 0 and b.response_ms is None and not b.is_bot
-    assert c.ok is False and "[ip]" in c.sample and d.ok is None and e.ok is False
+    assert a.ok and a.ts == dt.datetime(2028, 3, 1, 3, 29, 7) and a.path == "/tienda/botas" and a.url == "/tienda/botas?talla=41&apikey=%5BREDACTED%5D&pagina=2"
+    assert (a.response_ms, a.size_bytes, a.status_code, a.protocol, a.bot_name) == (1500, 731, 206, "HTTP/2.0", "Googlebot Desktop")
+    assert b.ok and b.ts == dt.datetime(2027, 7, 1, 0, 15) and b.method == "POST" and b.size_bytes == 0 and b.response_ms is None and b.ip_hash != a.ip_hash
+    assert c.ok is False and c.sample == "from [ip] and [ip] asked ?user=[REDACTED]&x=1" and d.ok is None and e.ok is False
 
 
 def test_gzip_by_content(spark, tmp_path):
-    (tmp_path / "plain.log").write_text(GOOGLE + "\r\n" + APACHE + "\n")
-    (tmp_path / "packed.txt").write_bytes(gzip.compress((GOOGLE + "\n").encode()))
-    assert logs.read_log(spark, str(tmp_path), "s").filter("ok").count() == 3
+    (tmp_path / "plain.log").write_text(DESKTOP + "\r\n" + PERSON + "\n")
+    (tmp_path / "packed.txt").write_bytes(gzip.compress((DESKTOP + "\n").encode()) + gzip.compress(PERSON.encode()))
+    assert logs.read_log(spark, str(tmp_path), "s").filter("ok").count() == 4
     sums = logs.file_checksums(spark, str(tmp_path))
     assert logs.new_files(sums, sums.limit(1)).count() == 1
+    assert {r.checksum for r in sums.collect()} == {hashlib.sha256(f.read_bytes()).hexdigest() for f in tmp_path.iterdir()}
+
+
+def test_limits_of_files(spark, tmp_path):
+    (tmp_path / "a.gz.log").write_bytes(gzip.compress(b"x" * 5000))
+    with pytest.raises(Exception, match="holds more than 1000 bytes"):
+        logs.read_lines(spark, str(tmp_path), 1000).count()
+    (tmp_path / "b.log").write_text("y" * (logs.LONGEST_LINE + 1))
+    with pytest.raises(Exception, match="more than 1048576 bytes"):
+        logs.read_lines(spark, str(tmp_path / "b.log")).collect()
 
 
 def test_synthetic(spark):
@@ -43,13 +56,34 @@ def test_sitemaps(spark):
 
 
 def test_robots(spark):
-    robots = spark.createDataFrame([("User-agent: *\nDisallow: /private\nAllow: /private/open$\nDisallow: /*.pdf\n\nUser-agent: GPTBot\nDisallow: /\nSitemap: https://a.example/s.xml",)], "content string")
-    rules = files.robots_rules(robots).cache()
-    paths = spark.createDataFrame([("/",), ("/private/x",), ("/private/open",), ("/private/open/x",), ("/a.pdf",)], "path string")
-    got = {r.path: r.allowed for r in files.robots_allowed(paths, rules, "Bingbot").collect()}
-    assert got == {"/": True, "/private/x": False, "/private/open": True, "/private/open/x": False, "/a.pdf": False}
-    assert not any(r.allowed for r in files.robots_allowed(paths, rules, "GPTBot").collect())
+    robots = spark.createDataFrame([("a", "User-agent: *\nDisallow: /private\nAllow: /private/open$\nDisallow: /*.pdf\n\nUser-agent: GPTBot\nDisallow: /\nSitemap: https://a.example/s.xml"), ("b", "User-agent: *\nAllow: /\n\nUser-agent: bing\nDisallow: /x\nAllow: /x"), ("c", None)], "host string, content string")
+    rules = files.robots_rules(robots, site="host").cache()
+    paths = spark.createDataFrame([(s, p) for s in "abc" for p in ("/", "/private/x", "/private/open", "/private/open/x", "/a.pdf", "/x")], "site string, path string")
+    got = {(r.site, r.path): r.allowed for r in files.robots_allowed(paths, rules, "Bingbot").collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "a"} == {"/": True, "/private/x": False, "/private/open": True, "/private/open/x": False, "/a.pdf": False, "/x": True}
+    assert all(v for k, v in got.items() if k[0] != "a")  # a tie allows, and so does a site without rules
+    assert {r.site for r in files.robots_allowed(paths, rules, "GPTBot").filter("NOT allowed").collect()} == {"a"}
+    access = {(r.site, r.agent): r.allowed for r in files.agent_access(rules).collect()}
+    assert len(access) == 22 and not access["a", "GPTBot"] and access["a", "ClaudeBot"] and access["b", "GPTBot"]
     assert rules.filter("sitemap IS NOT NULL").count() == 1
+    alone = files.robots_rules(robots.filter("host = 'a'"))
+    assert {r.path: r.allowed for r in files.robots_allowed(paths.select("path"), alone, "Bingbot").collect()}["/a.pdf"] is False
+
+
+def test_link_lists():
+    assert files.link_columns(["Referring page URL", "Target URL", "Anchor"]) == {"source": "Referring page URL", "target": "Target URL", "anchor": "Anchor", "tool": "ahrefs"}
+    assert files.link_columns(["SourceURL", "TargetURL", "AnchorText"])["tool"] == "majestic"
+    assert files.link_columns(["Página que enlaza", "Página de destino"]) == {"source": "Página que enlaza", "target": "Página de destino", "anchor": None, "tool": "gsc"}
+    assert files.link_columns(["nada"])["source"] is None
+
+
+def test_lenient_csv(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b,c\n 1 , 2\n,,\n3,4,5\n")
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "x.csv"), lenient=True).collect()] == [("1", "2", None), ("3", "4", "5")]
+    with pytest.raises(ValueError):
+        files.read_csv(spark, str(tmp_path / "x.csv"), max_rows=1, lenient=True)
+    with pytest.raises(Exception, match="more than 0 characters"):
+        files.read_csv(spark, str(tmp_path / "x.csv"), max_cell=0, lenient=True).collect()
 
 
 def test_csv(spark, tmp_path):
