@@ -345,3 +345,74 @@ def links_to(html: str | None, url: str | None, own_host: str, target: str | Non
 def link_presence(pages: DataFrame, own_host: str, key: str = "url", html: str = "html", target: str | None = None) -> DataFrame:
     """``links_to`` of each page: key, found, href, rel, anchor, outlinks, site_links."""
     return by_page(pages, lambda url, text: [links_to(text, url, own_host, target)], "found boolean, href string, rel string, anchor string, outlinks int, site_links int", key, html)
+
+
+# ------------------------------------------------------------------ selectors and hints
+_STEP = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:#[\w-]+|\.[\w-]+|\[[\w-]+(?:[~^$*]?=\"?[^\]\"]*\"?)?\])*)")
+_PART = re.compile(r"#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:([~^$*]?)=\"?([^\]\"]*)\"?)?\]")
+
+
+def _fits(node: Node, step: str) -> bool:
+    m = _STEP.fullmatch(step)
+    if not m:
+        raise ValueError(f"a selector of an unknown form: {step}")
+    if m[1] not in (None, "*") and node.tag != m[1].lower():
+        return False
+    for name, cls, attr, how, value in _PART.findall(m[2]):
+        has = node.attrs.get(attr or ("id" if name else "class"))
+        if has is None or (name and has != name) or (cls and cls not in has.split()):
+            return False
+        if attr and (value or how) and not {"": has == value, "~": value in has.split(), "^": has.startswith(value), "$": has.endswith(value), "*": value in has}[how]:
+            return False
+    return True
+
+
+def select(root: Node, selector: str) -> list[Node]:
+    """Elements that a selector of tags, #ids, .classes and [attributes] fits, steps below one another, alternatives by commas."""
+    ways = [w.split() for w in selector.split(",")]
+
+    def ends(node: Node, steps: list[str]) -> bool:
+        if not _fits(node, steps[-1]):
+            return False
+        at = len(steps) - 2
+        for up in _above(node):
+            if at < 0:
+                break
+            at -= up.parent is not None and _fits(up, steps[at])
+        return at < 0
+
+    return [n for n in root.walk() if any(ends(n, w) for w in ways if w)]
+
+
+def extracted(pages: DataFrame, selector: str | None = None, pattern: str | None = None, attribute: str | None = None, most: int = 20, key: str = "url", html: str = "html") -> DataFrame:
+    """Up to ``most`` values a selector (text, or an attribute) or a pattern (its first group) finds on each page: key, values, found. Pages without any stay out."""
+
+    def read(_: str | None, text: str | None) -> list[dict]:
+        if selector:
+            found = [v for n in select(parse(text), selector) if (v := clean(n.text() if attribute is None else n.attrs.get(attribute)))]
+        else:
+            found = [clean(m[1] if m.re.groups else m[0]) for m in re.finditer(pattern, text or "")]
+        return [{"values": found[:most], "found": len(found)}] if found else []
+
+    return by_page(pages, read, "values array<string>, found int", key, html)
+
+
+def hints(html: str | None, url: str | None) -> dict:
+    """What a page says of itself for a form of structured data: a type and values by property."""
+    f = extract(url, html)
+    text = main_text(html)
+    path = urlsplit(url or "").path.lower()
+    price = re.search(r"(?i)(?:[$€£]|mxn|usd|eur)\s?(\d[\d.,]*\d|\d)|(\d[\d.,]*)\s?(?:€|mxn|usd|eur)", text)
+    phone, mail = re.search(r"\+?\d[\d ()-]{7,}\d", text), re.search(r"[\w.+-]+@[\w-]+\.[\w.]+\w", text)
+    questions = [h for h in f["h2"] if h.endswith("?")]
+    kind = (
+        f["schema_types"][0] if f["schema_types"] else "FAQPage" if len(questions) >= 2 else "Product" if price and re.search("product|tienda|shop|producto", path) else "Article" if f["og"]["type"] == "article" or re.search("/(blog|noticias|news|articulo)", path)
+        else "WebSite" if path in ("", "/") else "WebPage"
+    )
+    values = {"name": f["og"]["title"] or f["h1"] or f["title"], "description": f["og"]["description"] or f["meta_description"], "image": f["og"]["image"], "url": f["canonical"] or url, "price": price and (price[1] or price[2]), "telephone": phone and clean(phone[0]), "email": mail and mail[0], "inLanguage": f["lang"]}
+    return {"type": kind, "properties": {k: v for k, v in values.items() if v}}
+
+
+def schema_hints(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
+    """``hints`` of each page: key, type, properties (a map)."""
+    return by_page(pages, lambda url, text: [hints(text, url)], "type string, properties map<string,string>", key, html)

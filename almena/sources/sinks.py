@@ -24,6 +24,16 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     guarded(df).write.mode(mode).csv(path, header=True, quote='"', escape='"')
 
 
+def write_diff_csv(changes: DataFrame, path: str) -> None:
+    """Changes of crawls as one guarded CSV for people: with a byte order mark, lists joined by bars, in order of their columns."""
+    safe = guarded(changes)
+    head = F.lit("\ufeff" + ",".join(safe.columns))
+    cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = safe.select(F.lit(1).alias("_o"), F.concat_ws(",", *(cell(c) for c in safe.columns)).alias("value"))
+    first = changes.sparkSession.range(1).select(F.lit(0).alias("_o"), head.alias("value"))
+    first.unionByName(lines).repartition(1).sortWithinPartitions("_o", "value").select("value").write.mode("overwrite").text(path)
+
+
 def write_table(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite") -> None:
     """Parquet, partitioned by the given columns."""
     writer = df.write.mode(mode)
