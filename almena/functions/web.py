@@ -34,4 +34,4 @@ def vital_rating(metric: Column, value: Column) -> Column:
 
 def score_grade(score: Column) -> Column:
     """Letter of a score of 0 to 100."""
-    return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").when(score.isNotNull(), "F")
+    return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").when(score >= 50, "E").when(score.isNotNull(), "F")

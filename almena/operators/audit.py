@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almena.functions.url import host_of
+from almena.functions.web import KINDS
 
 _KNOWN = frozenset(
     "url final_url status_code response_time_ms mime title meta_description canonical robots_meta x_robots_tag h1 h1_count h2 lang hreflang schema_types schema_errors redirect_chain error content_hash inlinks outlinks images "
@@ -166,9 +167,9 @@ TABS: dict[str, tuple[str, dict[str, str]]] = {
     }),
 }
 _STATUS = {"2xx": "status_code BETWEEN 200 AND 299", "3xx": "status_code BETWEEN 300 AND 399 OR redirected", "4xx": "status_code BETWEEN 400 AND 499", "5xx": "status_code >= 500", "no_response": "coalesce(status_code, 0) = 0"}
-_KINDS = ("script", "style", "image", "font", "media", "document", "data", "other")
+_KINDS = (*KINDS, "page")
 # What a resource claims by its kind and what it is sent as.
-_MISMATCH = "(kind = 'script' AND NOT content_type RLIKE '(?i)javascript|ecmascript') OR (kind = 'style' AND NOT content_type RLIKE '(?i)css') OR (kind = 'image' AND NOT content_type RLIKE '(?i)^image/')"
+_MISMATCH = "(kind = 'script' AND NOT content_type RLIKE '(?i)javascript|ecmascript') OR (kind = 'css' AND NOT content_type RLIKE '(?i)css') OR (kind = 'image' AND NOT content_type RLIKE '(?i)^image/')"
 RESOURCE_TABS: dict[str, tuple[str, dict[str, str]]] = {
     "resources": ("internal AND NOT is_link", {**{k: f"kind = '{k}'" for k in _KINDS}, "broken": "status_code >= 400 OR coalesce(status_code, 0) = 0", "heavy_image": "kind = 'image' AND size_bytes > 200 * 1024", "heavy": "size_bytes > 1024 * 1024", "type_mismatch": f"status_code = 200 AND content_type IS NOT NULL AND ({_MISMATCH})", **_STATUS}),
     "external": ("NOT internal", {"links": "is_link", "files": "NOT is_link", "broken": "status_code >= 400 OR coalesce(status_code, 0) = 0", "http": "url LIKE 'http:%'", **_STATUS}),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from almena.functions.stats import ratio_effect, relative_change, welch_p
 from almena.functions.text import round_up
+from almena.functions.web import score_grade
 from almena.operators.relational import every_day
 
 _NEWS = ("area", "insight", "tone", "subject", "before", "after")
@@ -155,21 +156,6 @@ def experiment_series(days: DataFrame, window: int = 28) -> DataFrame:
 
 
 # ------------------------------------------------------------------ speed
-# Limits of good and poor of the vitals.
-VITALS = {"lcp": (2500, 4000), "inp": (200, 500), "cls": (0.1, 0.25), "fcp": (1800, 3000), "ttfb": (800, 1800), "tbt": (200, 600)}
-
-
-def vital_rating(metric: Column, value: Column) -> Column:
-    """good, needs_improvement or poor; null for an unknown metric or no value."""
-    limit = F.create_map(*(x for k, (a, b) in VITALS.items() for x in (F.lit(k), F.struct(F.lit(float(a)).alias("good"), F.lit(float(b)).alias("poor")))))
-    own = F.try_element_at(limit, F.lower(metric))
-    return F.when(value <= own["good"], "good").when(value <= own["poor"], "needs_improvement").when(value.isNotNull() & own.isNotNull(), "poor")
-
-
-def letter(score: Column) -> Column:
-    return reduce(lambda c, x: c.when(score >= x[1], x[0]), [("B", 80), ("C", 70), ("D", 60), ("E", 50)], F.when(score >= 90, "A")).otherwise(F.when(score.isNotNull(), "F"))
-
-
 def audit_impact(lcp: Column, tbt: Column, cls: Column, score: Column) -> Column:
     """How much an audit could save: high, medium, low, least."""
     at = lambda a, b, c: (lcp >= a) | (tbt >= b) | (cls >= c)
@@ -183,16 +169,16 @@ _REQUESTS = "audits struct<`network-requests`:struct<details:struct<items:array<
 
 def speed_report(runs: DataFrame, key: str, json: str = "json") -> DataFrame:
     """Grade of speed results: key, performance, structure (mean of the scored audits that are no metrics), value (70 to 30), letter, issues by impact."""
-    r = runs.select(F.col(key), F.from_json(json, _RUN).alias("r"))
-    refs = F.filter("r.categories.performance.auditRefs", lambda x: ~F.coalesce(x["group"], F.lit("")).isin("metrics", "hidden"))
-    audits = F.filter(F.transform(refs, lambda x: F.try_element_at("r.audits", x["id"])), lambda a: a["score"].isNotNull() & a["scoreDisplayMode"].isin("metricSavings", "numeric", "binary"))
-    shown = r.select(key, F.col("r.categories.performance.score").alias("p"), F.coalesce(audits, F.array().cast(f"array<{_AUDITS}>")).alias("a"))
-    mean = F.when(F.size("a") > 0, F.aggregate("a", F.lit(0.0), lambda s, x: s + x["score"]) / F.size("a"))
+    r = runs.select(F.col(key), F.from_json(json, _RUN).alias("_r"))
+    refs = F.filter("_r.categories.performance.auditRefs", lambda x: ~F.coalesce(x["group"], F.lit("")).isin("metrics", "hidden"))
+    audits = F.filter(F.transform(refs, lambda x: F.try_element_at("_r.audits", x["id"])), lambda a: a["score"].isNotNull() & a["scoreDisplayMode"].isin("metricSavings", "numeric", "binary"))
+    shown = r.select(key, F.col("_r.categories.performance.score").alias("_p"), F.coalesce(audits, F.array().cast(f"array<{_AUDITS}>")).alias("_a"))
+    mean = F.when(F.size("_a") > 0, F.aggregate("_a", F.lit(0.0), lambda s, x: s + x["score"]) / F.size("_a"))
     save = lambda a, k: F.coalesce(F.try_element_at(a["metricSavings"], F.lit(k)), F.lit(0.0))
-    issues = F.array_sort(F.transform(F.filter("a", lambda x: x["score"] < 0.9), lambda x: F.concat_ws(":", audit_impact(F.greatest(save(x, "LCP"), save(x, "FCP")), save(x, "TBT"), save(x, "CLS"), x["score"]), x["id"])))
-    s = shown.select(key, round_up(F.col("p") * 100).cast("int").alias("performance"), round_up(mean * 100).cast("int").alias("structure"), issues.alias("issues"))
+    issues = F.array_sort(F.transform(F.filter("_a", lambda x: x["score"] < 0.9), lambda x: F.concat_ws(":", audit_impact(F.greatest(save(x, "LCP"), save(x, "FCP")), save(x, "TBT"), save(x, "CLS"), x["score"]), x["id"])))
+    s = shown.select(key, round_up(F.col("_p") * 100).cast("int").alias("performance"), round_up(mean * 100).cast("int").alias("structure"), issues.alias("issues"))
     value = F.when(F.col("performance").isNotNull() & F.col("structure").isNotNull(), round_up(F.col("performance") * 0.7 + F.col("structure") * 0.3).cast("int")).otherwise(F.col("performance"))
-    return s.withColumn("value", value).withColumn("letter", letter(F.col("value")))
+    return s.withColumn("value", value).withColumn("letter", score_grade(F.col("value")))
 
 
 # Kinds of resources by what a browser calls them.
@@ -201,22 +187,22 @@ _WEIGHT = {"Document": "html", "Script": "js", "Stylesheet": "css", "Image": "im
 
 def page_weight(runs: DataFrame, key: str, json: str = "json") -> DataFrame:
     """Bytes and requests of each run by kind of resource: key, kind, bytes, requests, fully_loaded_ms."""
-    items = runs.select(F.col(key), F.explode(F.from_json(json, _REQUESTS)["audits"]["network-requests"]["details"]["items"]).alias("i"))
-    own = F.try_element_at(F.create_map(*(F.lit(x) for p in _WEIGHT.items() for x in p)), F.col("i.resourceType"))
-    mime = F.coalesce("i.mimeType", F.lit(""))
+    items = runs.select(F.col(key), F.explode(F.from_json(json, _REQUESTS)["audits"]["network-requests"]["details"]["items"]).alias("_i"))
+    own = F.try_element_at(F.create_map(*(F.lit(x) for p in _WEIGHT.items() for x in p)), F.col("_i.resourceType"))
+    mime = F.coalesce("_i.mimeType", F.lit(""))
     kind = F.coalesce(own, F.when(mime.rlike("^(video|audio)/"), "video").when(mime.startswith("image/"), "image").otherwise("other"))
-    return items.groupBy(key, kind.alias("kind")).agg(F.coalesce(F.sum("i.transferSize"), F.lit(0)).cast("long").alias("bytes"), F.count("*").alias("requests"), F.max("i.networkEndTime").alias("fully_loaded_ms"))
+    return items.groupBy(key, kind.alias("kind")).agg(F.coalesce(F.sum("_i.transferSize"), F.lit(0)).cast("long").alias("bytes"), F.count("*").alias("requests"), F.max("_i.networkEndTime").alias("fully_loaded_ms"))
 
 
 def field_values(rows: DataFrame, json: str = "json", key: str = "url") -> DataFrame:
     """Real users' 75th percentiles: those of the page, else those of its site: key, scope (url, origin), metric, p75. Shifts come in hundredths."""
     part = "struct<metrics:map<string,struct<percentile:double,category:string>>,origin_fallback:boolean>"
-    r = rows.select(F.col(key), F.from_json(json, f"loadingExperience {part}, originLoadingExperience {part}").alias("r"))
-    own = F.coalesce(F.size("r.loadingExperience.metrics"), F.lit(0)) > 0
-    real = own & ~F.coalesce("r.loadingExperience.origin_fallback", F.lit(False))
-    metrics = F.when(real, F.col("r.loadingExperience.metrics")).otherwise(F.coalesce("r.originLoadingExperience.metrics", "r.loadingExperience.metrics"))
-    flat = r.select(key, F.when(real, "url").otherwise("origin").alias("scope"), F.explode(metrics).alias("metric", "m"))
-    return flat.select(key, "scope", "metric", F.when(F.col("metric").contains("LAYOUT_SHIFT"), F.col("m.percentile") / 100).otherwise(F.col("m.percentile")).alias("p75"))
+    r = rows.select(F.col(key), F.from_json(json, f"loadingExperience {part}, originLoadingExperience {part}").alias("_r"))
+    own = F.coalesce(F.size("_r.loadingExperience.metrics"), F.lit(0)) > 0
+    real = own & ~F.coalesce("_r.loadingExperience.origin_fallback", F.lit(False))
+    metrics = F.when(real, F.col("_r.loadingExperience.metrics")).otherwise(F.coalesce("_r.originLoadingExperience.metrics", "_r.loadingExperience.metrics"))
+    flat = r.select(key, F.when(real, "url").otherwise("origin").alias("scope"), F.explode(metrics).alias("metric", "_m"))
+    return flat.select(key, "scope", "metric", F.when(F.col("metric").contains("LAYOUT_SHIFT"), F.col("_m.percentile") / 100).otherwise(F.col("_m.percentile")).alias("p75"))
 
 
 def tiers(parts: list[DataFrame], key: str, most: int) -> DataFrame:

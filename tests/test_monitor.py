@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from almena.functions.web import vital_rating
 from almena.operators import monitor as m
 
 D = dt.date
@@ -60,8 +61,8 @@ def test_speed(spark):
     got = {r.id: r for r in m.speed_report(df, "id").collect()}
     assert (got[1].performance, got[1].structure, got[1].value, got[1].letter, got[1].issues) == (93, 75, 88, "B", ["high:a"]) and got[2].value is None and got[2].letter is None and got[3].issues == []
     assert {r.kind: (r.bytes, r.requests) for r in m.page_weight(df, "id").collect()} == {"js": (10, 1), "image": (7, 1), "other": (0, 1)}
-    r = spark.range(1).select(*(m.vital_rating(F.lit(k), F.lit(v)).alias(f"x{i}") for i, (k, v) in enumerate([("LCP", 2500.0), ("cls", 0.2), ("inp", 501.0), ("zz", 1.0), ("lcp", None)]))).first()
-    assert tuple(r) == ("good", "needs_improvement", "poor", None, None)
+    r = spark.range(1).select(*(vital_rating(F.lit(k), F.lit(v)).alias(f"x{i}") for i, (k, v) in enumerate([("LCP", 2500.0), ("cls", 0.2), ("inp", 501.0), ("zz", 1.0), ("lcp", None)]))).first()
+    assert tuple(r) == ("good", "improve", "poor", None, None)
     field = [("u", '{"loadingExperience":{"metrics":{"CUMULATIVE_LAYOUT_SHIFT_SCORE":{"percentile":12}}}}'), ("v", '{"loadingExperience":{"origin_fallback":true,"metrics":{"LCP":{"percentile":1}}},"originLoadingExperience":{"metrics":{"LCP":{"percentile":2}}}}'), ("w", "x")]
     assert {(x.url, x.scope, x.p75) for x in m.field_values(spark.createDataFrame(field, "url string, json string")).collect()} == {("u", "url", 0.12), ("v", "origin", 2.0)}
 
