@@ -190,7 +190,7 @@ def combined_line() -> Column:
 
 def s2_parse_combined(spark, sf_dir):
     """Entries written as combined lines and parsed again: hits, bytes and time per status and agent class."""
-    lines = entries(spark, sf_dir).filter("path IS NOT NULL AND status_code >= 100").select(combined_line().alias("value"))
+    lines = entries(spark, sf_dir).select(combined_line().alias("value"))
     parsed = parse_lines(lines, "salt").filter("ok")
     return parsed.groupBy("status_code", F.to_date("ts").alias("date")).agg(F.count("*").alias("hits"), F.sum("size_bytes").alias("bytes"), F.sum(F.col("response_ms").cast("long")).alias("duration_sum"))
 
@@ -256,7 +256,7 @@ SQL = {
     "a8_grouping_sets": _E + "SELECT CAST(ts AS DATE) AS date, bot_name, status_code, CAST(grouping(CAST(ts AS DATE), bot_name, status_code) AS BIGINT) AS level, count(*) AS hits FROM e WHERE is_bot GROUP BY GROUPING SETS ((CAST(ts AS DATE)), (bot_name), (status_code), ())",
     "a7_distinct_exact": _E + "SELECT bot_name, count(DISTINCT path) AS paths FROM e WHERE is_bot GROUP BY 1",
     "s5_imports": "WITH i AS (SELECT *, row_number() OVER (PARTITION BY site_id, checksum ORDER BY created_at, import_id) AS rn FROM (SELECT DISTINCT ON (import_id) * FROM log_import)) SELECT import_id, site_id, checksum, valid_lines, floor(CASE WHEN valid_lines + coalesce(invalid_lines, 0) = 0 THEN 0 ELSE coalesce(invalid_lines, 0) / (valid_lines + coalesce(invalid_lines, 0)) END * 1000000 + 0.5) / 1000000 AS invalid_share FROM i WHERE rn = 1",
-    "s2_parse_combined": _E + "SELECT status_code, CAST(ts AS DATE) AS date, count(*) AS hits, CAST(sum(coalesce(size_bytes, 0)) AS BIGINT) AS bytes, CAST(sum(response_ms) AS BIGINT) AS duration_sum FROM e WHERE path IS NOT NULL AND status_code >= 100 GROUP BY 1, 2",
+    "s2_parse_combined": _E + "SELECT status_code, CAST(ts AS DATE) AS date, count(*) AS hits, CAST(sum(coalesce(size_bytes, 0)) AS BIGINT) AS bytes, CAST(sum(response_ms) AS BIGINT) AS duration_sum FROM e GROUP BY 1, 2",
     "c1_crawler_names": _E + "SELECT bot_name, bot_name AS found, max(bot_category) AS category, count(*) AS hits FROM e WHERE bot_name IS NOT NULL GROUP BY bot_name",
     "c5_redacted_queries": _E + "SELECT regexp_replace(regexp_extract(path, '\\?(.*)$', 1), '(^|&)orden=[^&]*', '\\1orden=%5BREDACTED%5D', 'g') AS query, count(*) AS hits FROM e WHERE contains(path, '?') GROUP BY 1",
     "a40_verified": _E + ", h AS (SELECT bot_name, log_id % 250 AS client, count(*) AS hits FROM e WHERE is_bot GROUP BY 1, 2) SELECT bot_name, CAST(sum(hits) AS BIGINT) AS claimed, CAST(sum(CASE WHEN client % 10 < 8 THEN hits ELSE 0 END) AS BIGINT) AS verified, CAST(sum(CASE WHEN client % 10 < 8 THEN 0 ELSE hits END) AS BIGINT) AS spoofed, count(client) AS clients FROM h GROUP BY 1",

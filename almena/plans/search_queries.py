@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almena.functions.stats import ratio_effect, relative_change, welch_p
-from almena.functions.text import norm_query, ratio, round_up
-from almena.operators.relational import every_day, falling_streak, within_intervals
+from almena.functions.text import ratio, round_up
+from almena.operators import search
+from almena.operators.relational import every_day, falling_streak, top_per, within_intervals
 from almena.session import table
 
 
@@ -69,50 +70,61 @@ def r13_low_ctr(spark, sf_dir):
     return p.filter((F.col("impressions") >= 100) & (F.col("position") <= 10) & (ratio(F.col("clicks"), F.col("impressions")) < floor))
 
 
-def _conflicts(rows: DataFrame, least_share: float) -> DataFrame:
-    """Queries for which several pages hold ``least_share`` of the impressions or more: pages, winner, runner-up, share."""
-    pages = rows.groupBy(norm_query(F.col("query").cast("string")).alias("query"), "page").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
-    shared = pages.withColumn("total", F.sum("impressions").over(Window.partitionBy("query"))).filter((F.col("total") >= 30) & (F.col("impressions") >= least_share * F.col("total")) & (F.col("impressions") >= 5))
-    order = Window.partitionBy("query").orderBy(F.desc("clicks"), F.desc("impressions"), "page")
-    placed = shared.withColumn("n", F.row_number().over(order))
-    return placed.groupBy("query").agg(
-        F.count("*").alias("pages"), F.max(F.when(F.col("n") == 1, F.col("page"))).alias("winner"), F.max(F.when(F.col("n") == 2, F.col("page"))).alias("runner_up"), round_up(F.sum("impressions") / F.max("total"), 4).alias("share")
-    ).filter("pages > 1")
-
-
-def _conflict_pairs(conflicts: DataFrame) -> DataFrame:
-    c = conflicts.select(F.least("winner", "runner_up").alias("page_a"), F.greatest("winner", "runner_up").alias("page_b"))
-    return c.groupBy("page_a", "page_b").agg(F.count("*").alias("queries")).filter("queries > 1")
+def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a search export with part and month as the query."""
+    return search_rows(spark, sf_dir, F.concat_ws(" ", "l_partkey", F.date_format("l_shipdate", "yyyy-MM")))
 
 
 def r14_conflicts(spark, sf_dir):
-    """Queries (parts modulo 500) for which several pages hold a fiftieth of the impressions or more, as its SQL states: share, winner, runner-up."""
-    return _conflicts(search_rows(spark, sf_dir), 0.02)
+    """Queries (part and month) for which several pages hold a tenth of the impressions or more: winner, runner-up, share, severity."""
+    return search.conflicts(_monthly(spark, sf_dir))[0]
 
 
 def r14_pairs(spark, sf_dir):
-    """Pairs of pages that are first and second for two queries or more of r14_conflicts."""
-    return _conflict_pairs(r14_conflicts(spark, sf_dir))
+    """Pairs of pages that compete for two queries or more."""
+    return search.conflicts(_monthly(spark, sf_dir))[1]
 
 
-def r14_conflicts_monthly(spark, sf_dir, least_share=0.1):
-    """Queries (part and month) for which several pages hold a tenth of the impressions or more: share, winner, runner-up."""
-    return _conflicts(search_rows(spark, sf_dir, F.concat_ws(" ", "l_partkey", F.date_format("l_shipdate", "yyyy-MM"))), least_share)
+def page_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages (customers modulo 200) by month: clicks (price over 1,000), impressions (price over 100) and position (1 to 20 by order)."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        (F.col("o_custkey") % 200).cast("string").alias("page"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.floor(F.col("o_totalprice") / 1000).cast("long").alias("clicks"), F.floor(F.col("o_totalprice") / 100).cast("long").alias("impressions"), (1 + F.col("o_orderkey") % 20).cast("double").alias("position"),
+    )
 
 
-def r14_pairs_monthly(spark, sf_dir, least_share=0.1):
-    """Pairs of pages that are first and second for two queries or more of r14_conflicts_monthly."""
-    return _conflict_pairs(r14_conflicts_monthly(spark, sf_dir, least_share))
+def r16_declining(spark, sf_dir):
+    """Pages whose last three months lost a fifth or more of 30 clicks or more against the three before: places, last year, season, streak, reasons."""
+    return search.declining(page_months(spark, sf_dir))
 
 
-def r16_declining(spark, sf_dir):
-    """Pages whose last three months lost a fifth or more against the three before."""
-    m = months(spark, sf_dir)
-    last = m.agg(F.max("month").alias("last"))
-    age = F.months_between(F.to_date(F.concat("last", F.lit("-01"))), F.to_date(F.concat("month", F.lit("-01")))).cast("int")
-    p = m.crossJoin(F.broadcast(last)).withColumn("_age", age).groupBy("page").agg(
-        F.sum(F.when(F.col("_age").between(0, 2), F.col("clicks")).otherwise(0)).alias("after"), F.sum(F.when(F.col("_age").between(3, 5), F.col("clicks")).otherwise(0)).alias("before"), F.sum(F.when(F.col("_age").between(12, 14), F.col("clicks")).otherwise(0)).alias("year_ago"))
-    return p.filter((F.col("before") >= 3) & (F.col("after") <= 0.8 * F.col("before"))).select("page", "before", "after", "year_ago", round_up(1 - F.col("after") / F.col("before"), 4).alias("drop"))
+def r17_part_topics(spark, sf_dir):
+    """Names of parts as queries, in topics for each kind of part: topics by status."""
+    r = search_rows(spark, sf_dir, F.col("l_partkey")).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query"), "p_name", "p_brand"), "query")
+    return search.topics(r.select(F.col("p_brand").alias("site_id"), F.col("p_name").alias("query"), "page", "clicks", "impressions", "position"), most=500).groupBy("site_id", "status").agg(F.count("*").alias("topics"), F.sum("queries").alias("queries"))
+
+
+def a22_measures(spark, sf_dir):
+    """Six measures of visits and their ratios per country, orders being visits."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = o.select(
+        F.col("c_nationkey").alias("page"), F.lit(1).alias("sessions"), (F.col("o_custkey") % 2).alias("users"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("engaged_sessions"), (F.col("o_orderkey") % 100).alias("engagement_sec"), F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("key_events"), F.round("o_totalprice", 0).cast("long").alias("revenue"),
+    )
+    return rows.groupBy("page").agg(*search.measures())
+
+
+def m5_noise(spark, sf_dir):
+    """Threshold of the site's usual week-to-week noise: twice the deviation of the changes before the last week, 0.15 at least."""
+    w = w6_weekly_noise(spark, sf_dir).filter("block > 0")
+    return w.agg(F.round(F.greatest(F.lit(0.15), 2 * F.coalesce(F.stddev_samp("change"), F.lit(0.0))), 5).alias("threshold"), F.count("change").alias("weeks"))
+
+
+def u5_shared_parts(spark, sf_dir):
+    """Pairs of suppliers that share three or more of their ten parts of largest quantity."""
+    sold = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("n"))
+    top = top_per(sold, ["l_suppkey"], 10, F.desc("n"), F.col("l_partkey")).select("l_suppkey", "l_partkey")
+    a, b = top.select(F.col("l_suppkey").alias("a"), "l_partkey"), top.select(F.col("l_suppkey").alias("b"), "l_partkey")
+    return a.join(b, "l_partkey").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 3")
 
 
 def w7_streaks(spark, sf_dir):
@@ -172,28 +184,13 @@ def w4_deltas(spark, sf_dir):
 
 
 def w5_rolling(spark, sf_dir):
-    """Clicks per day with the mean of the last seven rows of the year, as its SQL states; days without clicks count 0."""
-    d = every_day(days(spark, sf_dir), [], "date", ["clicks"]).withColumn("year", F.year("date"))
-    return d.select("date", "clicks", F.round(F.avg("clicks").over(Window.partitionBy("year").orderBy("date").rowsBetween(-6, 0)), 6).alias("rolling"))
-
-
-def w6_weekly_noise(spark, sf_dir):
-    """Blocks of seven days counted from the end, each with its change against the block before, per year."""
-    d = every_day(days(spark, sf_dir), [], "date", ["clicks"]).withColumn("year", F.year("date"))
-    block = F.floor((F.row_number().over(Window.partitionBy("year").orderBy(F.desc("date"))) - 1) / 7).cast("long").alias("block")
-    b = d.select("year", "clicks", block).groupBy("year", "block").agg(F.sum("clicks").alias("clicks"), F.count("*").alias("n")).filter("n = 7")
-    w = Window.partitionBy("year").orderBy(F.desc("block"))
-    return b.select("year", "block", "clicks", F.round(relative_change(F.lag("clicks").over(w), F.col("clicks")), 6).alias("change"))
-
-
-def w5_rolling_series(spark, sf_dir):
-    """Clicks per day with the mean of the last seven rows of the whole series, days without clicks counting 0."""
-    d = every_day(days(spark, sf_dir), [], "date", ["clicks"])
+    """Clicks per day with the mean of the last seven rows of the series, days without clicks counting 0."""
+    d = every_day(days(spark, sf_dir), [], "date", ["clicks"])  # a row a day
     return d.select("date", "clicks", F.round(F.avg("clicks").over(Window.partitionBy().orderBy("date").rowsBetween(-6, 0)), 6).alias("rolling"))
 
 
-def w6_weekly_series(spark, sf_dir):
-    """Blocks of seven days counted from the end of the whole series, each with its change against the block before."""
+def w6_weekly_noise(spark, sf_dir):
+    """Blocks of seven days counted from the end of the series, each with its change against the block before."""
     d = every_day(days(spark, sf_dir), [], "date", ["clicks"])
     block = F.floor(F.datediff("_last", "date") / 7).cast("long").alias("block")
     b = d.crossJoin(F.broadcast(d.agg(F.max("date").alias("_last")))).groupBy(block).agg(F.max("date").alias("last_day"), F.sum("clicks").alias("clicks"), F.count("*").alias("n")).filter("n = 7")
@@ -237,23 +234,47 @@ def _up(x: str, d: int = 4) -> str:
 
 _W = _up("sum(position * impressions) / sum(impressions)")
 _Q = _R + ", g AS (SELECT query, page, sum(clicks) AS clicks, sum(impressions) AS impressions, sum(position * impressions) AS w FROM r GROUP BY 1, 2), q AS (SELECT query, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, " + _up("sum(w) / sum(impressions)") + " AS position, count(*) AS pages, arg_max(page, impressions * 100000 + page) AS top_page FROM g GROUP BY 1)\n"
-_C = _R + ", g AS (SELECT CAST(query AS VARCHAR) AS query, page, sum(clicks) AS clicks, sum(impressions) AS impressions FROM r GROUP BY 1, 2), t AS (SELECT *, sum(impressions) OVER (PARTITION BY query) AS total FROM g), s AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY clicks DESC, impressions DESC, page) AS n FROM t WHERE total >= 30 AND impressions >= 0.02 * total AND impressions >= 5), c AS (SELECT query, count(*) AS pages, max(page) FILTER (WHERE n = 1) AS winner, max(page) FILTER (WHERE n = 2) AS runner_up, " + _up("sum(impressions) / max(total)") + " AS share FROM s GROUP BY 1 HAVING count(*) > 1)\n"
+_C = (
+    "WITH r AS (SELECT l_partkey || ' ' || strftime(l_shipdate, '%Y-%m') AS query, l_suppkey AS page, CAST(l_quantity AS BIGINT) AS clicks, CAST(floor(l_extendedprice / 10) AS BIGINT) AS impressions, 1 + l_discount * 100 AS position FROM lineitem), "
+    "g AS (SELECT query, page, sum(clicks) AS clicks, sum(impressions) AS impressions, sum(position * impressions) AS w FROM r GROUP BY 1, 2), t AS (SELECT *, sum(impressions) OVER (PARTITION BY query) AS total, sum(clicks) OVER (PARTITION BY query) AS all_clicks FROM g), "
+    "s AS (SELECT query, page, total, all_clicks, floor(impressions / total * 100 + 0.5) AS share, floor(w / impressions * 10 + 0.5) / 10 AS position, row_number() OVER (PARTITION BY query ORDER BY clicks DESC, impressions DESC, page) AS n FROM t WHERE total >= 30 AND impressions >= 0.1 * total AND impressions >= 5), "
+    "c AS (SELECT query, CAST(max(total) AS BIGINT) AS impressions, CAST(max(all_clicks) AS BIGINT) AS clicks, CAST(count(*) AS INTEGER) AS pages, max(page) FILTER (WHERE n = 1) AS winner, max(page) FILTER (WHERE n = 2) AS runner_up, CAST(max(share) FILTER (WHERE n = 2) AS BIGINT) AS share, "
+    "abs(max(position) FILTER (WHERE n = 1) - max(position) FILTER (WHERE n = 2)) AS apart, min(position) AS best FROM s GROUP BY 1 HAVING count(*) > 1)\n"
+)
 _D = "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS clicks, CAST(sum(floor(o_totalprice / 100)) AS BIGINT) AS impressions FROM orders GROUP BY 1)\n"
 _F = _D + ", f AS (SELECT CAST(x.generate_series AS DATE) AS date, coalesce(d.clicks, 0) AS clicks FROM generate_series((SELECT min(date) FROM d), (SELECT max(date) FROM d), INTERVAL 1 DAY) x LEFT JOIN d ON d.date = CAST(x.generate_series AS DATE))\n"
+_WEEKS = (
+    _F + ", n AS (SELECT date, clicks, CAST(floor((row_number() OVER (ORDER BY date DESC) - 1) / 7) AS BIGINT) AS block FROM f), b AS (SELECT block, max(date) AS last_day, CAST(sum(clicks) AS BIGINT) AS clicks FROM n GROUP BY 1 HAVING count(*) = 7), l AS (SELECT *, lag(clicks) OVER (ORDER BY block DESC) AS before FROM b), "
+    "p AS (SELECT block, last_day, clicks, CASE WHEN before = 0 THEN CASE WHEN clicks = 0 THEN 0 ELSE 1 END ELSE (clicks - before) / before END AS change FROM l)\n"
+)
 _M = "WITH m AS (SELECT o_custkey % 200 AS page, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS clicks FROM orders GROUP BY 1, 2)\n"
 _O = "WITH o AS (SELECT user_id AS prompt, event_type AS engine, CAST(ts AS DATE) AS date, arg_max(CASE WHEN value > 100 THEN 5 WHEN value > 50 THEN 2 ELSE 0 END, event_id) AS score FROM events GROUP BY 1, 2, 3)\n"
 
 QUERIES = {f.__name__: f for f in (
-    r13_totals, r13_top_queries, r13_opportunities, r13_low_ctr, r14_conflicts, r14_pairs, r14_conflicts_monthly, r14_pairs_monthly, r16_declining, w7_streaks, a20_monthly, r22_channels, r22_days, w3_trends, a31_weekly, a28_medians, a29_noise, w4_deltas, w5_rolling, w6_weekly_noise, w5_rolling_series, w6_weekly_series, a30_last_28, j13_in_intervals, r29_experiment,
+    r13_totals, r13_top_queries, r13_opportunities, r13_low_ctr, r14_conflicts, r14_pairs, r16_declining, r17_part_topics, a22_measures, m5_noise, u5_shared_parts, w7_streaks, a20_monthly, r22_channels, r22_days, w3_trends, a31_weekly, a28_medians, a29_noise, w4_deltas, w5_rolling, w6_weekly_noise, a30_last_28, j13_in_intervals, r29_experiment,
 )}
 SQL = {
     "r13_totals": _R + f"SELECT CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, {_up('sum(clicks) / sum(impressions)', 6)} AS ctr, {_W} AS position, count(DISTINCT query) AS queries, count(DISTINCT page) AS pages FROM r",
     "r13_top_queries": _Q + "SELECT * FROM q ORDER BY clicks DESC, query LIMIT 100",
     "r13_opportunities": _Q + "SELECT query, impressions, position FROM q WHERE position BETWEEN 4 AND 15 AND impressions >= 50",
     "r13_low_ctr": _R + f", p AS (SELECT page, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, {_W} AS position FROM r GROUP BY 1) SELECT * FROM p WHERE impressions >= 100 AND position <= 10 AND clicks / impressions < CASE WHEN position <= 3 THEN 0.05 WHEN position <= 6 THEN 0.025 ELSE 0.01 END",
-    "r14_conflicts": _C + "SELECT * FROM c",
-    "r14_pairs": _C + "SELECT least(winner, runner_up) AS page_a, greatest(winner, runner_up) AS page_b, count(*) AS queries FROM c GROUP BY 1, 2 HAVING count(*) > 1",
-    "r16_declining": _M + f", a AS (SELECT *, datediff('month', CAST(month || '-01' AS DATE), CAST((SELECT max(month) FROM m) || '-01' AS DATE)) AS age FROM m), p AS (SELECT page, CAST(sum(CASE WHEN age BETWEEN 0 AND 2 THEN clicks ELSE 0 END) AS BIGINT) AS after, CAST(sum(CASE WHEN age BETWEEN 3 AND 5 THEN clicks ELSE 0 END) AS BIGINT) AS before, CAST(sum(CASE WHEN age BETWEEN 12 AND 14 THEN clicks ELSE 0 END) AS BIGINT) AS year_ago FROM a GROUP BY 1) SELECT page, before, after, year_ago, {_up('1 - after / before')} AS drop FROM p WHERE before >= 3 AND after <= 0.8 * before",
+    "r14_conflicts": _C + "SELECT query, impressions, clicks, pages, winner, runner_up, share, CASE WHEN share >= 30 AND apart <= 10 AND best <= 20 THEN 'high' WHEN share >= 20 THEN 'medium' ELSE 'low' END AS severity FROM c",
+    "r14_pairs": _C + "SELECT x.page AS page_a, y.page AS page_b, count(*) AS queries, CAST(sum(x.total) AS BIGINT) AS impressions FROM s x JOIN s y ON x.query = y.query AND x.page < y.page GROUP BY 1, 2 HAVING count(*) > 1",
+    "r16_declining": """
+WITH m AS (SELECT CAST(o_custkey % 200 AS VARCHAR) AS page, strftime(o_orderdate, '%Y-%m') AS month, CAST(sum(floor(o_totalprice / 1000)) AS BIGINT) AS clicks, CAST(sum(floor(o_totalprice / 100)) AS BIGINT) AS impressions, sum((1 + o_orderkey % 20) * floor(o_totalprice / 100)) AS w FROM orders GROUP BY 1, 2),
+known AS (SELECT month, row_number() OVER (ORDER BY month DESC) AS back, (CAST(month[1:4] AS INTEGER) + 1) || month[5:7] AS next_year FROM (SELECT DISTINCT month FROM m)),
+has_year AS (SELECT count(*) = 3 AS yes FROM known a JOIN known b ON a.next_year = b.month AND b.back <= 3),
+s AS (SELECT page, CAST(coalesce(sum(clicks) FILTER (WHERE k.back BETWEEN 4 AND 6), 0) AS BIGINT) AS before, CAST(coalesce(sum(clicks) FILTER (WHERE k.back <= 3), 0) AS BIGINT) AS after, CAST(coalesce(sum(clicks) FILTER (WHERE k.next_year IN (SELECT month FROM known WHERE back <= 3)), 0) AS BIGINT) AS y,
+  coalesce(sum(impressions) FILTER (WHERE k.back BETWEEN 4 AND 6), 0) AS ib, coalesce(sum(impressions) FILTER (WHERE k.back <= 3), 0) AS ia, sum(w) FILTER (WHERE k.back BETWEEN 4 AND 6) AS wb, sum(w) FILTER (WHERE k.back <= 3) AS wa FROM m JOIN known k USING (month) GROUP BY 1),
+grid AS (SELECT p.page, k.month, k.back, coalesce(m.clicks, 0) AS clicks FROM (SELECT DISTINCT page FROM m) p CROSS JOIN known k LEFT JOIN m ON m.page = p.page AND m.month = k.month),
+fall AS (SELECT page, back, coalesce(clicks < lag(clicks) OVER (PARTITION BY page ORDER BY month), false) AS down FROM grid),
+streak AS (SELECT page, coalesce(min(back) FILTER (WHERE NOT down), 1) - 1 AS streak FROM fall GROUP BY 1),
+j AS (SELECT s.*, streak, has_year.yes, CASE WHEN ib > 0 THEN wb / ib END AS pb, CASE WHEN ia > 0 THEN wa / ia END AS pa, CASE WHEN ib > 0 THEN before / ib ELSE 0 END AS cb, CASE WHEN ia > 0 THEN after / ia ELSE 0 END AS ca FROM s JOIN streak USING (page), has_year WHERE before >= 30 AND (before - after) / before >= 0.2),
+r AS (SELECT *, list_filter([CASE WHEN pa - pb >= 2 THEN 'position' END, CASE WHEN ib > 0 AND ib - ia >= 0.2 * ib AND NOT coalesce(pa - pb >= 2, false) THEN 'demand' END, CASE WHEN cb > 0 AND cb - ca >= 0.2 * cb AND ia >= 0.8 * ib THEN 'click_rate' END], lambda x: x IS NOT NULL) AS why FROM j)
+SELECT page, before, after, before - after AS lost, CAST(floor((before - after) / before * 100 + 0.5) AS INTEGER) AS drop, floor(pb * 10 + 0.5) / 10 AS position_before, floor(pa * 10 + 0.5) / 10 AS position_after, CASE WHEN yes THEN y END AS year_ago, yes AND y > 0 AND after >= 0.9 * y AS seasonal, CAST(streak AS INTEGER) AS streak, CASE WHEN len(why) = 0 THEN ['unknown'] ELSE why END AS reasons FROM r""",
+    "a22_measures": "WITH v AS (SELECT c_nationkey AS page, count(*) AS s, sum(o_custkey % 2) AS u, count(*) FILTER (WHERE o_orderstatus = 'F') AS e, sum(o_orderkey % 100) AS t, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS k, sum(CAST(round(o_totalprice) AS BIGINT)) AS r FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) "
+    "SELECT page, s AS sessions, CAST(u AS BIGINT) AS users, floor(e / s * 100 * 10 + 0.5) / 10 AS engagement_rate, CAST(floor(t / s + 0.5) AS BIGINT) AS engagement_sec, CAST(k AS DOUBLE) AS key_events, floor(k / s * 100 * 100 + 0.5) / 100 AS conversion_rate, CAST(r AS DOUBLE) AS revenue FROM v",
+    "u5_shared_parts": "WITH q AS (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY sum(l_quantity) DESC, l_partkey) AS n FROM lineitem GROUP BY 1, 2), t AS (SELECT * FROM q WHERE n <= 10) SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS shared FROM t x JOIN t y ON x.l_partkey = y.l_partkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 3",
     "w7_streaks": _M + ", s AS (SELECT *, coalesce(clicks < lag(clicks) OVER (PARTITION BY page ORDER BY month), false) AS down FROM m), b AS (SELECT *, sum(CASE WHEN down THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY month DESC) AS breaks FROM s) SELECT page, count(*) FILTER (WHERE down AND breaks = 0) AS streak FROM b GROUP BY 1",
     "a20_monthly": _M + "SELECT page, " + ", ".join(f"CAST(sum(clicks) FILTER (WHERE quarter(CAST(month || '-01' AS DATE)) = {i}) AS BIGINT) AS q{i}" for i in (1, 2, 3, 4)) + " FROM m GROUP BY 1",
     "r22_channels": "WITH g AS (SELECT c_mktsegment AS channel, count(*) AS sessions, round(sum(o_totalprice), 2) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) SELECT *, " + _up("sessions / sum(sessions) OVER ()") + " AS share FROM g",
@@ -263,8 +284,9 @@ SQL = {
     "a28_medians": "SELECT CAST(ts AS DATE) AS date, event_type, round(median(value), 6) AS median FROM events GROUP BY 1, 2",
     "a29_noise": "SELECT user_id, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS deviation FROM events GROUP BY 1",
     "w4_deltas": "SELECT user_id, event_type, round(value - before, 6) AS delta FROM (SELECT *, row_number() OVER w AS n, lead(value) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC)) WHERE n = 1",
-    "w5_rolling": _F + "SELECT date, clicks, round(avg(clicks) OVER (PARTITION BY year(date) ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS rolling FROM f",
-    "w6_weekly_noise": _F + ", n AS (SELECT CAST(year(date) AS INTEGER) AS year, clicks, CAST(floor((row_number() OVER (PARTITION BY year(date) ORDER BY date DESC) - 1) / 7) AS BIGINT) AS block FROM f), b AS (SELECT year, block, CAST(sum(clicks) AS BIGINT) AS clicks FROM n GROUP BY 1, 2 HAVING count(*) = 7), p AS (SELECT *, lag(clicks) OVER (PARTITION BY year ORDER BY block DESC) AS before FROM b) SELECT year, block, clicks, round(CASE WHEN before = 0 THEN CASE WHEN clicks = 0 THEN 0 ELSE 1 END ELSE (clicks - before) / before END, 6) AS change FROM p",
+    "w5_rolling": _F + "SELECT date, clicks, round(avg(clicks) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS rolling FROM f",
+    "w6_weekly_noise": _WEEKS + "SELECT block, last_day, clicks, round(change, 6) AS change FROM p",
+    "m5_noise": _WEEKS + "SELECT round(greatest(0.15, 2 * coalesce(stddev_samp(round(change, 6)), 0)), 5) AS threshold, count(change) AS weeks FROM p WHERE block > 0",
     "a30_last_28": _D + ", a AS (SELECT *, (SELECT max(date) FROM d) - date AS age FROM d) SELECT " + ", ".join(f"CAST(sum(CASE WHEN age BETWEEN {a} AND {a + 27} THEN {c} ELSE 0 END) AS BIGINT) AS {c}_{n}" for c in ("clicks", "impressions") for n, a in (("now", 0), ("before", 28))) + " FROM a",
     "j13_in_intervals": "WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day FROM orders), q AS (SELECT DISTINCT CAST(date_trunc('quarter', day) AS DATE) AS begin FROM o) SELECT begin, count(*) AS orders FROM o JOIN q ON day BETWEEN begin AND begin + 9 GROUP BY 1",
     "r29_experiment": "WITH o AS (SELECT CAST(o_orderdate AS DATE) AS date, o_custkey % 2 = 0 AS test, count(*) AS clicks FROM orders GROUP BY 1, 2), k AS (SELECT min(date) + CAST(floor((max(date) - min(date)) / 2) AS INTEGER) AS change FROM o), s AS (SELECT test, date > change AS after, clicks FROM o, k WHERE date <> change AND date BETWEEN change - 28 AND change + 28), "
