@@ -33,6 +33,12 @@ def owns(domain: Column, host: Column) -> Column:
     return (domain == host) | domain.endswith(F.concat(F.lit("."), host))
 
 
+def endings(domain: Column) -> Column:
+    """A domain and all it lies below, so that domains and their owners meet by an equal key."""
+    labels = F.split(domain, r"\.")
+    return F.when(domain != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array().cast("array<string>"))
+
+
 def path_of(url: Column) -> Column:
     """Path and query of a URL, at least a slash; other texts unchanged."""
     path = _part(url, 3)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almena.functions.stats import priority
-from almena.functions.url import domain_of, first_folder, host_of, owns, parts, path_of, prefixes, url_key
-from almena.operators import crawl
+from almena.functions.url import domain_of, endings, first_folder, host_of, parts, path_of, prefixes, url_key
+from almena.operators import audit, crawl, monitor
 from almena.operators.relational import as_of_gap, folder_tree, latest, previous_of, state_changes, top_per, union_tagged
 from almena.session import table
 from almena.sources.sinks import expired
@@ -27,9 +27,53 @@ def r4_issue_counts(spark, sf_dir):
     return crawl.audit(view(spark, sf_dir)).groupBy("crawl_run_id", "code", "severity").agg(F.count("*").alias("urls"))
 
 
-def r4_canonical_targets(spark, sf_dir):
-    """Pages whose canonical is a page of the run that cannot be indexed."""
-    return crawl.canonical_targets(view(spark, sf_dir))
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the columns of the full rules that can be told from the table: robots by the reason, one hop for a redirect, depth by folders, a sitemap of addresses without parameters."""
+    v = view(spark, sf_dir)
+    return v.withColumns({
+        "robots_meta": F.when(F.col("indexability_reason") == "noindex", "noindex"), "x_robots_tag": F.lit(None).cast("string"), "error": F.lit(None).cast("string"), "in_sitemap": ~F.col("url").contains("?") & (F.col("status_code") != 404),
+        "redirect_chain": F.when(F.col("redirected"), F.array(F.struct(F.col("final_url").alias("url"), F.lit(301).alias("status")))), "depth": F.size(F.filter(F.split(F.regexp_replace("url", "^https?://[^/]*/?", ""), "[/?]"), lambda x: x != "")),
+    })
+
+
+def r4_all_rules(spark, sf_dir):
+    """Pages hit per rule over all runs, by every rule whose columns are there."""
+    return audit.audit_pages(wide(spark, sf_dir)).groupBy("code", "severity").agg(F.count("*").alias("urls"))
+
+
+def r6_tab_counts(spark, sf_dir):
+    """Pages per tab and filter over all runs."""
+    return audit.tab_counts(wide(spark, sf_dir)).groupBy("filter").agg(F.sum("rows").alias("rows"))
+
+
+def t3_worst_issues(spark, sf_dir):
+    """The 50 worst issues by severity, then by pages."""
+    rank = F.create_map(*(F.lit(x) for p in {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "LOW": 3, "INFO": 4}.items() for x in p))
+    issues = audit.audit_pages(wide(spark, sf_dir)).groupBy("crawl_run_id", "code", "severity").agg(F.count("*").alias("urls"))
+    return issues.orderBy(rank[F.col("severity")], F.desc("urls"), "code", "crawl_run_id").limit(50)
+
+
+def r27_run_news(spark, sf_dir):
+    """Each site's last full crawl against the one before: what got better or worse."""
+    v = view(spark, sf_dir).groupBy("crawl_run_id").agg(
+        F.count_if("is_indexable").alias("indexable"), F.count_if(F.col("status_code").between(400, 499)).alias("errors_4xx"), F.count_if(F.col("status_code") >= 500).alias("errors_5xx"), F.round(F.avg(F.when(F.col("status_code") == 200, F.col("response_time_ms"))), 0).alias("mean_ms")
+    )
+    done = runs(spark, sf_dir).filter("run_status = 'completed' AND crawl_mode <> 'list'").select("crawl_run_id", "site_id", "started_at", F.lit(False).alias("partial"))
+    return monitor.crawl_news(done.join(v, "crawl_run_id"))
+
+
+def w13_recent_groups(spark, sf_dir):
+    """Crawls with the newest start of their site, by which groups are ordered."""
+    newest = F.max("started_at").over(Window.partitionBy("site_id"))
+    return runs(spark, sf_dir).select("site_id", "crawl_run_id", newest.alias("newest"))
+
+
+def j1_pages_with_hits(spark, sf_dir):
+    """URLs of all crawls with the crawler hits of their address's key, 0 without any: URLs and hits per site host."""
+    urls = table(spark, sf_dir, "crawled_page").select("url").distinct().withColumn("_k", url_key(F.col("url")))
+    sites = table(spark, sf_dir, "crawl_run").select("crawl_run_id", "site_id").distinct().join(table(spark, sf_dir, "crawled_page").select("crawl_run_id", host_of(F.col("url")).alias("host")).distinct(), "crawl_run_id").select("site_id", "host").distinct()
+    hits = table(spark, sf_dir, "log_entry").filter("is_bot").select("log_id", "site_id", "path").distinct().join(sites, "site_id").groupBy(url_key(F.concat(F.lit("https://"), "host", "path")).alias("_k")).agg(F.count("*").alias("hits"))
+    return urls.join(hits, "_k", "left").groupBy(host_of(F.col("url")).alias("host")).agg(F.count("*").alias("urls"), F.sum(F.coalesce("hits", F.lit(0))).alias("hits"))
 
 
 def r5_issue_states(spark, sf_dir):
@@ -158,10 +202,10 @@ def f4_url_parts(spark, sf_dir):
 
 
 def j18_site_hosts(spark, sf_dir):
-    """Pages of the two hosts named, and of all hosts below them."""
+    """Pages of the two hosts named, and of all hosts below them, joined on the endings of each domain."""
     own = spark.createDataFrame([("olmeda-tienda.example",), ("example",)], "host string")
-    urls = table(spark, sf_dir, "crawled_page").select("url").distinct().withColumn("domain", domain_of(F.col("url")))
-    return urls.join(F.broadcast(own), owns(F.col("domain"), F.col("host"))).groupBy("host").agg(F.count("*").alias("urls"))
+    urls = table(spark, sf_dir, "crawled_page").select("url").distinct().select(F.explode(endings(domain_of(F.col("url")))).alias("host"))
+    return urls.join(own, "host").groupBy("host").agg(F.count("*").alias("urls"))
 
 
 _V = """WITH v AS (
@@ -218,12 +262,46 @@ t AS (SELECT *, unnest(range(len(dirs) + 1)) AS k FROM q), z AS (SELECT *, {_HOS
 _KEYED = "WITH d AS (SELECT DISTINCT site_id, crawl_run_id, started_at, run_status, crawl_mode FROM crawl_run)\n"
 
 QUERIES = {f.__name__: f for f in (
-    r4_issue_counts, r4_canonical_targets, r5_issue_states, f12_priorities, c8_indexability, r6_explorer_counts, r7_explorer_rows, r9_custom_search, r10_structure, r10_folder_totals, r11_differences, r12_alerts, a14_duplicate_titles,
+    r4_issue_counts, r4_all_rules, r6_tab_counts, t3_worst_issues, r27_run_news, w13_recent_groups, j1_pages_with_hits, r5_issue_states, f12_priorities, c8_indexability, r6_explorer_counts, r7_explorer_rows, r9_custom_search, r10_structure, r10_folder_totals, r11_differences, r12_alerts, a14_duplicate_titles,
     j4_seen_in_logs, j11_previous_run, j12_reference_run, w1_latest_pages, w2_last_runs, k9_expired_runs, u1_problem_urls, u3_lost_types, f4_url_parts, j18_site_hosts,
 )}
+_WIDE = _V.replace("WITH v AS (", "WITH v0 AS (") + """, v AS (SELECT *, CASE WHEN indexability_reason = 'noindex' THEN 'noindex' END AS robots, NOT contains(url, '?') AND status_code <> 404 AS listed, len(list_filter(regexp_split_to_array(regexp_replace(url, '^https?://[^/]*/?', ''), '[/?]'), lambda x: x <> '')) AS depth FROM v0)
+"""
+_OK = "html200 AND is_indexable"
+_ALL_RULES = {
+    **{k: v for k, v in _RULES.items() if k not in ("FETCH_FAILED", "ROBOTS_BLOCKED", "NOINDEX", "CANONICAL_MISSING", "SCHEMA_MISSING")},
+    "FETCH_FAILED": ("MEDIUM", "status_code = 0 AND NOT blocked_by_robots"), "ROBOTS_BLOCKED": ("INFO", "blocked_by_robots AND NOT listed"), "NOINDEX": ("INFO", "html200 AND robots IS NOT NULL AND NOT listed"), "CANONICAL_MISSING": ("MEDIUM", f"html200 AND {_EMPTY.format('canonical')} AND robots IS NULL"),
+    "SITEMAP_NON_INDEXABLE": ("HIGH", f"listed AND NOT ({_OK}) AND robots IS NULL"), "INDEXABLE_NOT_IN_SITEMAP": ("LOW", f"{_OK} AND NOT listed"), "SITEMAP_ORPHAN": ("MEDIUM", "html200 AND listed AND inlinks = 0 AND depth > 0"), "DEPTH_EXCESSIVE": ("LOW", f"{_OK} AND depth > 4"),
+}
+_ALL = _WIDE + ", hit AS (" + " UNION ALL ".join(f"SELECT crawl_run_id, '{c}' AS code, '{s}' AS severity, url FROM v WHERE {p}" for c, (s, p) in _ALL_RULES.items()) + f""" UNION ALL
+  SELECT crawl_run_id, 'TITLE_DUPLICATE', 'MEDIUM', url FROM (SELECT crawl_run_id, url, count(*) OVER (PARTITION BY crawl_run_id, lower(trim(title))) AS n FROM v WHERE {_OK} AND NOT {_EMPTY.format('title')}) WHERE n > 1 UNION ALL
+  SELECT v.crawl_run_id, 'CANONICAL_TO_NON_INDEXABLE', 'HIGH', v.url FROM v JOIN v t ON t.crawl_run_id = v.crawl_run_id AND t.url = v.canonical WHERE v.html200 AND v.canonical <> v.url AND NOT (t.is_indexable AND t.html200))
+"""
+_TAB_SQL = {
+    "internal.all": "true", "internal.html": "html200", "internal.other": "NOT html200", "internal.indexable": "is_indexable", "internal.non_indexable": "NOT is_indexable", "response.all": "true", "response.blocked": "blocked_by_robots", "response.no_response": "status_code = 0 AND NOT blocked_by_robots", "response.2xx": "status_code BETWEEN 200 AND 299 AND NOT redirected",
+    "response.3xx": "redirected", "response.4xx": "status_code BETWEEN 400 AND 499", "response.5xx": "status_code >= 500", "uri.non_ascii": "html200 AND regexp_matches(url, '[^\\x00-\\x7F]|%[89A-Fa-f][0-9A-Fa-f]')", **{f"uri.{k}": _FILTERS[f"uri_{k}"] for k in ("underscores", "uppercase", "parameters", "over_115", "multiple_slashes")},
+    **{f"titles.{k}": _FILTERS[f"titles_{k}"] for k in ("missing", "over_60", "below_30", "same_as_h1")}, "h1.missing": _FILTERS["h1_missing"], "h1.over_70": _FILTERS["h1_over_70"], "canonicals.self": _FILTERS["canonicals_self"], "canonicals.canonicalised": _FILTERS["canonicals_other"], "canonicals.missing": _FILTERS["canonicals_missing"],
+    "canonicals.cross_host": f"html200 AND {_HOST.format('canonical')} <> {_HOST.format('url')}", "directives.all": "true", "directives.noindex": "robots IS NOT NULL", "directives.nofollow": "false", "directives.x_robots": "false", "directives.blocked": "blocked_by_robots", "structured.contains": _FILTERS["structured_present"], "structured.missing": _FILTERS["structured_missing"],
+    "links.no_inlinks": "html200 AND inlinks = 0 AND depth > 0", "links.deep": "html200 AND depth > 4", **{f"{t}.all": "html200" for t in ("uri", "titles", "meta", "keywords", "h1", "h2", "canonicals", "hreflang", "structured", "social", "links", "pagination", "search")},
+}
+_TABS = _WIDE + " UNION ALL ".join(f"SELECT '{n}' AS filter, count(*) FILTER (WHERE {p}) AS rows FROM v" for n, p in _TAB_SQL.items()) + "".join(
+    f" UNION ALL SELECT '{t}.duplicate', count(*) FILTER (WHERE n > 1) FROM (SELECT count(*) OVER (PARTITION BY crawl_run_id, lower(trim({c}))) AS n FROM v WHERE html200 AND NOT {_EMPTY.format(c)})" for t, c in (("titles", "title"), ("h1", "h1"))
+)
+_NEWS = (
+    _V + ", s AS (SELECT crawl_run_id, count(*) FILTER (WHERE is_indexable) AS ok, count(*) FILTER (WHERE status_code BETWEEN 400 AND 499) AS e4, count(*) FILTER (WHERE status_code >= 500) AS e5, round(avg(response_time_ms) FILTER (WHERE status_code = 200)) AS ms FROM v GROUP BY 1), "
+    "d AS (SELECT DISTINCT site_id, crawl_run_id, started_at FROM crawl_run WHERE run_status = 'completed' AND crawl_mode <> 'list'), r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY started_at DESC) AS n FROM d JOIN s USING (crawl_run_id)), j AS (SELECT a.site_id, a.ok AS ok1, b.ok AS ok0, a.e4 AS f1, b.e4 AS f0, a.e5 AS g1, b.e5 AS g0, a.ms AS m1, b.ms AS m0 FROM r a JOIN r b ON a.site_id = b.site_id AND a.n = 1 AND b.n = 2) "
+    "SELECT 'crawl' AS area, insight, tone, site_id AS subject, CAST(before AS DOUBLE) AS before, CAST(after AS DOUBLE) AS after FROM (SELECT site_id, 'indexable_lost' AS insight, 'bad' AS tone, ok0 AS before, ok1 AS after FROM j WHERE ok0 - ok1 >= greatest(5, ok0 * 0.05) UNION ALL SELECT site_id, 'indexable_gained', 'info', ok0, ok1 FROM j WHERE ok1 - ok0 >= greatest(5, ok0 * 0.05) UNION ALL SELECT site_id, 'server_errors', 'bad', g0, g1 FROM j WHERE g1 > g0 "
+    "UNION ALL SELECT site_id, 'client_errors', 'warn', f0, f1 FROM j WHERE f1 - f0 >= 3 UNION ALL SELECT site_id, 'client_errors_fixed', 'good', f0, f1 FROM j WHERE f0 - f1 >= 3 UNION ALL SELECT site_id, 'slower', 'warn', m0, m1 FROM j WHERE m0 > 0 AND m1 > 300 AND (m1 - m0) / m0 >= 0.5)"
+)
+_KEY = "('https://' || {host} || CASE WHEN split_part({path}, '?', 1) IN ('', '/') THEN '/' ELSE regexp_replace(split_part({path}, '?', 1), '/+$', '') END || CASE WHEN contains({path}, '?') THEN '?' || split_part({path}, '?', 2) ELSE '' END)"
 SQL = {
+    "r4_all_rules": _ALL + "SELECT code, severity, count(*) AS urls FROM hit GROUP BY 1, 2",
+    "r6_tab_counts": _TABS,
+    "t3_worst_issues": _ALL + "SELECT * FROM (SELECT crawl_run_id, code, severity, count(*) AS urls FROM hit GROUP BY ALL) ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END, urls DESC, code, crawl_run_id LIMIT 50",
+    "r27_run_news": _NEWS,
+    "w13_recent_groups": "WITH d AS (SELECT DISTINCT site_id, crawl_run_id, started_at FROM crawl_run) SELECT site_id, crawl_run_id, max(started_at) OVER (PARTITION BY site_id) AS newest FROM d",
+    "j1_pages_with_hits": f"WITH p AS (SELECT DISTINCT crawl_run_id, url, {_HOST.format('url')} AS host, regexp_extract(url, '^https?://[^/?#]*(.*)$', 1) AS path FROM crawled_page), u AS (SELECT DISTINCT url, host, {_KEY.format(host='host', path='path')} AS k FROM p), s AS (SELECT DISTINCT site_id, host FROM p JOIN crawl_run USING (crawl_run_id)), h AS (SELECT {_KEY.format(host='host', path='path')} AS k, count(*) AS hits FROM (SELECT DISTINCT log_id, site_id, path FROM log_entry WHERE is_bot) JOIN s USING (site_id) GROUP BY 1) SELECT host, count(*) AS urls, CAST(sum(coalesce(hits, 0)) AS BIGINT) AS hits FROM u LEFT JOIN h USING (k) GROUP BY 1",
     "r4_issue_counts": _AUDIT + "SELECT * FROM issue",
-    "r4_canonical_targets": _V + "SELECT v.crawl_run_id, v.url, v.canonical FROM v JOIN v t ON t.crawl_run_id = v.crawl_run_id AND t.url = v.canonical WHERE v.html200 AND v.canonical <> v.url AND NOT coalesce(t.is_indexable, false)",
     "r5_issue_states": _AUDIT + ", pair AS (SELECT DISTINCT crawl_run_id AS run, base_run_id AS base FROM crawl_run WHERE base_run_id IS NOT NULL), n AS (SELECT run || ':' || code AS issue FROM pair JOIN issue ON crawl_run_id = run), o AS (SELECT run || ':' || code AS issue FROM pair JOIN issue ON crawl_run_id = base) SELECT coalesce(n.issue, o.issue) AS issue, CASE WHEN o.issue IS NULL THEN 'new' WHEN n.issue IS NULL THEN 'resolved' ELSE 'open' END AS state FROM n FULL JOIN o ON n.issue = o.issue",
     "f12_priorities": _AUDIT + "SELECT crawl_run_id, code, floor(5 * 0.9 * least(log10(greatest(urls, 1)) + 1, 5) * CASE severity WHEN 'CRITICAL' THEN 2.0 WHEN 'HIGH' THEN 1.5 WHEN 'MEDIUM' THEN 1.0 WHEN 'LOW' THEN 0.6 ELSE 0.3 END / 2.0 * 10 + 0.5) / 10 AS priority FROM issue",
     "c8_indexability": _V + ", i AS (SELECT CASE WHEN blocked_by_robots THEN 'blocked' WHEN status_code = 0 THEN 'no response' WHEN redirected THEN 'redirect' WHEN status_code <> 200 THEN 'status ' || status_code WHEN indexability_reason = 'noindex' THEN 'noindex' WHEN coalesce(canonical, url) <> url THEN 'canonicalised' END AS reason FROM v) SELECT reason IS NULL AS indexable, reason, count(*) AS pages FROM i GROUP BY 1, 2",

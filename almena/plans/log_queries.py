@@ -10,6 +10,7 @@ from almena.functions.privacy import hash_ip, redact_query
 from almena.functions.stats import LATENCY_LIMITS, bucket_limit, latency_bucket
 from almena.functions.text import round_up
 from almena.functions.url import first_dir, path_of, path_only, query_keys
+from almena.functions.web import KINDS, resource_kind
 from almena.operators.relational import top_per
 from almena.sources.logs import parse_lines
 from almena.session import table
@@ -179,6 +180,26 @@ def s5_imports(spark, sf_dir):
     return first.select("import_id", "site_id", "checksum", "valid_lines", round_up(F.coalesce(F.try_divide(F.coalesce("invalid_lines", F.lit(0)).cast("double"), lines.cast("double")), F.lit(0.0)), 6).alias("invalid_share"))
 
 
+def a17_file_types(spark, sf_dir):
+    """Crawler hits by kind of file."""
+    return bots(spark, sf_dir).groupBy(resource_kind(F.col("path")).alias("kind")).agg(F.count("*").alias("hits"), F.countDistinct("site_id").alias("sites"))
+
+
+def u2_known_paths(spark, sf_dir):
+    """Paths per site that crawls or crawlers know, each once: how many."""
+    pages = table(spark, sf_dir, "crawled_page").select("crawl_run_id", path_only(path_of(F.col("url"))).alias("path"))
+    seen = pages.join(table(spark, sf_dir, "crawl_run").select("crawl_run_id", "site_id"), "crawl_run_id").select("site_id", "path")
+    return seen.union(bots(spark, sf_dir).select("site_id", path_only(F.col("path")).alias("path"))).distinct().groupBy("site_id").agg(F.count("*").alias("paths"))
+
+
+def a2_import_totals(spark, sf_dir):
+    """Lines of imports per site: all, valid, invalid, and what the kept log holds of them."""
+    i = table(spark, sf_dir, "log_import").dropDuplicates(["import_id"])
+    n = entries(spark, sf_dir).groupBy("import_id").agg(F.count("*").alias("kept"), F.count_if("is_bot").alias("bots"))
+    j = i.join(n, "import_id", "left")
+    return j.groupBy("site_id").agg(F.count("*").alias("imports"), F.sum("valid_lines").alias("valid"), F.sum(F.coalesce("invalid_lines", F.lit(0))).alias("invalid"), F.count_if(F.col("invalid_lines").isNull()).alias("unknown"), F.sum(F.coalesce("kept", F.lit(0))).alias("kept"), F.sum(F.coalesce("bots", F.lit(0))).alias("bots"))
+
+
 def combined_line() -> Column:
     """A log line in combined format written from the columns of an entry."""
     agent = F.concat(F.lit("Mozilla/5.0 (compatible; "), F.coalesce("bot_name", F.lit("-")), F.lit("/2.1)"))
@@ -234,7 +255,7 @@ _PAGE_PATH = "(CASE WHEN regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) = '
 
 QUERIES = {f.__name__: f for f in (
     a1_log_aggregate, a2_totals, r1_bot_hits_by_day, r1_by_directory, r1_status, r1_hours, r1_top_urls, r1_least_urls, r1_client_errors, r1_server_errors, r1_redirects, a3_parameters, r1_crawl_waste,
-    r1_latency_percentiles, r1_never_crawled, r1_not_in_crawl, r1_ai_bots, r2_bot_urls, a8_grouping_sets, a7_distinct_exact, a7_distinct_approx, s5_imports, s2_parse_combined, c1_crawler_names, c5_redacted_queries, c6_hashed_clients, a40_verified,
+    r1_latency_percentiles, r1_never_crawled, r1_not_in_crawl, r1_ai_bots, r2_bot_urls, a8_grouping_sets, a7_distinct_exact, a7_distinct_approx, s5_imports, a17_file_types, u2_known_paths, a2_import_totals, s2_parse_combined, c1_crawler_names, c5_redacted_queries, c6_hashed_clients, a40_verified,
 )}
 SQL = {
     "a1_log_aggregate": _E + "SELECT CAST(ts AS DATE) AS date, bot_name, bot_category, status_code, CASE WHEN is_bot THEN pure ELSE '*' END AS path, count(*) AS hits, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(sum(response_ms) AS BIGINT) AS duration_sum, count(response_ms) AS duration_samples FROM e GROUP BY ALL",
@@ -256,6 +277,9 @@ SQL = {
     "a8_grouping_sets": _E + "SELECT CAST(ts AS DATE) AS date, bot_name, status_code, CAST(grouping(CAST(ts AS DATE), bot_name, status_code) AS BIGINT) AS level, count(*) AS hits FROM e WHERE is_bot GROUP BY GROUPING SETS ((CAST(ts AS DATE)), (bot_name), (status_code), ())",
     "a7_distinct_exact": _E + "SELECT bot_name, count(DISTINCT path) AS paths FROM e WHERE is_bot GROUP BY 1",
     "s5_imports": "WITH i AS (SELECT *, row_number() OVER (PARTITION BY site_id, checksum ORDER BY created_at, import_id) AS rn FROM (SELECT DISTINCT ON (import_id) * FROM log_import)) SELECT import_id, site_id, checksum, valid_lines, floor(CASE WHEN valid_lines + coalesce(invalid_lines, 0) = 0 THEN 0 ELSE coalesce(invalid_lines, 0) / (valid_lines + coalesce(invalid_lines, 0)) END * 1000000 + 0.5) / 1000000 AS invalid_share FROM i WHERE rn = 1",
+    "a17_file_types": _E + ", x AS (SELECT *, lower(regexp_extract(pure, '\\.([A-Za-z0-9]{1,5})$', 1)) AS e FROM e WHERE is_bot) SELECT CASE " + " ".join(f"WHEN regexp_full_match(e, '{p}') THEN '{k}'" for k, p in KINDS.items()) + " ELSE 'page' END AS kind, count(*) AS hits, count(DISTINCT site_id) AS sites FROM x GROUP BY 1",
+    "u2_known_paths": _E + f", p AS (SELECT r.site_id, split_part({_PAGE_PATH}, '?', 1) AS path FROM crawled_page JOIN crawl_run r USING (crawl_run_id) UNION SELECT site_id, pure FROM e WHERE is_bot) SELECT site_id, count(*) AS paths FROM p GROUP BY 1",
+    "a2_import_totals": _E + ", i AS (SELECT DISTINCT ON (import_id) * FROM log_import), n AS (SELECT import_id, count(*) AS kept, count(*) FILTER (WHERE is_bot) AS bots FROM e GROUP BY 1) SELECT i.site_id, count(*) AS imports, CAST(sum(valid_lines) AS BIGINT) AS valid, CAST(sum(coalesce(invalid_lines, 0)) AS BIGINT) AS invalid, count(*) FILTER (WHERE invalid_lines IS NULL) AS unknown, CAST(sum(coalesce(kept, 0)) AS BIGINT) AS kept, CAST(sum(coalesce(bots, 0)) AS BIGINT) AS bots FROM i LEFT JOIN n USING (import_id) GROUP BY 1",
     "s2_parse_combined": _E + "SELECT status_code, CAST(ts AS DATE) AS date, count(*) AS hits, CAST(sum(coalesce(size_bytes, 0)) AS BIGINT) AS bytes, CAST(sum(response_ms) AS BIGINT) AS duration_sum FROM e GROUP BY 1, 2",
     "c1_crawler_names": _E + "SELECT bot_name, bot_name AS found, max(bot_category) AS category, count(*) AS hits FROM e WHERE bot_name IS NOT NULL GROUP BY bot_name",
     "c5_redacted_queries": _E + "SELECT regexp_replace(regexp_extract(path, '\\?(.*)$', 1), '(^|&)orden=[^&]*', '\\1orden=%5BREDACTED%5D', 'g') AS query, count(*) AS hits FROM e WHERE contains(path, '?') GROUP BY 1",

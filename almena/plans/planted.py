@@ -313,6 +313,37 @@ def p13_skip_reasons(spark):
     return df.select("url", audit.skip_reason(c, "s.example", [], ["/cart"], 3, F.when(c.endswith("/dp"), 4).otherwise(1), ~c.endswith("/rb"), c.endswith("/seen"), c.endswith("/nf")).alias("reason"))
 
 
+@planted("url string, code string", [("/c1", "CANONICAL_TO_NON_INDEXABLE"), ("/c2", "CANONICAL_TO_NON_INDEXABLE"), ("/home", "BROKEN_INTERNAL_LINKS")])
+def j7_canonical_targets(spark):
+    """Pages whose canonical was crawled and is no page to index, and pages with broken links."""
+    rows = [("/ok", 200, "/ok", True), ("/c1", 200, "/gone", False), ("/c2", 200, "/hidden", False), ("/c3", 200, "/ok", False), ("/c4", 200, "/unseen", False), ("/gone", 404, None, False), ("/hidden", 200, "/hidden", False), ("/home", 200, "/home", True)]
+    view = spark.createDataFrame([(1, *r, r[1] == 200) for r in rows], "crawl_run_id int, url string, status_code int, canonical string, is_indexable boolean, html200 boolean")
+    links = spark.createDataFrame([(1, "/home", "/gone"), (1, "/home", "/ok")], "crawl_run_id int, source_url string, target_url string")
+    return audit.audit_pages(view, links).filter(F.col("code").isin("CANONICAL_TO_NON_INDEXABLE", "BROKEN_INTERNAL_LINKS"))
+
+
+@planted("url string, n_inlinks int, links_to array<string>, issues array<string>", [("/thin", 30, ["/"], ["CONTENT_THIN"])])
+def r8_page_detail(spark):
+    """What is known of one page: links from and to it, and its issues."""
+    view = spark.createDataFrame([(1, "/thin")], "crawl_run_id int, url string")
+    links = spark.createDataFrame([(1, f"/p{i}", "/thin") for i in range(30)] + [(1, "/thin", "/")], "crawl_run_id int, source_url string, target_url string")
+    return audit.page_detail("/thin", view, links, spark.createDataFrame([(1, "/thin", "CONTENT_THIN"), (1, "/", "X")], "crawl_run_id int, url string, code string"), 5)
+
+
+@planted("url string, found_on array<string>, found_on_count long", [("/a.css", ["/p0", "/p1", "/p2"], 4)])
+def a36_found_on(spark):
+    """Where a file was found: the first pages, and how many."""
+    return audit.found_on(spark.createDataFrame([(1, f"/p{i % 4}", "/a.css") for i in range(9)], "crawl_run_id int, page string, url string"), 3)
+
+
+@planted("filter string, rows long", [("resources.type_mismatch", 1), ("resources.heavy_image", 1), ("external.http", 1), ("images.missing_alt", 1), ("images.empty_alt", 1), ("images.missing_dimensions", 1)])
+def p11_files_and_images(spark):
+    """Files, external links and images of the explorer by filter."""
+    resources = spark.createDataFrame([(1, "https://s.example/a.js", "script", True, False, 200, False, "text/html", 10), (1, "https://s.example/b.png", "image", True, False, 404, False, None, 300_000), (1, "http://x.example/", "page", False, True, 301, True, None, None)], "crawl_run_id long, url string, kind string, internal boolean, is_link boolean, status_code int, redirected boolean, content_type string, size_bytes long")
+    view = spark.createDataFrame([(1, "/", True, [("a.png", None, "1", "1"), ("b.png", "", None, "2")])], "crawl_run_id long, url string, html200 boolean, images array<struct<src:string,alt:string,width:string,height:string>>")
+    return audit.tab_counts(view, resources).filter(F.col("filter").isin("resources.type_mismatch", "resources.heavy_image", "external.http", "images.missing_alt", "images.empty_alt", "images.missing_dimensions"))
+
+
 @planted("i int, kind string", [(0, "image"), (1, "script"), (2, "css"), (3, "font"), (4, "document")])
 def p16_resource_kinds(spark):
     """Kinds of resources by their ending."""

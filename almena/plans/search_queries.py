@@ -119,12 +119,13 @@ def m5_noise(spark, sf_dir):
     return w.agg(F.round(F.greatest(F.lit(0.15), 2 * F.coalesce(F.stddev_samp("change"), F.lit(0.0))), 5).alias("threshold"), F.count("change").alias("weeks"))
 
 
-def u5_shared_parts(spark, sf_dir):
-    """Pairs of suppliers that share three or more of their ten parts of largest quantity."""
-    sold = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("n"))
-    top = top_per(sold, ["l_suppkey"], 10, F.desc("n"), F.col("l_partkey")).select("l_suppkey", "l_partkey")
-    a, b = top.select(F.col("l_suppkey").alias("a"), "l_partkey"), top.select(F.col("l_suppkey").alias("b"), "l_partkey")
-    return a.join(b, "l_partkey").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 3")
+def u5_shared_brands(spark, sf_dir):
+    """Pairs of suppliers that share eight or more of their ten brands of largest quantity."""
+    line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    sold = line.groupBy("l_suppkey", "p_brand").agg(F.sum("l_quantity").alias("n"))
+    top = top_per(sold, ["l_suppkey"], 10, F.desc("n"), F.col("p_brand")).groupBy("l_suppkey").agg(F.collect_set("p_brand").alias("own"))
+    pairs = top.select(F.col("l_suppkey").alias("a"), F.col("own").alias("x"), F.explode("own").alias("b1")).join(top.select(F.col("l_suppkey").alias("b"), F.col("own").alias("y"), F.explode("own").alias("b1")), "b1").filter("a < b").select("a", "b", "x", "y").distinct()
+    return pairs.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared")).filter("shared >= 8")
 
 
 def w7_streaks(spark, sf_dir):
@@ -251,7 +252,7 @@ _M = "WITH m AS (SELECT o_custkey % 200 AS page, strftime(o_orderdate, '%Y-%m')
 _O = "WITH o AS (SELECT user_id AS prompt, event_type AS engine, CAST(ts AS DATE) AS date, arg_max(CASE WHEN value > 100 THEN 5 WHEN value > 50 THEN 2 ELSE 0 END, event_id) AS score FROM events GROUP BY 1, 2, 3)\n"
 
 QUERIES = {f.__name__: f for f in (
-    r13_totals, r13_top_queries, r13_opportunities, r13_low_ctr, r14_conflicts, r14_pairs, r16_declining, r17_part_topics, a22_measures, m5_noise, u5_shared_parts, w7_streaks, a20_monthly, r22_channels, r22_days, w3_trends, a31_weekly, a28_medians, a29_noise, w4_deltas, w5_rolling, w6_weekly_noise, a30_last_28, j13_in_intervals, r29_experiment,
+    r13_totals, r13_top_queries, r13_opportunities, r13_low_ctr, r14_conflicts, r14_pairs, r16_declining, r17_part_topics, a22_measures, m5_noise, u5_shared_brands, w7_streaks, a20_monthly, r22_channels, r22_days, w3_trends, a31_weekly, a28_medians, a29_noise, w4_deltas, w5_rolling, w6_weekly_noise, a30_last_28, j13_in_intervals, r29_experiment,
 )}
 SQL = {
     "r13_totals": _R + f"SELECT CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, {_up('sum(clicks) / sum(impressions)', 6)} AS ctr, {_W} AS position, count(DISTINCT query) AS queries, count(DISTINCT page) AS pages FROM r",
@@ -274,7 +275,7 @@ r AS (SELECT *, list_filter([CASE WHEN pa - pb >= 2 THEN 'position' END, CASE WH
 SELECT page, before, after, before - after AS lost, CAST(floor((before - after) / before * 100 + 0.5) AS INTEGER) AS drop, floor(pb * 10 + 0.5) / 10 AS position_before, floor(pa * 10 + 0.5) / 10 AS position_after, CASE WHEN yes THEN y END AS year_ago, yes AND y > 0 AND after >= 0.9 * y AS seasonal, CAST(streak AS INTEGER) AS streak, CASE WHEN len(why) = 0 THEN ['unknown'] ELSE why END AS reasons FROM r""",
     "a22_measures": "WITH v AS (SELECT c_nationkey AS page, count(*) AS s, sum(o_custkey % 2) AS u, count(*) FILTER (WHERE o_orderstatus = 'F') AS e, sum(o_orderkey % 100) AS t, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS k, sum(CAST(round(o_totalprice) AS BIGINT)) AS r FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) "
     "SELECT page, s AS sessions, CAST(u AS BIGINT) AS users, floor(e / s * 100 * 10 + 0.5) / 10 AS engagement_rate, CAST(floor(t / s + 0.5) AS BIGINT) AS engagement_sec, CAST(k AS DOUBLE) AS key_events, floor(k / s * 100 * 100 + 0.5) / 100 AS conversion_rate, CAST(r AS DOUBLE) AS revenue FROM v",
-    "u5_shared_parts": "WITH q AS (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY sum(l_quantity) DESC, l_partkey) AS n FROM lineitem GROUP BY 1, 2), t AS (SELECT * FROM q WHERE n <= 10) SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS shared FROM t x JOIN t y ON x.l_partkey = y.l_partkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 3",
+    "u5_shared_brands": "WITH q AS (SELECT l_suppkey, p_brand, row_number() OVER (PARTITION BY l_suppkey ORDER BY sum(l_quantity) DESC, p_brand) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), t AS (SELECT * FROM q WHERE n <= 10) SELECT x.l_suppkey AS a, y.l_suppkey AS b, CAST(count(*) AS INTEGER) AS shared FROM t x JOIN t y ON x.p_brand = y.p_brand AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 8",
     "w7_streaks": _M + ", s AS (SELECT *, coalesce(clicks < lag(clicks) OVER (PARTITION BY page ORDER BY month), false) AS down FROM m), b AS (SELECT *, sum(CASE WHEN down THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY month DESC) AS breaks FROM s) SELECT page, count(*) FILTER (WHERE down AND breaks = 0) AS streak FROM b GROUP BY 1",
     "a20_monthly": _M + "SELECT page, " + ", ".join(f"CAST(sum(clicks) FILTER (WHERE quarter(CAST(month || '-01' AS DATE)) = {i}) AS BIGINT) AS q{i}" for i in (1, 2, 3, 4)) + " FROM m GROUP BY 1",
     "r22_channels": "WITH g AS (SELECT c_mktsegment AS channel, count(*) AS sessions, round(sum(o_totalprice), 2) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) SELECT *, " + _up("sessions / sum(sessions) OVER ()") + " AS share FROM g",

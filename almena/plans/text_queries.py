@@ -115,8 +115,9 @@ def f5_escaped(spark, sf_dir):
 
 
 def k4_guarded(spark, sf_dir):
-    """Raw records that a spreadsheet would take for formulas, made safe."""
-    return table(spark, sf_dir, "dataset_record").dropDuplicates(["record_id"]).select("record_id", csv_guard(F.col("raw")).alias("cell")).filter("substring(cell, 1, 1) = chr(39)")
+    """Balances as cells: those that a spreadsheet would take for formulas are made safe."""
+    cell = csv_guard(F.col("c_acctbal").cast("decimal(14,2)").cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", cell.alias("cell"))
 
 
 def r36_profile(spark, sf_dir):
@@ -277,7 +278,7 @@ SQL = {
     "f18_tokens": "WITH i AS (SELECT DISTINCT item_id, kind, tokens, greatest(1, CAST(ceil(length(md) / 4.0) AS INTEGER)) AS estimate FROM md_item) SELECT kind, count(*) AS items, CAST(sum(estimate) AS BIGINT) AS tokens, count(*) FILTER (WHERE tokens <> estimate) AS stale FROM i GROUP BY 1",
     "f3_slugs": _P + "SELECT DISTINCT strip_accents(lower(title)) AS folded, trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM p WHERE title IS NOT NULL",
     "f5_escaped": _G + "SELECT template_id, CAST(sum(length(replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;'))) AS BIGINT) AS characters FROM g GROUP BY 1",
-    "k4_guarded": "SELECT DISTINCT record_id, cell FROM (SELECT record_id, CASE WHEN regexp_matches(raw, '^[=+\\-@\\t\\r]') THEN chr(39) || raw ELSE raw END AS cell FROM dataset_record) WHERE cell[1:1] = chr(39)",
+    "k4_guarded": "WITH c AS (SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(14, 2)) AS VARCHAR) AS raw FROM customer) SELECT c_custkey, CASE WHEN raw[1:1] IN ('=', '+', '-', '@') THEN chr(39) || raw ELSE raw END AS cell FROM c",
     "r36_profile": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS type, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS empty, count(DISTINCT {c}) AS distinct_values FROM customer" for c, k in (("c_custkey", "number"), ("c_name", "text"), ("c_nationkey", "number"), ("c_acctbal", "number"), ("c_mktsegment", "text"))),
     "r36_datasets": "WITH r AS (SELECT dataset_id, count(*) AS records, count(*) FILTER (WHERE trim(raw) = '') AS blank FROM (SELECT DISTINCT record_id, dataset_id, raw FROM dataset_record) GROUP BY 1) SELECT d.dataset_id, site_id, row_count, coalesce(records, 0) AS records, coalesce(blank, 0) AS blank FROM dataset d LEFT JOIN r USING (dataset_id)",
     "r38_sections": _P + ", l AS (SELECT page_id, unnest(string_split(markdown, chr(10))) AS line FROM p) SELECT CAST(length(regexp_extract(line, '^(#{1,6})\\s', 1)) AS INTEGER) AS level, count(*) AS headings, count(DISTINCT page_id) AS pages FROM l WHERE regexp_matches(line, '^#{1,6}\\s') GROUP BY 1",
