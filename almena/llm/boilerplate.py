@@ -12,15 +12,16 @@ of a presentation node is the mean importance of the content below it. A line fa
 if its content or its presentation is too unimportant; prose falls by its content
 only and must be far more common than other lines, structure never falls, and a
 heading falls with the links it leads to. Hosts with few pages are judged by the
-tree of all hosts, in which a host's own name is masked; a handful of pages in all
-is judged by nothing and stays whole. The title line of a page
+tree of all hosts, in which a host's own name is masked. The title line of a page
 always stays.
+
+Texts are read once: a page becomes the numbers, presentations and hashed contents of its
+lines, from which nodes are counted and, with the sets of fallen nodes, lines judged.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from almena.llm.repeated import once
 from almena.session import cut_lineage
 
 #: Hosts with fewer pages are judged by the tree of all hosts alone.
@@ -35,12 +37,17 @@ SMALL_HOST = 12
 #: Share of pages from which content falls: on its host (and on at least that many pages), and over all hosts.
 HOST_SHARE = {"prose": (0.17, 4), "other": (0.04, 3)}
 ALL_SHARE = {"prose": 0.035, "other": 0.005}
-#: A presentation falls if the content below it carries less information in the mean (natural logarithm).
-LEAST_MEAN = 3.0
+#: A presentation falls if the content below it carries less information in the mean (natural logarithm), or less than this share of the most that so few pages can tell.
+LEAST_MEAN, LEAST_OF_MOST = 3.0, 0.6
 #: Share of a heading's occurrences that must lead to links or bare entries for it to fall with them.
 LEADS = 0.5
-#: Sets of fallen nodes of all hosts up to this many nodes are broadcast (8 bytes each), larger ones joined.
+#: Sets of fallen nodes of all hosts are broadcast up to this many nodes and hosts (8 bytes each), larger ones joined.
 BROADCAST_NODES = 500_000
+#: A heading falls only if it leads to links on this many pages, and on the share of pages from which other content falls.
+LEADING_PAGES = 3
+# Presentations by number; the number of its presentation is the low end of a node.
+KINDS = ("body", "title", "prose", "plain", "entry", "link", "heading", "arrow", "trail", "label", "row", "leads")
+BODY, TITLE, PROSE, PLAIN, ENTRY, LINK, HEADING, _, TRAIL, _, _, LEADS_TO = range(12)
 
 _LINK = re.compile(r"\[([^\[\]]*)\]\(([^()\s]*)\)")
 _ONLY_LINKS = re.compile(r"(?:\[[^\[\]]*\]\([^()\s]*\)[\s|·•,/–-]*)+\Z")
@@ -54,12 +61,12 @@ _LABEL = re.compile(r"([^\W\d_][\w' ]{0,30}?):\s+(\S.*)\Z")
 
 
 class Line:
-    """A line of a page: number, presentation, masked content, whether a blank stands before it, text."""
+    """A line of a page: number, presentation, node (hashed content), whether a blank stands before it, whether it is a first-level heading, and the hash of its words (of a trail its end)."""
 
-    __slots__ = ("no", "kind", "node", "after_blank", "text")
+    __slots__ = ("no", "kind", "node", "after_blank", "top", "name")
 
-    def __init__(self, no: int, kind: str, node: str, after_blank: bool, text: str):
-        self.no, self.kind, self.node, self.after_blank, self.text = no, kind, node, after_blank, text
+    def __init__(self, no: int, kind: int, node: int, after_blank: bool, top: bool = False, name: int = 0):
+        self.no, self.kind, self.node, self.after_blank, self.top, self.name = no, kind, node, after_blank, top, name
 
 
 def _folded(text: str) -> str:
@@ -90,7 +97,9 @@ def read_page(markdown: str, title: str | None, brand: str) -> list[Line]:
             fence = text[:3]
         elif not text.startswith(("|", ">")) and text not in ("---", "***"):
             kind, node = _node(text, titled, brand)
-        out.append(Line(no, kind, node, blank, text))
+        number = KINDS.index(kind)
+        name = 0 if title else _number(_folded(_CRUMB.split(text)[-1] if kind == "trail" else text.strip("*_ "))) if kind in ("trail", "plain") else 0
+        out.append(Line(no, number, _hash(number, node) if node else 0, blank, text.startswith("# "), name))
         blank = False
     return out
 
@@ -144,150 +153,172 @@ def _node(text: str, titled: str, brand: str) -> tuple[str, str]:
     return "row" if parts > 1 else "entry" if bullet else "plain", node
 
 
-def _hash(kind: str, node: str) -> int:
-    """Number of a content node; an entry of a list has the content of plain words."""
-    kind = "plain" if kind == "entry" else kind
-    return xxhash.xxh3_64_intdigest(f"{kind}\x1f{node}") - (1 << 63)
+def _number(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def _hash(kind: int, node: str) -> int:
+    """Number of a content node, with its presentation at the low end; an entry of a list has the content of plain words."""
+    kind = PLAIN if kind == ENTRY else kind
+    return _number(f"{KINDS[kind]}\x1f{node}") & ~15 | kind
 
 
 def _leads(lines: list[Line], i: int) -> bool:
     """Whether a heading or plain line leads straight to a link or a bare entry."""
-    return i + 1 < len(lines) and lines[i + 1].kind in ("link", "plain", "entry") and not lines[i + 1].after_blank
+    return i + 1 < len(lines) and lines[i + 1].kind in (LINK, PLAIN, ENTRY) and not lines[i + 1].after_blank
+
 
+_LINES = "page_id long, site string, titled boolean, numbers array<int>, forms array<int>, nodes array<long>, names array<long>, leads array<long>"
 
-def _count_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages per host and node, added up within a batch; kind '' counts the pages, 'leads' the headings that lead to links."""
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as arrays over their lines: numbers, forms (presentation and marks), nodes, names (of pages without title), and nodes of headings that lead to links."""
     for batch in batches:
-        n: Counter = Counter()
-        for site, url, title, markdown in zip(*(c.to_pylist() for c in batch.columns)):
-            if not markdown:
-                continue
-            lines = read_page(markdown, title, brand_of(url))
-            n[site, "", 0] += 1
-            seen = {(line.kind, line.node) for line in lines if line.node}
-            seen |= {("leads", line.node) for i, line in enumerate(lines) if line.kind == "heading" and _leads(lines, i)}
-            for kind, node in seen:
-                n[site, "plain" if kind == "entry" else kind, _hash("heading" if kind == "leads" else kind, node)] += 1
-        sites, kinds, nodes = zip(*n) if n else ((), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(sites, pa.string()), pa.array(kinds, pa.string()), pa.array(nodes, pa.int64()), pa.array(list(n.values()), pa.int64())], names=["site", "kind", "node", "n"]
-        )
-
-
-def fallen_nodes(pages: DataFrame, site: str = "site_id") -> tuple[DataFrame, set[int], set[str]]:
+        out = []
+        for page, site, url, title, markdown in zip(*(c.to_pylist() for c in batch.columns)):
+            lines = read_page(markdown or "", title, brand_of(url))
+            leads = [line.node & ~15 | LEADS_TO for i, line in enumerate(lines) if line.kind == HEADING and line.node and _leads(lines, i)]
+            out.append((page, site, bool(title), [line.no for line in lines], [line.kind | line.after_blank << 4 | line.top << 5 for line in lines], [line.node for line in lines], [] if title else [line.name for line in lines], leads))
+        columns = list(zip(*out)) if out else [()] * 8
+        kinds = [pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "site", "titled", "numbers", "forms", "nodes", "names", "leads"])
+
+
+def page_lines(pages: DataFrame, site: str = "site_id") -> DataFrame:
+    """Lines of all pages as ``_LINES``, repeated rows of a page once. Read from the texts once."""
+    texts = once(pages.select(F.col("page_id").cast("long"), F.col(site).cast("string").alias("site"), "url", "title", "markdown"), "page_id")
+    return cut_lineage(texts.mapInArrow(_read, _LINES))
+
+
+def fallen_nodes(lines: DataFrame) -> tuple[DataFrame, set[int], set[int]]:
     """What falls: per host (site, nodes, kinds; a null or small host is missing), and over all hosts.
 
-    Both are bounded by the pages' own size, not their number: a node falls only if it is on
-    a fixed share of pages. Rows of the result of ``pages`` without text are ignored.
+    Both are bounded by the pages' own size, not their number: every node that falls, a heading
+    too, is on a fixed share of pages. Pages without text are ignored.
     """
-    texts = pages.select(F.col(site).cast("string").alias("site"), "url", "title", "markdown")
-    nodes = cut_lineage(texts.mapInArrow(_count_nodes, "site string, kind string, node long, n long").groupBy("site", "kind", "node").agg(F.sum("n").alias("n")))
-
-    def judged(counts: DataFrame, by: list[str], prose: str, other: str) -> tuple[DataFrame, DataFrame]:
-        held = counts.filter("kind = ''").select(*by, F.col("n").alias("m"))
-        rest = counts.filter("kind NOT IN ('', 'body', 'title')")
-        shares = (rest.join(held, by) if by else rest.crossJoin(F.broadcast(held))).withColumn("share", F.col("n") / F.col("m"))
-        falls = F.when(F.col("kind") == "prose", F.expr(prose)).when(F.col("kind").isin("heading", "leads"), False).otherwise(F.expr(other))
-        leads = shares.filter("kind IN ('heading', 'leads')").groupBy(*by, "node").agg(
-            F.sum(F.when(F.col("kind") == "heading", F.col("n"))).alias("all"), F.sum(F.when(F.col("kind") == "leads", F.col("n"))).alias("to_links")
+    held = lines.filter("size(numbers) > 0")
+    each = F.array_distinct(F.concat(F.filter("nodes", lambda x: x != 0), "leads"))
+    nodes = cut_lineage(held.select("site", F.explode(each).alias("node")).groupBy("site", "node").agg(F.count("*").alias("n")))
+    sizes = cut_lineage(held.groupBy("site").agg(F.count("*").alias("m")))
+    kind = F.col("node").bitwiseAND(F.lit(15))
+
+    def judged(counts: DataFrame, m: DataFrame, by: list[str], least: int, share: dict) -> tuple[DataFrame, DataFrame]:
+        shares = (counts.join(m, by) if by else counts.crossJoin(F.broadcast(m))).withColumns({"kind": kind, "share": F.col("n") / F.col("m")}).filter(F.col("m") >= least)
+        (prose, prose_n), (other, other_n) = share["prose"], share["other"]
+        falls = F.when(F.col("kind") == PROSE, (F.col("share") >= prose) & (F.col("n") >= prose_n)).when(F.col("kind").isin(HEADING, LEADS_TO), False).otherwise((F.col("share") >= other) & (F.col("n") >= other_n))
+        plain = F.col("node").bitwiseAND(F.lit(~15)).bitwiseOR(F.lit(HEADING))
+        leads = shares.filter(F.col("kind").isin(HEADING, LEADS_TO)).groupBy(*by, plain.alias("node")).agg(
+            F.sum(F.when(F.col("kind") == HEADING, F.col("n"))).alias("all"), F.sum(F.when(F.col("kind") == LEADS_TO, F.col("n"))).alias("to_links"), F.max("m").alias("m")
         )
-        low = shares.filter(falls).select(*by, "node").unionByName(leads.filter(F.col("to_links") >= LEADS * F.col("all")).filter("to_links > 2").select(*by, "node"))
-        kinds = (
-            shares.filter("kind NOT IN ('prose', 'heading', 'leads')").groupBy(*by, "kind")
-            .agg((F.sum(-F.log("share") * F.col("n")) / F.sum("n")).alias("mean"), F.max("m").alias("m")).filter((F.col("mean") < LEAST_MEAN) & (F.col("m") >= SMALL_HOST)).select(*by, "kind")
-        )
-        return low, kinds
+        leading = leads.filter((F.col("to_links") >= LEADS * F.col("all")) & (F.col("to_links") >= LEADING_PAGES) & (F.col("to_links") >= other * F.col("m")))
+        low = shares.filter(falls).select(*by, "node").unionByName(leading.select(*by, "node"))
+        most = F.least(F.lit(LEAST_MEAN), LEAST_OF_MOST * F.log(F.max("m")))
+        means = shares.filter(~F.col("kind").isin(BODY, TITLE, PROSE, HEADING, LEADS_TO)).groupBy(*by, "kind").agg((F.sum(-F.log("share") * F.col("n")) / F.sum("n")).alias("mean"), most.alias("most"))
+        return low, means.filter("mean < most").select(*by, "kind")
 
-    host = {k: f"share >= {s} AND n >= {least} AND m >= {SMALL_HOST}" for k, (s, least) in HOST_SHARE.items()}
-    low, kinds = judged(nodes, ["site"], host["prose"], host["other"])
+    low, kinds = judged(nodes, sizes, ["site"], SMALL_HOST, HOST_SHARE)
     per_host = (
         low.groupBy("site").agg(F.collect_set("node").alias("nodes"))
         .join(kinds.groupBy("site").agg(F.collect_set("kind").alias("kinds")), "site", "full")
-        .join(nodes.filter(f"kind = '' AND n >= {SMALL_HOST}").select("site"), "site", "left_semi")
+        .join(sizes.filter(f"m >= {SMALL_HOST}").select("site"), "site", "left_semi")
     )
-    everywhere = nodes.groupBy("kind", "node").agg(F.sum("n").alias("n"))
-    low_all, kinds_all = judged(everywhere, [], *(f"share >= {ALL_SHARE[k]} AND n >= {HOST_SHARE[k][1]} AND m >= {SMALL_HOST}" for k in ("prose", "other")))
-    return cut_lineage(per_host), {r[0] for r in low_all.collect()}, {r[0] for r in kinds_all.collect()}
+    everywhere = nodes.groupBy("node").agg(F.sum("n").alias("n"))
+    low_all, kinds_all = judged(everywhere, sizes.agg(F.sum("m").alias("m")), [], 1, {k: (ALL_SHARE[k], HOST_SHARE[k][1]) for k in ALL_SHARE})
+    return cut_lineage(per_host), {r[0] for r in low_all.collect()}, {int(r[0]) for r in kinds_all.collect()}
 
 
-def body_lines(lines: list[Line], nodes: set[int], kinds: set[str], titled: bool) -> list[bool]:
+def body_lines(lines: list[Line], nodes: set[int], kinds: set[int], titled: bool) -> list[bool]:
     """Which lines are body; ``titled`` says whether the page came with a title."""
-    stays = []
-    title_of_trail = ""
+    stays: list[bool] = []
+    end_of_trail = 0
     for i, line in enumerate(lines):
-        low = line.kind in kinds or (bool(line.node) and _hash(line.kind, line.node) in nodes)
-        if line.kind == "heading":
+        kind = line.kind
+        low = kind in kinds or (line.node != 0 and line.node in nodes)
+        if kind == HEADING:
             low = low and _leads(lines, i)
-        elif line.kind in ("body", "title"):
+        elif kind <= TITLE:
             low = False
-        elif line.kind == "entry" and not low:
-            low = i > 0 and not stays[-1] and not line.after_blank and lines[i - 1].kind in ("plain", "entry", "link", "heading")
-        if line.kind == "trail" and low and not titled:
-            title_of_trail = _folded(_CRUMB.split(line.text)[-1])
+        elif kind == ENTRY and not low:
+            low = i > 0 and not stays[-1] and not line.after_blank and lines[i - 1].kind in (PLAIN, ENTRY, LINK, HEADING)
+        if kind == TRAIL and low and not titled:
+            end_of_trail = line.name
         stays.append(not low)
-    if not titled and not any(line.kind == "heading" and line.text.startswith("# ") for line in lines):
-        plain = [i for i, line in enumerate(lines) if line.kind == "plain" and _hash(line.kind, line.node) not in nodes]
-        named = [i for i in plain if title_of_trail and _folded(lines[i].text.strip("*_ ")) == title_of_trail]
-        alone = [i for i in plain if lines[i].after_blank and not (i + 1 < len(lines) and not lines[i + 1].after_blank and lines[i + 1].kind in ("plain", "link"))]
-        first_prose = next((i for i, line in enumerate(lines) if stays[i] and line.kind in ("prose", "body", "heading")), len(lines))
+    if not titled and not any(line.kind == HEADING and line.top for line in lines):
+        plain = [i for i, line in enumerate(lines) if line.kind == PLAIN and line.node not in nodes]
+        named = [i for i in plain if end_of_trail and lines[i].name == end_of_trail]
+        alone = [i for i in plain if lines[i].after_blank and not (i + 1 < len(lines) and not lines[i + 1].after_blank and lines[i + 1].kind in (PLAIN, LINK))]
+        first_prose = next((i for i, line in enumerate(lines) if stays[i] and line.kind in (PROSE, BODY, HEADING)), len(lines))
         for i in (named or [i for i in alone if i < first_prose] or [i for i in plain if i < first_prose])[:1]:
             stays[i] = True
     return stays
 
 
-def _with_verdicts(pages: DataFrame) -> tuple[DataFrame, set[int], set[str]]:
-    per_host, nodes, kinds = fallen_nodes(pages)
-    size = per_host.agg(F.sum(F.coalesce(F.size("nodes"), F.lit(0)))).first()[0] or 0
+def _with_hosts(rows: DataFrame, per_host: DataFrame) -> DataFrame:
+    """Rows (with site) and what falls on their host; the sets of hosts are broadcast up to a measured size."""
+    size = per_host.agg(F.sum(F.coalesce(F.size("nodes"), F.lit(0)) + F.lit(8))).first()[0] or 0
     hosts = per_host.withColumnsRenamed({"site": "_site", "nodes": "_nodes", "kinds": "_kinds"})
-    rows = pages.select(F.col("page_id").cast("long"), F.col("site_id").cast("string").alias("site"), "url", "title", "markdown")
-    joined = rows.join(F.broadcast(hosts) if size <= BROADCAST_NODES else hosts, F.col("site").eqNullSafe(F.col("_site")), "left").drop("_site", "site")
-    return joined, nodes, kinds
+    return rows.join(F.broadcast(hosts) if size <= BROADCAST_NODES else hosts, F.col("site").eqNullSafe(F.col("_site")), "left").drop("_site")
+
 
+class _Sets:
+    """Fallen nodes and presentations for each page, those of a host made once."""
 
-def _verdicts(batch: pa.RecordBatch, nodes: set[int], kinds: set[str]) -> Iterator[tuple[int, list[Line], list[bool], str]]:
-    sets: dict[str, tuple[set[int], set[str]]] = {}
-    for page, url, title, markdown, own, own_kinds in zip(*(c.to_pylist() for c in batch.columns)):
+    def __init__(self, nodes: set[int], kinds: set[int]):
+        self.nodes, self.kinds, self.known = nodes, kinds, {}
+
+    def of(self, site: str | None, own: list[int] | None, own_kinds: list[int] | None) -> tuple[set[int], set[int]]:
         if own is None and own_kinds is None:
-            use = nodes, kinds
-        else:
-            key = brand_of(url)
-            if key not in sets or sets[key][2] != (own, own_kinds):
-                sets[key] = (set(own or ()) | nodes, set(own_kinds or ()) | kinds, (own, own_kinds))
-            use = sets[key][:2]
-        lines = read_page(markdown or "", title, brand_of(url))
-        yield page, lines, body_lines(lines, *use, bool(title)), markdown or ""
+            return self.nodes, self.kinds
+        if site not in self.known:
+            self.known[site] = set(own or ()) | self.nodes, set(own_kinds or ()) | self.kinds
+        return self.known[site]
 
 
 def furniture_lines(pages: DataFrame) -> DataFrame:
     """Lines that are not body: page_id, line_no, once each; a null or empty page has none."""
-    joined, nodes, kinds = _with_verdicts(pages)
+    lines = page_lines(pages)
+    per_host, nodes, kinds = fallen_nodes(lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets(nodes, kinds)
         for batch in batches:
             ids, numbers = [], []
-            for page, lines, stays, _ in _verdicts(batch, nodes, kinds):
-                gone = [line.no for line, stay in zip(lines, stays) if not stay]
+            own = dict.fromkeys(batch.column("site").to_pylist())
+            for site, n, k in zip(batch.column("site").to_pylist(), batch.column("_nodes"), batch.column("_kinds")):
+                if own[site] is None:  # the sets of a host are turned into Python once
+                    own[site] = sets.of(site, n.as_py(), k.as_py())
+            rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "site", "titled", "numbers", "forms", "nodes", "names")))
+            for page, site, titled, nos, forms, found, names in rows:
+                names = names or [0] * len(nos)
+                rebuilt = [Line(no, form & 15, node, bool(form & 16), bool(form & 32), name) for no, form, node, name in zip(nos, forms, found, names)]
+                gone = [line.no for line, stay in zip(rebuilt, body_lines(rebuilt, *own[site], titled)) if not stay]
                 ids += [page] * len(gone)
                 numbers += gone
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], names=["page_id", "line_no"])
 
-    return joined.mapInArrow(run, "page_id long, line_no int").distinct()
+    return _with_hosts(lines.drop("leads"), per_host).mapInArrow(run, "page_id long, line_no int")
 
 
 def page_bodies(pages: DataFrame) -> DataFrame:
-    """The body of each page: page_id, body, body_words; repeated rows count once, a null page has an empty body."""
-    joined, nodes, kinds = _with_verdicts(pages)
+    """The body of each page: page_id, body, body_words; repeated rows count once, a null page has an empty body.
+
+    The texts are read a second time here, for the bodies are made of them.
+    """
+    per_host, nodes, kinds = fallen_nodes(page_lines(pages))
+    rows = once(pages.select(F.col("page_id").cast("long"), F.col("site_id").cast("string").alias("site"), "url", "title", "markdown"), "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets(nodes, kinds)
         for batch in batches:
             ids, bodies, sizes = [], [], []
-            for page, lines, stays, markdown in _verdicts(batch, nodes, kinds):
-                gone = {line.no for line, stay in zip(lines, stays) if not stay}
-                body = "\n".join(x for no, x in enumerate(markdown.split("\n"), 1) if no not in gone)
+            for page, site, url, title, markdown, own, own_kinds in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = read_page(markdown or "", title, brand_of(url))
+                gone = {line.no for line, stay in zip(lines, body_lines(lines, *sets.of(site, own, own_kinds), bool(title))) if not stay}
+                body = "\n".join(x for no, x in enumerate((markdown or "").split("\n"), 1) if no not in gone)
                 body = re.sub(r"\n(?:[ \t]*\n){2,}", "\n\n", body).strip()
                 ids.append(page)
                 bodies.append(body)
                 sizes.append(len(body.split()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.string()), pa.array(sizes, pa.int32())], names=["page_id", "body", "body_words"])
 
-    return joined.mapInArrow(run, "page_id long, body string, body_words int").dropDuplicates(["page_id"])
+    return _with_hosts(rows, per_host).mapInArrow(run, "page_id long, body string, body_words int")

@@ -26,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from almena.llm.repeated import once
 from almena.session import cut_lineage
 
 CHARS_PER_TOKEN = 4
 #: Code points of a range; longer limits widen it, so that a range holds several pieces.
 RANGE = 32_768
-#: Repeated keys up to this number are told to all tasks.
-BROADCAST_KEYS = 500_000
 # Ranks of boundaries, best first.
 HEADING, PARAGRAPH, ITEM, SENTENCE, WORD = 0, 1, 2, 3, 4
 
@@ -327,15 +326,6 @@ def _with_tokens(pieces: DataFrame, key: str = "item_id") -> DataFrame:
     return pieces.select(key, "piece_no", "begin", "finish", "md", F.ceil(F.length("md") / CHARS_PER_TOKEN).cast("int").alias("tokens"), "headings", "n_pieces")
 
 
-def _once(items: DataFrame, key: str) -> DataFrame:
-    """One row for each key: only the rows of keys that are repeated are exchanged, and those few keys are told to all tasks up to a measured number."""
-    repeated = cut_lineage(items.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(key).alias("_key")))
-    if repeated.count() > BROADCAST_KEYS:
-        return items.dropDuplicates([key])
-    match = items[key].eqNullSafe(repeated["_key"])
-    return items.join(F.broadcast(repeated), match, "left_anti").unionByName(items.join(F.broadcast(repeated), match, "left_semi").dropDuplicates([key]))
-
-
 def split_items(items: DataFrame, size: int = RANGE) -> DataFrame:
     """Pieces of every item: item_id, piece_no, begin, finish, md, tokens, headings, n_pieces.
 
@@ -344,12 +334,12 @@ def split_items(items: DataFrame, size: int = RANGE) -> DataFrame:
     Items within the limit, and those without a limit, are one piece; a null or empty md
     is one empty piece. Repeated rows of an item count once.
     """
-    once = _once(items.select("item_id", "md", "max_tokens", "overlap_tokens", "headings"), "item_id")
-    whole = once.filter("max_tokens IS NULL OR ceil(length(coalesce(md, '')) / 4.0) <= greatest(max_tokens, 1)").select(
+    single = once(items.select("item_id", "md", "max_tokens", "overlap_tokens", "headings"), "item_id")
+    whole = single.filter("max_tokens IS NULL OR ceil(length(coalesce(md, '')) / 4.0) <= greatest(max_tokens, 1)").select(
         F.col("item_id").cast("long"), F.lit(1).alias("piece_no"), F.lit(0).cast("long").alias("begin"), F.length(F.coalesce("md", F.lit(""))).cast("long").alias("finish"), F.coalesce("md", F.lit("")).alias("md"),
         F.coalesce(F.expr("filter(headings, h -> h IS NOT NULL)"), F.array().cast("array<string>")).alias("headings"), F.lit(1).alias("n_pieces"),
     )
-    return _with_tokens(whole.unionByName(_split_ranges(oversized_ranges(once, size))))
+    return _with_tokens(whole.unionByName(_split_ranges(oversized_ranges(single, size))))
 
 
 def split_files(spark: SparkSession, folder: str, max_tokens: int, overlap_tokens: int = 0, size: int = RANGE) -> DataFrame:

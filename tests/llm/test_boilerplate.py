@@ -2,7 +2,7 @@
 
 import random
 
-from almena.llm.boilerplate import furniture_lines, page_bodies, read_page
+from almena.llm.boilerplate import KINDS, fallen_nodes, furniture_lines, page_bodies, page_lines, read_page
 
 SCHEMA = "page_id long, site_id string, url string, title string, markdown string, line_no int"
 WORDS = "norte luz mapa rojo campo ruta vela puente sierra barco nube trigo plaza monte faro".split()
@@ -49,5 +49,22 @@ def test_empty_and_long(spark):
 
 
 def test_lines():
-    kinds = [(x.no, x.kind) for x in read_page("Título\n\n- [a](https://x/a)\n- [a](https://x/a): texto\n\n| a |\n> b\nTags: a, b\n← antes", "título", "x")]
+    kinds = [(x.no, KINDS[x.kind]) for x in read_page("Título\n\n- [a](https://x/a)\n- [a](https://x/a): texto\n\n| a |\n> b\nTags: a, b\n← antes", "título", "x")]
     assert kinds == [(1, "title"), (3, "link"), (4, "body"), (6, "body"), (7, "body"), (8, "label"), (9, "arrow")]
+
+
+def test_few_pages(spark):
+    """Six pages are enough to tell what all have from what one has."""
+    rng = random.Random(5)
+    rows = site("alfa", 6, rng, 0)
+    found = {(r.page_id, r.line_no) for r in furniture_lines(spark.createDataFrame([r for r, _ in rows], SCHEMA)).collect()}
+    everywhere = {(page[0], n) for page, gone in rows for n in gone if page[4].split("\n")[n - 1].startswith(("Skip", "- [Home", "- [Shop", "©", "Privacy", "Related"))}
+    assert everywhere <= found and all(n in gone for page, gone in rows for p, n in found if p == page[0])
+
+
+def test_fallen_nodes_are_bounded(spark):
+    """Headings that lead to links, each on few of many pages, do not fall, so what falls stays as large as a page."""
+    rng = random.Random(6)
+    data = [(i, "s", "https://s.example/", "t", f"# t\n\nTopic {i // 3}x\n\n## Part {i // 3} {WORDS[i % 15]}\n[a](https://s.example/{i})\n\n{sentence(rng)}", 1) for i in range(900)]
+    _, nodes, _ = fallen_nodes(page_lines(spark.createDataFrame(data, SCHEMA)))
+    assert len(nodes) < 30
