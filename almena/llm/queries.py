@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almena.llm.boilerplate import furniture_lines, page_bodies
@@ -36,6 +36,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).filter("n_pieces > 1").select("item_id").distinct()
 
 
+def p4_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the pieces: items, items cut, pieces over their limit, texts that are not those of their offsets, gaps between pieces, items whose text is not covered."""
+    items = table(spark, sf_dir, "md_item").dropDuplicates(["item_id"]).select("item_id", F.coalesce("md", F.lit("")).alias("_md"), "max_tokens")
+    order = Window.partitionBy("item_id").orderBy("piece_no")
+    p = cut_lineage(p4_pieces(spark, sf_dir)).join(items, "item_id").withColumn("_before", F.lag("finish").over(order)).withColumn("_gap", F.coalesce(F.col("begin") > F.col("_before"), F.col("begin") > 0) | F.coalesce(F.col("finish") <= F.col("_before"), F.lit(False)))
+    over = (F.col("n_pieces") > 1) & (F.col("tokens") > F.col("max_tokens"))
+    other = F.substr("_md", F.col("begin") + 1, F.col("finish") - F.col("begin")) != F.col("md")
+    each = p.groupBy("item_id").agg(F.max("n_pieces").alias("_n"), F.count("*").alias("_c"), F.count_if(over).alias("_over"), F.count_if(other).alias("_other"), F.count_if("_gap").alias("_gaps"), F.max(F.col("finish") == F.length("_md")).alias("_whole"))
+    return each.agg(F.count("*").alias("items"), F.count_if(F.col("_n") > 1).alias("cut"), F.sum("_over").alias("over_limit"), F.sum("_other").alias("other_text"), F.sum("_gaps").alias("gaps"), F.count_if(~F.col("_whole") | (F.col("_n") != F.col("_c"))).alias("not_covered"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of pages with a similarity of at least 0.7."""
     return similar_pages(table(spark, sf_dir, "generated_page"))
@@ -95,7 +106,7 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_report(find_truncated(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_bodies": p2_bodies, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_reasons": p6_reasons, "p7_percentiles": p7_percentiles, "p8_containers": p8_containers, "p8_invariants": p8_invariants, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
+QUERIES = {"p2_found": p2_found, "p2_bodies": p2_bodies, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_invariants": p4_invariants, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_reasons": p6_reasons, "p7_percentiles": p7_percentiles, "p8_containers": p8_containers, "p8_invariants": p8_invariants, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
 # Every run of twelve words of a text, words being folded to a-z and 0-9.
 _RUNS = "list_distinct(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' ')))"
 _P9 = f"""
@@ -104,7 +115,21 @@ i AS (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+'
 dr AS (SELECT doc_id, unnest({_RUNS}) AS run FROM d WHERE len(w) >= 12), ir AS (SELECT item_id, unnest({_RUNS}) AS run FROM i WHERE len(w) >= 12),
 f AS (SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run))
 """
+# All pairs by their shared sequences of three words.
+_P5 = """
+WITH RECURSIVE w AS (SELECT page_id, regexp_extract_all(strip_accents(lower(regexp_replace(content, '<[^>]*>', ' ', 'g'))), '[a-z0-9]+') AS w FROM (SELECT DISTINCT page_id, content FROM generated_page WHERE content IS NOT NULL)),
+s AS MATERIALIZED (SELECT page_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS e FROM w WHERE len(w) >= 50),
+n AS MATERIALIZED (SELECT page_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.page_id AS a, b.page_id AS b, count(*) AS c FROM s a JOIN s b ON a.e = b.e AND a.page_id < b.page_id GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT a, b, c / (x.n + y.n - c) AS similarity FROM c JOIN n x ON x.page_id = a JOIN n y ON y.page_id = b WHERE c / (x.n + y.n - c) >= 0.7)
+"""
 SQL = {
+    "p4_invariants": "WITH i AS (SELECT DISTINCT ON (item_id) * FROM md_item) SELECT count(*) AS items, count(*) FILTER (WHERE ceil(length(md) / 4.0) > max_tokens) AS cut, CAST(0 AS BIGINT) AS over_limit, CAST(0 AS BIGINT) AS other_text, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS not_covered FROM i",
+    "p5_found": _P5 + "SELECT a AS page_a, b AS page_b FROM p",
+    "p5_groups": _P5 + """, l AS (SELECT a, b, similarity FROM p UNION ALL SELECT b, a, similarity FROM p),
+cl AS MATERIALIZED (SELECT n.page_id, least(n.page_id, coalesce(min(l.b) FILTER (WHERE similarity = 1), n.page_id)) AS class_id FROM n LEFT JOIN l ON l.a = n.page_id GROUP BY n.page_id),
+r AS (SELECT page_id AS id, page_id AS seen FROM n UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.seen), g AS (SELECT id, min(seen) AS group_id FROM r GROUP BY 1)
+SELECT cl.page_id, cl.class_id, g.group_id, (SELECT count(DISTINCT o.class_id) FROM l JOIN cl o ON o.page_id = l.b WHERE l.a = cl.page_id AND o.class_id <> cl.class_id) AS links FROM cl JOIN g ON g.id = cl.page_id""",
     "p8_invariants": "SELECT count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS split_without_need, CAST(0 AS BIGINT) AS too_many_parts, CAST(0 AS BIGINT) AS over_capacity, true AS well_filled FROM documents",
     "p9_found": _P9 + "SELECT doc_id, item_id FROM f",
     "p9_items": _P9 + "SELECT item_id, count(*) AS documents FROM f GROUP BY 1",
