@@ -267,7 +267,15 @@ _RANK = (
 QUERIES = {f.__name__: f for f in (
     r15_exact_duplicates, r15_thin, x1_shingles, x3_specific_words, x4_simhash, x5_minhash, x6_bands, r15_near_duplicates, x8_top_terms, j17_similar_pages, x14_page_fields, f18_tokens, f3_slugs, f5_escaped, k4_guarded, r36_profile, r36_datasets, r38_sections, g1_pagerank, g2_components, g3_depths, g8_redirects, f7_digests, f19_word_counts, f6_filled_templates, p17_html_search, w10_keepers, w12_runs, a41_any_all, r38_page_chunks, r26_page_grades, p31_page_reading, st_daily_hits,
 )}
+_NEAR = (
+    "WITH RECURSIVE t AS (SELECT DISTINCT doc_id, text FROM documents), w AS (SELECT doc_id, " + _WORDS.format("coalesce(text, '')") + " AS w FROM t), "
+    "s AS MATERIALIZED (SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS e FROM w WHERE len(w) > 0 {}), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), "
+    "c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY 1, 2), p AS MATERIALIZED (SELECT a, b, c / (x.n + y.n - c) AS j FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= {}), "
+    "l AS MATERIALIZED (SELECT a, b, j FROM p UNION ALL SELECT b, a, j FROM p), r AS (SELECT doc_id AS id, doc_id AS seen FROM w UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.seen), g AS (SELECT id, min(seen) AS grp FROM r GROUP BY 1)\n"
+)
 SQL = {
+    "x6_bands": _NEAR.format("", 0.8) + "SELECT w.doc_id, least(w.doc_id, coalesce(min(l.b) FILTER (WHERE l.j = 1), w.doc_id)) AS class, any_value(g.grp) AS group, count(l.b) AS links FROM w JOIN g ON g.id = w.doc_id LEFT JOIN l ON l.a = w.doc_id GROUP BY w.doc_id",
+    "r15_near_duplicates": _NEAR.format("AND len(w) >= 50", 0.85) + "SELECT grp AS keeper, count(*) AS documents FROM g JOIN n ON n.doc_id = g.id GROUP BY 1 HAVING count(*) > 1",
     "r15_exact_duplicates": "SELECT min(doc_id) AS keeper, count(*) AS documents FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL) GROUP BY md5(text) HAVING count(*) > 1",
     "r15_thin": _P + f"SELECT page_id, CAST(len({_WORDS.format('markdown')}) AS INTEGER) AS words FROM p WHERE len({_WORDS.format('markdown')}) < 200",
     "x1_shingles": _G + f", w AS (SELECT page_id, {_WORDS.format('content')} AS w FROM g) SELECT page_id, CAST(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' ')))) END AS INTEGER) AS shingles FROM w",
