@@ -1,4 +1,4 @@
-"""Queries that do the whole job where the SQL of their namesakes states a part of it: small tables, brute force."""
+"""Queries over small tables against brute force."""
 
 import datetime as dt
 import itertools
@@ -32,7 +32,7 @@ def test_pagerank_of_single_parts_runs_40_rounds(spark, tmp_path):
             for j in out[i]:
                 new[j] += 0.85 * rank[i] / len(out[i])
         rank = new
-    got = {r.id: r["rank"] for r in entry.queries()["g1_pagerank_parts"](spark, str(tmp_path)).collect()}
+    got = {r.id: r["rank"] for r in entry.queries()["g1_pagerank"](spark, str(tmp_path)).collect()}
     assert {"p1", "p501", "p1001"} <= set(got) == set(ids)
     assert all(abs(got[i] - rank[i]) < 1e-9 for i in ids)
 
@@ -46,9 +46,9 @@ def test_conflicts_at_a_tenth_and_their_pairs(spark, tmp_path):
     ]
     write(spark, tmp_path, "lineitem", rows, "l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp")
     run = entry.queries()
-    got = {tuple(r) for r in run["r14_conflicts_monthly"](spark, str(tmp_path)).collect()}
-    assert got == {("1 2000-01", 2, 11, 10, 0.9091), ("1 2000-02", 2, 10, 11, 1.0)}
-    assert [tuple(r) for r in run["r14_pairs_monthly"](spark, str(tmp_path)).collect()] == [(10, 11, 2)]
+    got = {tuple(r) for r in run["r14_conflicts"](spark, str(tmp_path)).collect()}
+    assert got == {("1 2000-01", 990, 15, 2, 11, 10, 45, "high"), ("1 2000-02", 300, 4, 2, 10, 11, 33, "high")}
+    assert [tuple(r) for r in run["r14_pairs"](spark, str(tmp_path)).collect()] == [(10, 11, 2, 1290)]
 
 
 def test_page_vectors_hold_the_whole_text(spark, tmp_path):
@@ -67,7 +67,7 @@ def test_page_vectors_hold_the_whole_text(spark, tmp_path):
     run = entry.queries()
     assert [(r["query"], r.similar, r.best) for r in run["j17_similar_pages"](spark, str(tmp_path)).collect()] == [(20, len(near), round(float(max(near)), 5))]
     assert max(cosine, key=cosine.get) == 21  # the page without a title
-    top = {(r.page_id, r.term) for r in run["x8_page_terms"](spark, str(tmp_path)).collect()}
+    top = {(r.page_id, r.term) for r in run["x8_top_terms"](spark, str(tmp_path)).collect()}
     assert {i for i, _ in top} == {20, 21, 22, 23, 24} and (22, "velvet") in top and (21, "review") in top
 
 
@@ -110,10 +110,10 @@ def test_daily_series_go_on_over_new_year(spark, tmp_path):
     clicks[0] = clicks[38] = 1  # the series begins and ends with a click
     write(spark, tmp_path, "orders", [(first + dt.timedelta(days=i, hours=3), 500.0) for i, n in enumerate(clicks) for _ in range(n)], "o_orderdate timestamp, o_totalprice double")
     run = entry.queries()
-    rolling = [r.rolling for r in run["w5_rolling_series"](spark, str(tmp_path)).orderBy("date").collect()]
+    rolling = [r.rolling for r in run["w5_rolling"](spark, str(tmp_path)).orderBy("date").collect()]
     assert rolling == [round(sum(clicks[max(0, i - 6) : i + 1]) / min(7, i + 1), 6) for i in range(39)]
     sums = [sum(clicks[39 - 7 * (b + 1) : 39 - 7 * b]) for b in range(5)]  # the four days left over stand at the start
-    got = [(r.block, r.clicks, r.change) for r in run["w6_weekly_series"](spark, str(tmp_path)).orderBy("block").collect()]
+    got = [(r.block, r.clicks, r.change) for r in run["w6_weekly_noise"](spark, str(tmp_path)).orderBy("block").collect()]
     assert got == [(b, sums[b], round((sums[b] - sums[b + 1]) / sums[b + 1], 6) if b < 4 else None) for b in range(5)]
 
 
