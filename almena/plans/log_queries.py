@@ -283,5 +283,6 @@ SQL = {
     "s2_parse_combined": _E + "SELECT status_code, CAST(ts AS DATE) AS date, count(*) AS hits, CAST(sum(coalesce(size_bytes, 0)) AS BIGINT) AS bytes, CAST(sum(response_ms) AS BIGINT) AS duration_sum FROM e GROUP BY 1, 2",
     "c1_crawler_names": _E + "SELECT bot_name, bot_name AS found, max(bot_category) AS category, count(*) AS hits FROM e WHERE bot_name IS NOT NULL GROUP BY bot_name",
     "c5_redacted_queries": _E + "SELECT regexp_replace(regexp_extract(path, '\\?(.*)$', 1), '(^|&)orden=[^&]*', '\\1orden=%5BREDACTED%5D', 'g') AS query, count(*) AS hits FROM e WHERE contains(path, '?') GROUP BY 1",
+    "c6_hashed_clients": _E + f"SELECT substr(sha256(unhex('{bytes(b ^ 0x5C for b in b'salt'.ljust(64, bytes(1))).hex()}') || unhex(sha256(unhex('{bytes(b ^ 0x36 for b in b'salt'.ljust(64, bytes(1))).hex()}') || encode('198.51.100.' || (log_id % 250))))), 1, 16) AS ip_hash, count(*) AS hits FROM e GROUP BY 1",
     "a40_verified": _E + ", h AS (SELECT bot_name, log_id % 250 AS client, count(*) AS hits FROM e WHERE is_bot GROUP BY 1, 2) SELECT bot_name, CAST(sum(hits) AS BIGINT) AS claimed, CAST(sum(CASE WHEN client % 10 < 8 THEN hits ELSE 0 END) AS BIGINT) AS verified, CAST(sum(CASE WHEN client % 10 < 8 THEN 0 ELSE hits END) AS BIGINT) AS spoofed, count(client) AS clients FROM h GROUP BY 1",
 }

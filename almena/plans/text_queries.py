@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from almena.functions.text import csv_guard, fold_text, html_escape, shingles, slug, to_words, token_estimate
+from almena.functions.text import csv_guard, fold_text, html_escape, jaccard, shingles, slug, to_words, token_estimate
 from almena.operators import architecture, graph, readiness
 from almena.operators.chunks import flag_counts, html_chunks
 from almena.operators.crawl import custom_search
 from almena.operators.relational import profile_columns, top_per
-from almena.operators.similarity import STOP_WORDS, cosine_to_queries, minhash, near_duplicates, simhash, tfidf
+from almena.operators.similarity import STOP_WORDS, banded, cosine_to_queries, minhash, minhash_similarity, near_duplicates, simhash, text_hash, tfidf
 from almena.session import cut_lineage, table
 from almena.sources.html import head_fields
 from almena.streaming.log_stream import hits_per_window, run_to_table, stream_entries
@@ -61,6 +61,23 @@ def x5_minhash(spark, sf_dir):
     return minhash(documents(spark, sf_dir).select("doc_id", to_words(F.col("text")).alias("words")), "doc_id", "words")
 
 
+def x5_text_hashes(spark, sf_dir):
+    """Words of each document and the digest by which its copies are told."""
+    return documents(spark, sf_dir).select("doc_id", F.size(to_words(F.coalesce("text", F.lit("")))).alias("n_words"), text_hash(to_words(F.coalesce("text", F.lit("")))).alias("text_hash"))
+
+
+def x6_estimates(spark, sf_dir):
+    """Estimated against exact similarity of documents that share a band with a query document: pairs, and those off by more than a quarter."""
+    words = documents(spark, sf_dir).select("doc_id", to_words(F.col("text")).alias("words"))
+    signed = cut_lineage(minhash(words, "doc_id", "words"))
+    bands = banded(signed, "doc_id")
+    met = bands.filter(F.col("doc_id") % QUERY_SHARE == 0).select(F.col("doc_id").alias("a"), "band", "bucket").join(bands.select(F.col("doc_id").alias("b"), "band", "bucket"), ["band", "bucket"]).filter("a <> b").select("a", "b").distinct()
+    side = lambda x: signed.select(F.col("doc_id").alias(x), F.col("signature").alias(f"s_{x}")).join(words.select(F.col("doc_id").alias(x), shingles(F.col("words"), 5).alias(f"w_{x}")), x)
+    both = met.join(side("a"), "a").join(side("b"), "b")
+    off = F.abs(minhash_similarity(F.col("s_a"), F.col("s_b")) - jaccard(F.col("w_a"), F.col("w_b")))
+    return both.agg(F.count("*").alias("pairs"), F.count_if(off > 0.25).alias("far_off"))
+
+
 def x6_bands(spark, sf_dir):
     """Class, group and links of each document: Jaccard 0.8 or more over sequences of five words, all pairs verified."""
     return near_duplicates(documents(spark, sf_dir).select("doc_id", to_words(F.col("text")).alias("words")), "doc_id", "words")
@@ -265,7 +282,7 @@ _RANK = (
 )
 
 QUERIES = {f.__name__: f for f in (
-    r15_exact_duplicates, r15_thin, x1_shingles, x3_specific_words, x4_simhash, x5_minhash, x6_bands, r15_near_duplicates, x8_top_terms, j17_similar_pages, x14_page_fields, f18_tokens, f3_slugs, f5_escaped, k4_guarded, r36_profile, r36_datasets, r38_sections, g1_pagerank, g2_components, g3_depths, g8_redirects, f7_digests, f19_word_counts, f6_filled_templates, p17_html_search, w10_keepers, w12_runs, a41_any_all, r38_page_chunks, r26_page_grades, p31_page_reading, st_daily_hits,
+    r15_exact_duplicates, r15_thin, x1_shingles, x3_specific_words, x4_simhash, x5_minhash, x5_text_hashes, x6_estimates, x6_bands, r15_near_duplicates, x8_top_terms, j17_similar_pages, x14_page_fields, f18_tokens, f3_slugs, f5_escaped, k4_guarded, r36_profile, r36_datasets, r38_sections, g1_pagerank, g2_components, g3_depths, g8_redirects, f7_digests, f19_word_counts, f6_filled_templates, p17_html_search, w10_keepers, w12_runs, a41_any_all, r38_page_chunks, r26_page_grades, p31_page_reading, st_daily_hits,
 )}
 _NEAR = (
     "WITH RECURSIVE t AS (SELECT DISTINCT doc_id, text FROM documents), w AS (SELECT doc_id, " + _WORDS.format("coalesce(text, '')") + " AS w FROM t), "
@@ -274,6 +291,9 @@ _NEAR = (
     "l AS MATERIALIZED (SELECT a, b, j FROM p UNION ALL SELECT b, a, j FROM p), r AS (SELECT doc_id AS id, doc_id AS seen FROM w UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.seen), g AS (SELECT id, min(seen) AS grp FROM r GROUP BY 1)\n"
 )
 SQL = {
+    "x4_simhash": "WITH d AS (SELECT doc_id, " + _WORDS.format("coalesce(text, '')") + " AS w FROM (SELECT DISTINCT doc_id, text FROM documents)), g AS (SELECT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM d WHERE len(w) > 0), h AS (SELECT doc_id, CAST('0x' || md5(g)[1:16] AS UBIGINT) AS h FROM g), "
+    "b AS (SELECT doc_id, i, sum(CAST((h >> i) & 1 AS INTEGER)) * 2 > count(*) AS one FROM h, range(64) r(i) GROUP BY 1, 2), s AS (SELECT doc_id, sum(CASE WHEN one THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE 0 END) AS u FROM b GROUP BY 1) SELECT d.doc_id, CAST(coalesce(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END, 0) AS BIGINT) AS simhash FROM d LEFT JOIN s USING (doc_id)",
+    "x5_text_hashes": "WITH d AS (SELECT doc_id, " + _WORDS.format("coalesce(text, '')") + " AS w FROM (SELECT DISTINCT doc_id, text FROM documents)) SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words, sha1(array_to_string(w, ' ')) AS text_hash FROM d",
     "x6_bands": _NEAR.format("", 0.8) + "SELECT w.doc_id, least(w.doc_id, coalesce(min(l.b) FILTER (WHERE l.j = 1), w.doc_id)) AS class, any_value(g.grp) AS group, count(l.b) AS links FROM w JOIN g ON g.id = w.doc_id LEFT JOIN l ON l.a = w.doc_id GROUP BY w.doc_id",
     "r15_near_duplicates": _NEAR.format("AND len(w) >= 50", 0.85) + "SELECT grp AS keeper, count(*) AS documents FROM g JOIN n ON n.doc_id = g.id GROUP BY 1 HAVING count(*) > 1",
     "r15_exact_duplicates": "SELECT min(doc_id) AS keeper, count(*) AS documents FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL) GROUP BY md5(text) HAVING count(*) > 1",
