@@ -34,7 +34,8 @@ from almena.session import cut_lineage
 
 #: Hashed features of the models (words, pairs of words, form).
 SLOTS = 1 << 18
-ROUNDS = 4
+#: Rounds of the fit at most; it ends once the numbers of units of each class settle to a share of all.
+ROUNDS, SETTLED = 8, 1e-4
 #: Share of the common distribution by which each class is smoothed.
 COMMON = 0.03
 #: Share of all units that a kind of residue is taken to have at most, before a unit is seen.
@@ -309,9 +310,12 @@ def _round(units: DataFrame, model: Model | None) -> tuple[np.ndarray, np.ndarra
 
 def fit(units: DataFrame, rounds: int = ROUNDS) -> Model:
     """Expectation-maximization over all units: trusted ones keep their class, unlabelled ones get a posterior each round."""
-    model = None
+    model, last = None, None
     for _ in range(rounds + 1):
         known, expected, held, share = _round(units, model)
+        if last is not None and np.abs(share - last).max() <= SETTLED * max(1.0, share.sum()):
+            break
+        last = share if model is not None else None
         if model is None:
             common = known.sum(axis=0) + expected.sum(axis=0) + 0.5
             for family in (PASSAGE, MARK):
