@@ -87,6 +87,26 @@ def profile_columns(df: DataFrame) -> DataFrame:
     return grouped.select("column", kind.alias("type"), "n_rows", "empty", "distinct_values")
 
 
+def column_samples(df: DataFrame, n: int = 3) -> DataFrame:
+    """The ``n`` smallest distinct values of each column as text, and whether the column is a key (filled and without repeats): column, samples, is_key."""
+    total = df.agg(F.count("*").alias("_rows"))
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.trim(F.col(f"`{c}`").cast("string")).alias("value")) for c in df.columns))).alias("_s")).select("_s.*")
+    each = long.filter(F.coalesce("value", F.lit("")) != "").groupBy("column", "value").agg(F.count("*").alias("_n"))
+    placed = each.withColumn("_k", F.row_number().over(Window.partitionBy("column").orderBy("value"))).filter(F.col("_k") <= n)
+    first = placed.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+    distinct = each.groupBy("column").agg(F.count("*").alias("_d"))
+    every = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
+    j = every.join(distinct, "column", "left").join(first, "column", "left").crossJoin(F.broadcast(total))
+    return j.select("column", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), ((F.coalesce("_d", F.lit(0)) == F.col("_rows")) & (F.col("_rows") > 0)).alias("is_key"))
+
+
+def repeated_rows(df: DataFrame, key: str) -> DataFrame:
+    """Rows equal to another in all columns but the key, after the first by the key: key, first."""
+    rest = [c for c in df.columns if c != key]
+    same = Window.partitionBy(*(F.col(f"`{c}`") for c in rest))
+    return df.withColumn("first", F.min(key).over(same)).filter(F.col(key) != F.col("first")).select(key, "first")
+
+
 def state_changes(detected: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Full outer comparison of detected keys with stored ones: key and new, open, reopened or resolved.
 

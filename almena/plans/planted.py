@@ -449,6 +449,29 @@ def p29_schema_messages(spark):
     return schema.validated(spark.createDataFrame(rows, "id int, json string"), "id")
 
 
+@planted("id int, name string, price double, currency string, total_time string, steps int", [(1, "Pan", 1200.5, "MXN", "PT1H", 1), (2, "A </script>", None, None, None, None)])
+def r34_built_documents(spark):
+    """Structured data built from rows: numbers, currencies, durations, steps; empty values left out."""
+    rows = spark.createDataFrame([(1, "Pan", "1,200.50", "1 h", "Mezcla", "mxn"), (2, "A </script>", None, None, None, None)], "id int, nombre string, precio string, tiempo string, paso string, moneda string")
+    template = {"@type": "Recipe", "name": "{{nombre}}", "totalTime": "{{tiempo}}", "recipeInstructions": ["{{paso}}", ""], "offers": {"price": "{{precio}}", "priceCurrency": "{{moneda}}"}}
+    parsed = F.from_json("json", "name string, totalTime string, offers struct<price:double,priceCurrency:string>, recipeInstructions array<struct<text:string>>")
+    return schema.built(rows, [template], "id").select("id", parsed.alias("j")).select("id", F.col("j.name").alias("name"), F.col("j.offers.price").alias("price"), F.col("j.offers.priceCurrency").alias("currency"), F.col("j.totalTime").alias("total_time"), F.when(F.col("j.recipeInstructions").isNotNull(), F.size("j.recipeInstructions")).alias("steps"))
+
+
+@planted("url string, types array<string>, author string, warnings array<string>", [("https://o.example/p", ["Organization", "WebSite", "WebPage", "BlogPosting", "Person"], "https://o.example/#/schema/person/ana", []), ("https://o.example/c", ["Organization", "WebSite", "ContactPage"], None, ["no_logo", "few_profiles"])])
+def r33_entity_graphs(spark):
+    """Connected graphs of pages and what weakens them."""
+    ddl = (
+        "url string, type string, title string, description string, image string, date_published string, date_modified string, lang string, about array<struct<name:string,same_as:array<string>>>, "
+        "org struct<name:string,url:string,logo:string,description:string,same_as:array<string>>, author struct<slug:string,name:string,url:string,job_title:string,description:string,image:string,same_as:array<string>>"
+    )
+    org = ("Org", "https://o.example/x", "https://o.example/l.png", None, ["https://a.example", "https://b.example"])
+    rows = [("https://o.example/p", "BlogPosting", "Título", None, None, "2026-01-01", None, "es", [("Pan", ["https://w.example"])], org, ("ana", "Ana", "https://o.example/ana", None, "b" * 80, None, ["https://x.example"])), ("https://o.example/c", "ContactPage", "C", None, None, None, None, None, None, ("Org", "https://o.example", None, None, []), None)]
+    nodes = F.from_json("json", "`@graph` array<struct<`@type`:string,author:struct<`@id`:string>>>")["@graph"]
+    g = schema.entity_graph(spark.createDataFrame(rows, ddl)).select("url", nodes.alias("g"), "warnings")
+    return g.select("url", F.transform("g", lambda n: n["@type"]).alias("types"), F.get(F.filter(F.transform("g", lambda n: n["author"]["@id"]), lambda a: a.isNotNull()), F.lit(0)).alias("author"), "warnings")
+
+
 @planted("base string, types long", [("Organization", 11), ("LocalBusiness", 54), ("WebPage", 6), ("Article", 3), ("SoftwareApplication", 3)])
 def p30_schema_types(spark):
     """Types of the catalogue that have kinds of their own."""

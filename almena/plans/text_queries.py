@@ -9,7 +9,7 @@ from almena.functions.text import csv_guard, fold_text, html_escape, jaccard, sh
 from almena.operators import architecture, graph, readiness
 from almena.operators.chunks import flag_counts, html_chunks
 from almena.operators.crawl import custom_search
-from almena.operators.relational import profile_columns, top_per
+from almena.operators.relational import column_samples, profile_columns, repeated_rows, top_per
 from almena.operators.similarity import STOP_WORDS, banded, cosine_to_queries, minhash, minhash_similarity, near_duplicates, simhash, text_hash, tfidf
 from almena.session import cut_lineage, table
 from almena.sources.html import head_fields
@@ -142,6 +142,17 @@ def r36_profile(spark, sf_dir):
     return profile_columns(table(spark, sf_dir, "customer"))
 
 
+def a38_samples(spark, sf_dir):
+    """The three smallest values of each column of the parts, and which columns are keys."""
+    return column_samples(table(spark, sf_dir, "part"))
+
+
+def a38_repeats(spark, sf_dir):
+    """Raw records that repeat an earlier one of their dataset."""
+    r = table(spark, sf_dir, "dataset_record").select("record_id", "dataset_id", "raw").distinct()
+    return repeated_rows(r, "record_id")
+
+
 def r36_datasets(spark, sf_dir):
     """Records of each dataset against the number its upload stated."""
     r = table(spark, sf_dir, "dataset_record").select("record_id", "dataset_id", (F.trim("raw") == "").alias("blank")).distinct().groupBy("dataset_id").agg(F.count("*").alias("records"), F.count_if("blank").alias("blank"))
@@ -282,7 +293,7 @@ _RANK = (
 )
 
 QUERIES = {f.__name__: f for f in (
-    r15_exact_duplicates, r15_thin, x1_shingles, x3_specific_words, x4_simhash, x5_minhash, x5_text_hashes, x6_estimates, x6_bands, r15_near_duplicates, x8_top_terms, j17_similar_pages, x14_page_fields, f18_tokens, f3_slugs, f5_escaped, k4_guarded, r36_profile, r36_datasets, r38_sections, g1_pagerank, g2_components, g3_depths, g8_redirects, f7_digests, f19_word_counts, f6_filled_templates, p17_html_search, w10_keepers, w12_runs, a41_any_all, r38_page_chunks, r26_page_grades, p31_page_reading, st_daily_hits,
+    r15_exact_duplicates, r15_thin, x1_shingles, x3_specific_words, x4_simhash, x5_minhash, x5_text_hashes, x6_estimates, x6_bands, r15_near_duplicates, x8_top_terms, j17_similar_pages, x14_page_fields, f18_tokens, f3_slugs, f5_escaped, k4_guarded, r36_profile, a38_samples, a38_repeats, r36_datasets, r38_sections, g1_pagerank, g2_components, g3_depths, g8_redirects, f7_digests, f19_word_counts, f6_filled_templates, p17_html_search, w10_keepers, w12_runs, a41_any_all, r38_page_chunks, r26_page_grades, p31_page_reading, st_daily_hits,
 )}
 _NEAR = (
     "WITH RECURSIVE t AS (SELECT DISTINCT doc_id, text FROM documents), w AS (SELECT doc_id, " + _WORDS.format("coalesce(text, '')") + " AS w FROM t), "
@@ -308,6 +319,8 @@ SQL = {
     "f5_escaped": _G + "SELECT template_id, CAST(sum(length(replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;'))) AS BIGINT) AS characters FROM g GROUP BY 1",
     "k4_guarded": "WITH c AS (SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(14, 2)) AS VARCHAR) AS raw FROM customer) SELECT c_custkey, CASE WHEN raw[1:1] IN ('=', '+', '-', '@') THEN chr(39) || raw ELSE raw END AS cell FROM c",
     "r36_profile": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS type, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS empty, count(DISTINCT {c}) AS distinct_values FROM customer" for c, k in (("c_custkey", "number"), ("c_name", "text"), ("c_nationkey", "number"), ("c_acctbal", "number"), ("c_mktsegment", "text"))),
+    "a38_samples": "WITH n AS (SELECT count(*) AS n FROM part), v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM part" for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")) + "), d AS (SELECT DISTINCT \"column\", trim(v) AS v FROM v WHERE trim(coalesce(v, '')) <> '') SELECT \"column\", list_sort(list(v))[1:3] AS samples, count(*) = any_value(n.n) AS is_key FROM d, n GROUP BY 1",
+    "a38_repeats": "WITH r AS (SELECT DISTINCT record_id, dataset_id, raw FROM dataset_record) SELECT record_id, first FROM (SELECT record_id, min(record_id) OVER (PARTITION BY dataset_id, raw) AS first FROM r) WHERE record_id <> first",
     "r36_datasets": "WITH r AS (SELECT dataset_id, count(*) AS records, count(*) FILTER (WHERE trim(raw) = '') AS blank FROM (SELECT DISTINCT record_id, dataset_id, raw FROM dataset_record) GROUP BY 1) SELECT d.dataset_id, site_id, row_count, coalesce(records, 0) AS records, coalesce(blank, 0) AS blank FROM dataset d LEFT JOIN r USING (dataset_id)",
     "r38_sections": _P + ", l AS (SELECT page_id, unnest(string_split(markdown, chr(10))) AS line FROM p) SELECT CAST(length(regexp_extract(line, '^(#{1,6})\\s', 1)) AS INTEGER) AS level, count(*) AS headings, count(DISTINCT page_id) AS pages FROM l WHERE regexp_matches(line, '^#{1,6}\\s') GROUP BY 1",
     "g1_pagerank": _RANK,
