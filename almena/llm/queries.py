@@ -10,6 +10,7 @@ from almena.llm.leaks import find_leaks
 from almena.llm.neardup import near_duplicate_groups, similar_pages
 from almena.llm.packing import CAPACITY, count_tokens, pack
 from almena.llm.percentiles import response_times
+from almena.llm.repeated import once
 from almena.llm.residue import find_residue
 from almena.llm.splitting import split_items
 from almena.llm.truncation import find_truncated, truncation_report
@@ -37,14 +38,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What must hold of the pieces: items, items cut, pieces over their limit, texts that are not those of their offsets, gaps between pieces, items whose text is not covered."""
-    items = table(spark, sf_dir, "md_item").dropDuplicates(["item_id"]).select("item_id", F.coalesce("md", F.lit("")).alias("_md"), "max_tokens")
+    """What must hold of the pieces: items, items cut, items with pieces over their limit, pieces that are not as long as their offsets say, gaps between pieces, items whose pieces do not give their text."""
+    items = once(table(spark, sf_dir, "md_item").select("item_id", "md", "max_tokens"), "item_id").select("item_id", F.sha2(F.coalesce("md", F.lit("")), 256).alias("_digest"), "max_tokens")
     order = Window.partitionBy("item_id").orderBy("piece_no")
-    p = cut_lineage(p4_pieces(spark, sf_dir)).join(items, "item_id").withColumn("_before", F.lag("finish").over(order)).withColumn("_gap", F.coalesce(F.col("begin") > F.col("_before"), F.col("begin") > 0) | F.coalesce(F.col("finish") <= F.col("_before"), F.lit(False)))
-    over = (F.col("n_pieces") > 1) & (F.col("tokens") > F.col("max_tokens"))
-    other = F.substr("_md", F.col("begin") + 1, F.col("finish") - F.col("begin")) != F.col("md")
-    each = p.groupBy("item_id").agg(F.max("n_pieces").alias("_n"), F.count("*").alias("_c"), F.count_if(over).alias("_over"), F.count_if(other).alias("_other"), F.count_if("_gap").alias("_gaps"), F.max(F.col("finish") == F.length("_md")).alias("_whole"))
-    return each.agg(F.count("*").alias("items"), F.count_if(F.col("_n") > 1).alias("cut"), F.sum("_over").alias("over_limit"), F.sum("_other").alias("other_text"), F.sum("_gaps").alias("gaps"), F.count_if(~F.col("_whole") | (F.col("_n") != F.col("_c"))).alias("not_covered"))
+    p = p4_pieces(spark, sf_dir).select("item_id", "piece_no", "begin", "finish", "md", "tokens", "n_pieces").withColumn("_before", F.coalesce(F.lag("finish").over(order), F.lit(0)))
+    gap = (F.col("begin") > F.col("_before")) | ((F.col("finish") <= F.col("_before")) & (F.col("piece_no") > 1))
+    odd = F.length("md") != F.col("finish") - F.col("begin")
+    rest = F.struct("piece_no", F.substr("md", (F.col("_before") - F.col("begin") + 1).cast("int")).alias("t"))  # what a piece adds to the ones before
+    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rest)), lambda x: x["t"]), ""), 256)
+    each = p.groupBy("item_id").agg(F.max("n_pieces").alias("_n"), F.count("*").alias("_c"), F.max("tokens").alias("_most"), F.count_if(odd).alias("_odd"), F.count_if(gap).alias("_gaps"), whole.alias("_all"))
+    j = each.join(items, "item_id")
+    return j.agg(F.count("*").alias("items"), F.count_if(F.col("_n") > 1).alias("cut"), F.count_if((F.col("_n") > 1) & (F.col("_most") > F.col("max_tokens"))).alias("over_limit"), F.sum("_odd").alias("other_text"), F.sum("_gaps").alias("gaps"), F.count_if((F.col("_all") != F.col("_digest")) | (F.col("_n") != F.col("_c"))).alias("not_covered"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
