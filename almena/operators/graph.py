@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almena.session import cut_lineage
+from almena.session import cut_lineage, parallelism
 
 
 def clean_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -23,11 +23,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     ids = nodes.select("id").distinct()
     links = clean_edges(edges)
     degree = links.groupBy("src").agg(F.count("*").alias("_out"))
-    weighted = cut_lineage(links.join(degree, "src").select("src", "dst", (1 / F.col("_out")).alias("_share")))
+    parts = parallelism(ids.sparkSession)
+    weighted = cut_lineage(links.join(degree, "src").select("src", "dst", (1 / F.col("_out")).alias("_share")).repartition(parts, "src"))
     n = ids.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("rank"), F.lit(0.0).alias("score"))
-    state = cut_lineage(ids.join(degree, ids["id"] == degree["src"], "left").select("id", F.col("_out").isNull().alias("_sink"), F.lit(1.0 / n).alias("rank")))
+    state = cut_lineage(ids.join(degree, ids["id"] == degree["src"], "left").select("id", F.col("_out").isNull().alias("_sink"), F.lit(1.0 / n).alias("rank")).repartition(parts, "id"))
     for _ in range(iterations):  # a round uses the ranks three times, so they are written once each round
         held = state.agg(F.coalesce(F.sum(F.when(F.col("_sink"), F.col("rank"))), F.lit(0.0)).alias("_held"))
         flow = weighted.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("_share")).alias("_in"))
