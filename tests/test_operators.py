@@ -175,3 +175,21 @@ def test_jaccard_estimate_is_close_on_random_sets(spark):
     for (i, a), (j, b) in itertools.combinations(rows, 2):
         exact = len(set(a) & set(b)) / len(set(a) | set(b))
         assert math.isclose(sum(x == y for x, y in zip(s[i], s[j])) / 256, exact, abs_tol=0.15)
+
+
+def test_cosine_totals_are_those_of_the_vectors(spark, monkeypatch):
+    """Blocks, passes, terms looked up and joined vectors give the totals of the pairs; no pairs are exchanged."""
+    rng = random.Random(5)
+    names = ["".join(rng.choices("bcdfgmnrt", k=6)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(names[: rng.choice([20, 300])]) for _ in range(rng.randrange(40)))) for i in range(90)] + [(90, None), (91, "alone"), (None, names[0])]
+    docs = spark.createDataFrame(rows, "id long, t string")
+    v = similarity.tfidf(docs, "id", "t").cache()
+    pairs = similarity.cosine_to_queries(v, v.filter("id % 3 = 0"), "id", 0.2)
+    want = {r["query"]: (r.n, round(r.best, 9)) for r in pairs.groupBy("query").agg(F.count("*").alias("n"), F.max("cosine").alias("best")).collect()}
+    for more in ({}, {"AT_ONCE": 7, "QUERIES_AT_ONCE": 10}, {"DENSE": 2}, {"VOCABULARY": 5}):
+        with monkeypatch.context() as m:
+            for name, value in more.items():
+                m.setattr(similarity, name, value)
+            got = {r["query"]: (r.similar, round(r.best, 9)) for r in similarity.cosine_totals(docs, "id", "t", F.col("id") % 3 == 0, 0.2).collect()}
+        assert got == want and len(want) > 20
+    assert similarity.cosine_totals(docs.filter("id < 0"), "id", "t", F.col("id") % 3 == 0, 0.2).count() == 0
