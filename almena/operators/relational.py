@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almena.functions.url import prefixes
+from almena.session import cut_lineage
 
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -126,3 +128,29 @@ def falling_streak(df: DataFrame, by: list[str], order: str, value: str) -> Data
     back = Window.partitionBy(*by).orderBy(F.col(order).desc())
     run = steps.withColumn("_breaks", F.sum(F.when(F.col("_drop"), 0).otherwise(1)).over(back))
     return run.groupBy(*by).agg(F.count_if(F.col("_drop") & (F.col("_breaks") == 0)).alias("streak"))
+
+
+def _choices(values: Column, most: int, least: int) -> Column:
+    """All choices of ``least`` of the ``values``, an array in a fixed order, as hashes; none of fewer or more than ``most`` values."""
+    of = lambda n: F.array(*(F.xxhash64(*(F.get(values, F.lit(i)) for i in kept)) for kept in combinations(range(n), least)))
+    out = F.array().cast("array<bigint>")
+    for n in range(least, most + 1):
+        out = F.when(F.size(values) == n, of(n)).otherwise(out)
+    return out
+
+
+def sharing_pairs(sets: DataFrame, key: str, column: str, most: int, least: int) -> DataFrame:
+    """Pairs of keys whose sets of at most ``most`` values share at least ``least``: a < b, shared.
+
+    Such sets have some choice of ``least`` values in common and meet there, not on single
+    values; equal sets are one class. ``sets`` has a row for each key.
+    """
+    owned = cut_lineage(sets.filter(F.col(key).isNotNull() & F.size(column).between(least, most)).select(F.col(key).alias("_k"), F.array_sort(column).alias("_v")))
+    members = cut_lineage(owned.withColumn("_c", F.min("_k").over(Window.partitionBy("_v"))).select("_k", "_c", "_v"))
+    classes = members.filter("_k = _c").select("_c", "_v", F.explode(_choices(F.col("_v"), most, least)).alias("_h"))
+    side = lambda x: classes.select("_h", F.col("_c").alias(f"_c{x}"), F.col("_v").alias(f"_v{x}"))
+    alike = side("a").hint("merge").join(side("b"), "_h").filter("_ca < _cb").groupBy("_ca", "_cb").agg(F.first(F.size(F.array_intersect("_va", "_vb"))).alias("shared")).filter(F.col("shared") >= least)
+    of = lambda x: members.select(F.col("_c").alias(f"_c{x}"), F.col("_k").alias(f"_k{x}"))
+    across = alike.join(of("a"), "_ca").join(of("b"), "_cb").select(F.least("_ka", "_kb").alias("a"), F.greatest("_ka", "_kb").alias("b"), "shared")
+    same = members.select("_c", F.col("_k").alias("a"), F.size("_v").alias("shared")).join(members.select("_c", F.col("_k").alias("b")), "_c").filter("a < b").select("a", "b", "shared")
+    return across.unionByName(same)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from almena.functions.stats import ratio_effect, relative_change, welch_p
 from almena.functions.text import ratio, round_up
 from almena.operators import search
-from almena.operators.relational import every_day, falling_streak, top_per, within_intervals
+from almena.operators.relational import every_day, falling_streak, sharing_pairs, top_per, within_intervals
 from almena.session import table
 
 
@@ -124,8 +124,7 @@ def u5_shared_brands(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     sold = line.groupBy("l_suppkey", "p_brand").agg(F.sum("l_quantity").alias("n"))
     top = top_per(sold, ["l_suppkey"], 10, F.desc("n"), F.col("p_brand")).groupBy("l_suppkey").agg(F.collect_set("p_brand").alias("own"))
-    pairs = top.select(F.col("l_suppkey").alias("a"), F.col("own").alias("x"), F.explode("own").alias("b1")).join(top.select(F.col("l_suppkey").alias("b"), F.col("own").alias("y"), F.explode("own").alias("b1")), "b1").filter("a < b").select("a", "b", "x", "y").distinct()
-    return pairs.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared")).filter("shared >= 8")
+    return sharing_pairs(top, "l_suppkey", "own", 10, 8)
 
 
 def w7_streaks(spark, sf_dir):

@@ -193,3 +193,14 @@ def test_cosine_totals_are_those_of_the_vectors(spark, monkeypatch):
             got = {r["query"]: (r.similar, round(r.best, 9)) for r in similarity.cosine_totals(docs, "id", "t", F.col("id") % 3 == 0, 0.2).collect()}
         assert got == want and len(want) > 20
     assert similarity.cosine_totals(docs.filter("id < 0"), "id", "t", F.col("id") % 3 == 0, 0.2).count() == 0
+
+
+def test_sharing_pairs_meet_on_choices(spark):
+    rng = random.Random(2)
+    sets = {i: sorted(rng.sample([f"b{n:02}" for n in range(14)], rng.choice([3, 7, 8, 9, 10, 10]))) for i in range(120)} | {500: [f"b{n:02}" for n in range(8)], 501: [f"b{n:02}" for n in range(8)], 502: [], 503: None}
+    df = spark.createDataFrame([*sets.items(), (None, sets[500])], "k long, v array<string>")
+    shared = {(a, b): len(set(sets[a] or ()) & set(sets[b] or ())) for a, b in itertools.combinations(sorted(sets), 2)}
+    got = [tuple(r) for r in relational.sharing_pairs(df, "k", "v", 10, 8).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b, n) for (a, b), n in shared.items() if n >= 8} and (500, 501, 8) in got
+    many = df.select(F.size(relational._choices(F.array_sort("v"), 10, 8)).alias("n"), F.size("v").alias("of")).distinct().collect()
+    assert {r.of: r.n for r in many if (r.of or 0) > 7} == {8: 1, 9: 9, 10: 45} and all(r.n == 0 for r in many if r.of is not None and r.of < 8)
