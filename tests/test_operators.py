@@ -204,3 +204,29 @@ def test_sharing_pairs_meet_on_choices(spark):
     assert len(got) == len(set(got)) and set(got) == {(a, b, n) for (a, b), n in shared.items() if n >= 8} and (500, 501, 8) in got
     many = df.select(F.size(relational._choices(F.array_sort("v"), 10, 8)).alias("n"), F.size("v").alias("of")).distinct().collect()
     assert {r.of: r.n for r in many if (r.of or 0) > 7} == {8: 1, 9: 9, 10: 45} and all(r.n == 0 for r in many if r.of is not None and r.of < 8)
+
+
+def test_near_duplicates_in_small_blocks_send_few_rows(spark, monkeypatch):
+    """Many chunks, tasks and blocks, and joins instead of broadcasts, give the pairs of all texts; sequences that occur once are not sent."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(8):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 40, 90]))]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
+            texts.append(w)
+    texts += [texts[0], [], None, ["only"]]
+    df = spark.createDataFrame([(f"u{i:03}", w) for i, w in enumerate(texts)], "url string, w array<string>")
+    sets = {f"u{i:03}": {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in enumerate(texts) if w}
+    near = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7}
+    links = {f"u{i:03}": sum(f"u{i:03}" in p for p in near) for i in range(len(texts))}
+    for more in ({}, {"RARITY_SLOTS": 64, "CHUNK": 16}, {"COUNTED_AT_ONCE": 50, "MET_AT_ONCE": 20, "PAIRS_AT_ONCE": 5}, {"BROADCAST_KEYS": 0, "BROADCAST_SKETCHES": 0}):
+        with monkeypatch.context() as m:
+            for name, value in more.items():
+                m.setattr(similarity, name, value)
+            assert {r.url: r.links for r in similarity.near_duplicates(df, "url", "w", 0.7).collect()} == links
+    alone = spark.createDataFrame([(i, [f"{i}a{j}" for j in range(50)]) for i in range(40)], "id long, w array<string>")
+    packed = similarity.packed_sets(alone, "id", "w").cache()
+    assert similarity._rarity(packed.filter("chunk IS NOT NULL").select("chunk", "packed")).max() == 0 and packed.filter("size = 46").count() == 40
