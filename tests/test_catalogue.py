@@ -15,6 +15,10 @@ def test_names():
     assert catalogue.FLAGSHIP in catalogue.QUERIES
 
 
+def test_the_first_query_of_problem_7_is_its_own():
+    assert next(n for n in entry.queries() if n.startswith("p7_")) == "p7_percentiles"
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 @pytest.mark.parametrize("name", ["r1_bot_hits_by_day", "r1_crawl_waste", "r4_issue_counts", "r11_differences", "r14_conflicts", "w5_rolling", "p3_found", "g3_depths"])
 def test_against_sql(spark, name):
